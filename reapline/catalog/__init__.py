@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("traces", "runs")
+MODULES = ("traces", "runs", "quality")
 
 
 def load_all():

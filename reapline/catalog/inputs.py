@@ -49,7 +49,7 @@ def prices(spark: SparkSession) -> DataFrame:
 # Orders as benchmark runs, their lines as the results of a run.
 RUNS_SQL = """
 results as (
-  select l_orderkey as run_id, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey as pos,
+  select l_orderkey as run_id, cast(l_linenumber as bigint) * 1000000000 + l_partkey * 10000 + l_suppkey as pos,
     l_returnflag <> 'R' as ok,
     case l_linenumber when 1 then 'open' when 2 then 'click' when 3 then 'scroll' when 4 then 'list-items' when 5 then 'batch-detail-extract' else 'extract' end as action,
     case when l_returnflag = 'R' then case when l_linestatus = 'O' then 'ref_not_found' else 'timeout' end end as error_code,

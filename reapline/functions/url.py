@@ -6,7 +6,7 @@ crawlers meet, and these stay inside whole-stage codegen.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,9 +35,21 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+BLANKS = " \t\n\x0b\f\r"
+
+
 def stripped(c) -> Column:
-    """Trim any white space, not only blanks."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    """Trim any white space, not only blanks; no regular expression involved."""
+    return F.btrim(_col(c), F.lit(BLANKS))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Plain reuse of a Column copies its expression; filters that Spark pushes through
+    projections copy it again.  Binding it as a lambda variable prevents both.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def is_http_url(u) -> Column:

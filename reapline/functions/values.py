@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reapline.functions.url import _col, is_http_url, stripped
+from reapline.functions.url import _col, is_http_url, let, stripped
 
 # The names under which a canonical field may be delivered.
 FIELD_ALIASES = {
@@ -46,7 +46,7 @@ CURRENCY = r"^[¥$€£￥]\s*"
 
 def meaningful(v) -> Column:
     """Text that is present and not blank."""
-    return F.coalesce(_col(v).rlike(r"\S"), F.lit(False))
+    return F.coalesce(stripped(v) != "", F.lit(False))
 
 
 def meaningful_array(v) -> Column:
@@ -90,11 +90,16 @@ def lower_keys(fields) -> Column:
         F.map_entries(_col(fields)),
         lambda e: F.struct(F.lower(stripped(e["key"])).alias("key"), e["value"].alias("value")),
     )
-    kept = F.filter(
-        entries,
-        lambda e, i: ~F.exists(F.slice(entries, i + F.lit(2), F.size(entries)), lambda o: o["key"] == e["key"]),
-    )
-    return F.map_from_entries(kept)
+
+    def build(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["key"])
+        last_only = F.filter(
+            found, lambda e, i: ~F.exists(F.slice(found, i + F.lit(2), F.size(found)), lambda o: o["key"] == e["key"])
+        )
+        clash = F.size(F.array_distinct(names)) < F.size(found)
+        return F.map_from_entries(F.when(clash, last_only).otherwise(found))
+
+    return let(entries, build)
 
 
 def first_meaningful(fields, names: Sequence[str]) -> Column:
@@ -123,11 +128,11 @@ def sorted_json(fields) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_col(fields)))))
 
 
-def identity(fields, lowered=None) -> Column:
+def identity(fields) -> Column:
     """Key under which two records are the same record: URL first, else all fields."""
-    low = lower_keys(fields) if lowered is None else _col(lowered)
-    url = F.regexp_replace(stripped(canonical(low, "url")), r"/+$", "")
-    return F.coalesce(F.when(url != "", url), sorted_json(fields))
+    m = _col(fields)
+    url = let(lower_keys(m), lambda low: F.regexp_replace(stripped(canonical(low, "url")), r"/+$", ""))
+    return F.coalesce(F.nullif(url, F.lit("")), sorted_json(m))
 
 
 def delivery_identity(fields) -> Column:

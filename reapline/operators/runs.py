@@ -161,8 +161,8 @@ def exact_median(df: DataFrame, column: str, buckets: int = 100_000) -> DataFram
     are looked at as values.  Neither step gathers the column in one task.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    bounds = values.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    lo, hi = bounds.select("lo").scalar(), bounds.select("hi").scalar()
+    bounds = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("r")).scalar()
+    lo, hi = bounds["lo"], bounds["hi"]
     span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
     placed = values.withColumn("b", F.floor((F.col("v") - lo) / span * buckets))
     histogram = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
@@ -213,9 +213,8 @@ def evidence_counts(runs: DataFrame, results: DataFrame) -> DataFrame:
         F.count_if(is_data).alias("data_actions"),
         F.count_if(is_data & F.col("ok")).alias("successful_data_actions"),
     )
-    return of_runs.withColumns(
-        {c: of_results.select(c).scalar() for c in ("ref_not_found", "data_actions", "successful_data_actions")}
-    )
+    counted = of_results.select(F.struct("*").alias("r")).scalar()
+    return of_runs.withColumn("_r", counted).select(*of_runs.columns, "_r.*")
 
 
 def acceptance(runs: DataFrame, min_cases: int = 5, min_repeats: int = 3, min_rate: float = 80.0) -> DataFrame:
