@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("traces", "runs", "quality")
+MODULES = ("pages", "traces", "runs", "quality", "search")
 
 
 def load_all():

@@ -32,7 +32,11 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return best.select(*keys, "_best.*").select(*df.columns)
 
 
-def broadcast_if_small(df: DataFrame, spark_limit_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after counting: the count stops at the limit."""
-    small = df.limit(spark_limit_rows + 1).count() <= spark_limit_rows
-    return F.broadcast(df) if small else df
+def is_small(df: DataFrame, limit_rows: int = 100_000) -> bool:
+    """Whether a table has at most ``limit_rows`` rows; counting stops at the limit."""
+    return df.limit(limit_rows + 1).count() <= limit_rows
+
+
+def broadcast_if_small(df: DataFrame, limit_rows: int = 100_000) -> DataFrame:
+    """Broadcast hint only where counting proves the size; else Spark chooses the join."""
+    return F.broadcast(df) if is_small(df, limit_rows) else df
