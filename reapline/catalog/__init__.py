@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "traces", "runs", "quality", "search")
+MODULES = ("pages", "traces", "runs", "quality", "search", "access")
 
 
 def load_all():

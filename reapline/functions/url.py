@@ -145,34 +145,35 @@ def _ipv4_number(dotted: str) -> int:
 
 
 def is_private_host(h) -> Column:
-    name = F.regexp_replace(F.lower(stripped(h)), r"\.+$", "")
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-    is_v4 = name.rlike(rf"^{octet}(?:\.{octet}){{3}}$")
-    parts = F.split(F.when(is_v4, name), r"\.")
-    number = sum(
-        (F.get(parts, F.lit(i)).cast("long") * (256 ** (3 - i)) for i in range(1, 4)),
-        F.get(parts, F.lit(0)).cast("long") * (256**3),
-    )
-    in_block = F.lit(False)
-    for first, last in PRIVATE_IPV4:
-        in_block = in_block | number.between(_ipv4_number(first), _ipv4_number(last))
-    private_v6 = F.contains(name, F.lit(":")) & name.rlike(r"^(?:::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:)")
-    return F.coalesce(
-        name.isin("localhost", "localhost.localdomain") | F.when(is_v4, in_block).otherwise(private_v6),
-        F.lit(False),
+    dotted = rf"^{octet}(?:\.{octet}){{3}}$"
+    six = r"^(?:::1?$|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:)"
+    blocks = F.array(
+        *[F.struct(F.lit(_ipv4_number(a)).alias("first"), F.lit(_ipv4_number(b)).alias("last")) for a, b in PRIVATE_IPV4]
     )
 
+    def in_block(name: Column) -> Column:
+        number = F.aggregate(F.split(name, r"\."), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x.cast("long"))
+        return let(number, lambda n: F.exists(blocks, lambda r: n.between(r["first"], r["last"])))
+
+    def private(name: Column) -> Column:
+        v6 = F.contains(name, F.lit(":")) & name.rlike(six)
+        return name.isin("localhost", "localhost.localdomain") | F.when(name.rlike(dotted), in_block(name)).otherwise(v6)
+
+    return F.coalesce(let(F.regexp_replace(F.lower(stripped(h)), r"\.+$", ""), private), F.lit(False))
+
 
 def url_policy(u, allow_private: bool = False) -> Column:
     """Reason a URL may not be fetched at all, or null when it may be considered."""
-    text = stripped(u)
-    has_login = F.contains(netloc(text), F.lit("@")) & ~netloc(text).rlike(r"^:?@")
-    chain = (
-        F.when(~scheme(text).isin("http", "https") | (host(text) == ""), F.lit("http_https_required"))
-        .when(text.isNull(), F.lit("http_https_required"))
-        .when(has_login, F.lit("embedded_credentials"))
-    )
-    return chain if allow_private else chain.when(is_private_host(host(text)), F.lit("private_network_denied"))
+
+    def judge(text: Column) -> Column:
+        has_login = netloc(text).rlike(r"^[^@]*[^@:][^@]*@")
+        chain = F.when(text.isNull() | ~is_http_url(text) | (host(text) == ""), F.lit("http_https_required")).when(
+            has_login, F.lit("embedded_credentials")
+        )
+        return chain if allow_private else chain.when(is_private_host(host(text)), F.lit("private_network_denied"))
+
+    return let(stripped(u), judge)
 
 
 def safe_domain(u) -> Column:
