@@ -11,8 +11,12 @@ ROBOTS_BODY = "User-agent: *\nDisallow: /en/1\nAllow: /fr\nDisallow: /fr\nCrawl-
 
 
 def events(spark, folder):
+    return events_of(table(spark, folder, "events"))
+
+
+def events_of(source):
     refused = F.col("event_type") == "error"
-    return table(spark, folder, "events").select(
+    return source.select(
         F.col("user_id").alias("domain"), micros("ts").alias("t"), F.col("event_id").alias("seq"),
         F.when(refused, "response").otherwise("request").alias("kind"),
         F.when(~refused, F.lit(600_000_000) + F.floor(F.col("value")) * 1_000_000).cast("long").alias("interval_us"),

@@ -22,13 +22,17 @@ PRICES_SQL = "prices(model, pin, pout) as (values ('model-0', 1.0, 2.0), ('model
 
 
 def trace(spark: SparkSession, folder: str) -> DataFrame:
+    return trace_of(table(spark, folder, "events"))
+
+
+def trace_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     kind = (
         F.when(F.col("event_type").isin("signup", "view"), "llm")
         .when(F.col("event_type") == "error", "llm_error")
         .otherwise("browser_action")
     )
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         F.col("user_id").cast("string").alias("thread_id"),
         F.col("ts").alias("started_at"),
