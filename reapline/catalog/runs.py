@@ -8,7 +8,6 @@ from reapline.catalog.registry import query, table
 from reapline.operators import runs as ops
 
 WITH = f"with {RUNS_SQL}"
-MODEL = F.concat(F.lit("model-"), F.substring("model", 1, 1))
 
 
 def costed(spark, folder):

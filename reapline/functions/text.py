@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reapline.functions.url import _col, stripped
+from reapline.functions.url import _col, let, stripped
 
 CJK = r"[\u3400-\u4dbf\u4e00-\u9fff]"
 
@@ -121,6 +121,12 @@ def parse_ts(s) -> Column:
     return F.try_to_timestamp(shaped)
 
 
+def _whole_json(text: Column) -> Column:
+    """Variant of text that is one JSON value; the parser alone would ignore what follows it."""
+    wrapped = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(wrapped, lambda w: F.when(F.size(w) == 1, F.get(w, F.lit(0))))
+
+
 def lenient_json(s) -> Column:
     """Variant of almost-JSON: as is, without fences, outermost braces, or joined objects."""
     text = stripped(s)
@@ -128,10 +134,10 @@ def lenient_json(s) -> Column:
     braces = F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit(""))
     joined = F.concat(F.lit("["), F.regexp_replace(text, r"\}\s*\{", "}, {"), F.lit("]"))
     return F.coalesce(
-        F.try_parse_json(text),
-        F.try_parse_json(unfenced),
-        F.try_parse_json(braces),
-        F.when(text.rlike(r"\}\s*\{"), F.try_parse_json(joined)),
+        _whole_json(text),
+        _whole_json(unfenced),
+        _whole_json(braces),
+        F.when(text.rlike(r"\}\s*\{"), _whole_json(joined)),
     )
 
 

@@ -46,7 +46,7 @@ def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, digits: in
     """
     usable = cache.where(F.coalesce("is_success", F.lit(True)) & (F.coalesce("failure_count", F.lit(0)) < 2))
     asked = requests.select(
-        "request_id", F.col("domain_key").alias("_d"), F.size("words").alias("_qn"), F.explode(F.array_distinct("words")).alias("word")
+        "request_id", F.col("domain_key").alias("_d"), F.size(F.array_distinct("words")).alias("_qn"), F.explode(F.array_distinct("words")).alias("word")
     )
     entries = (
         usable.select("cache_id", F.col("domain_key").alias("_d"), F.array_distinct("words").alias("_w")).repartition("cache_id")
