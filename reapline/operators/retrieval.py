@@ -135,7 +135,8 @@ def dense_topk(
                     out[0].extend(np.repeat(q_ids[qi][:, None], order.shape[1], axis=1)[keep])
                     out[1].extend(ids[di][order][keep])
                     out[2].extend(picked[keep])
-                yield pa.RecordBatch.from_pydict({query_id: list(out[0]), doc_id: list(out[1]), "score": pa.array(out[2], pa.float64())})
+                typed = [pa.array(out[0], q["id"].type), pa.array(out[1], batch.column(0).type), pa.array(out[2], pa.float64())]
+                yield pa.RecordBatch.from_arrays(typed, names=[query_id, doc_id, "score"])
 
         return source.mapInArrow(best, schema)
 
@@ -168,8 +169,8 @@ def mmr(
         pdf = pdf.sort_values("rank", ignore_index=True)
         v = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
         q = np.asarray(pdf["_q"].iloc[0], dtype=np.float64)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        q /= max(np.linalg.norm(q), 1e-300)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        q = q / max(np.linalg.norm(q), 1e-300)
         relevance, pairwise = v @ q, v @ v.T
         chosen = [int(np.argmax(relevance))]
         while len(chosen) < min(k, len(pdf)):
