@@ -87,35 +87,44 @@ def stream_access_ledger(events: DataFrame, max_requests: int = 240, window_seco
 
 
 class QuarantineProcessor(StatefulProcessor):
-    """Expiry of one cached entry; its state leaves by itself after the longest use."""
+    """Expiry of one cached entry; the state goes when a later row finds it expired."""
 
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
+    def __init__(self, ttl_us: int, evict: bool):
+        self.ttl_us, self.evict = ttl_us, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.expiry = handle.getValueState("expiry", "at bigint", ttlDurationMs=max(60_000, self.ttl_us // 1000))
+        ttl = {"ttlDurationMs": self.ttl_us // 1000} if self.evict else {}
+        self.expiry = handle.getValueState("expiry", "at bigint", **ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.expiry.get()[0] if self.expiry.exists() else None
+        before = until = self.expiry.get()[0] if self.expiry.exists() else None
         out = []
         for row in _in_order(rows, ["t", "seq"]).itertuples(index=False):
+            t = int(row.t)
             if row.kind == "failure":
-                until = max(until or 0, int(row.t) + self.ttl_us)
-                self.expiry.update((until,))
-            else:
-                out.append((*key, int(row.t), row.seq, not (until is not None and int(row.t) < until)))
+                until = max(until or 0, t + self.ttl_us)
+                continue
+            until = None if until is not None and t >= until else until
+            out.append((*key, t, row.seq, until is None))
+        if until is None:
+            self.expiry.clear()
+        elif until != before:
+            self.expiry.update((until,))
         yield pd.DataFrame(out, columns=["cache_type", "domain_key", "cache_id", "t", "seq", "allowed"])
 
     def close(self) -> None:
         pass
 
 
-def stream_quarantine(events: DataFrame, ttl_seconds: int) -> DataFrame:
+def stream_quarantine(events: DataFrame, ttl_seconds: int, evict: bool = False) -> DataFrame:
     """Hits marked allowed or not, given the failures seen before them.
 
     ``events``: cache_type, domain_key, cache_id (text), t, seq, kind (failure or hit).
+    ``evict`` also drops untouched state by wall clock; it keeps the query polling, so it
+    suits continuous triggers, not one-off runs over what is available.
     """
     out = "cache_type string, domain_key string, cache_id string, t bigint, seq bigint, allowed boolean"
     return events.groupBy("cache_type", "domain_key", "cache_id").transformWithStateInPandas(
-        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND), outputStructType=out, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND, evict), outputStructType=out, outputMode="Append",
+        timeMode="ProcessingTime" if evict else "None",
     )
