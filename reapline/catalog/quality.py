@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from reapline.catalog.registry import query, table
 from reapline.operators import quality as ops
+from reapline.session import spread
 
 ITEMS_SQL = """
 items as (
@@ -48,7 +49,7 @@ def items(spark, folder):
     money = F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
     price = F.when(discount > 0.09, "n/a").when(quantity < 3, "").otherwise(money)
     year = F.when(F.col("l_linestatus") == "O", F.year("l_shipdate").cast("string")).otherwise("")
-    return table(spark, folder, "lineitem").select(
+    return spread(table(spark, folder, "lineitem")).select(
         (F.col("l_suppkey") % 40).alias("run_id"),
         F.col("l_linenumber").alias("page_number"),
         (F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("pos"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reapline.catalog.registry import query, table
 from reapline.functions.text import search_tokens, word_set
 from reapline.operators import caches, documents, retrieval
+from reapline.session import spread
 
 TOKENS = "regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fa5}]+|[a-z0-9]+')"
 
@@ -24,7 +25,7 @@ bm as (select *, row_number() over (partition by query_id order by score desc, d
 
 
 def docs(spark, folder):
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def asked(spark, folder):

@@ -64,10 +64,8 @@ def bm25(
     return top_k(scored, [query_id], [F.desc("score"), doc_id], k)
 
 
-def _vector_blocks(queries: DataFrame, id_col: str, vector: str, part: str | None, block_rows: int):
-    """Query vectors in blocks small enough to ship to every task."""
-    columns = [F.col(id_col).alias("id"), F.col(vector).alias("v")] + ([F.col(part).alias("p")] if part else [])
-    slim = queries.select(*columns)
+def request_blocks(slim: DataFrame, block_rows: int):
+    """Arrow tables of requests (column ``id`` and others), small enough to ship to every task."""
     blocks = max(1, math.ceil(slim.count() / block_rows))
     for b in range(blocks):
         chosen = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -76,6 +74,12 @@ def _vector_blocks(queries: DataFrame, id_col: str, vector: str, part: str | Non
             yield rows
 
 
+def _vector_blocks(queries: DataFrame, id_col: str, vector: str, part: str | None, block_rows: int):
+    """Query vectors in such blocks."""
+    columns = [F.col(id_col).alias("id"), F.col(vector).alias("v")] + ([F.col(part).alias("p")] if part else [])
+    return request_blocks(queries.select(*columns), block_rows)
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, normalize: bool) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
