@@ -207,7 +207,7 @@ def filter_docs(spark, folder):
 @query(
     "build_docs",
     """with t as (select doc_id, case when doc_id % 3 = 0 then left(text, 5) else text end as text from documents)
-    select doc_id, md5(case when length(text) > 5000 then left(text, 5000) || '...[truncated]' else text end) as digest from t where length(text) >= 10""",
+    select doc_id, md5(case when length(text) > 5000 then left(text, 5000) || '...[截断]' else text end) as digest from t where length(text) >= 10""",
 )
 def build_docs(spark, folder):
     text = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 5)).otherwise(F.col("text"))

@@ -74,7 +74,7 @@ def ellipsize(s, n: int = 160) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n - 1), F.lit("…"))).otherwise(text)
 
 
-def truncate(s, n: int, suffix: str = "...[truncated]") -> Column:
+def truncate(s, n: int, suffix: str = "...[截断]") -> Column:
     text = _col(s)
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(suffix))).otherwise(text)
 
@@ -204,8 +204,8 @@ def format_context(texts, metadata) -> Column:
             lambda e: ~e["key"].isin("text", "pk", "vector") & e["value"].rlike(r"\S"),
         )
         line = F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", ")
-        head = F.concat(F.lit("[passage "), (i + 1).cast("string"), F.lit("] "), r["text"])
-        return F.when(F.coalesce(line, F.lit("")) != "", F.concat(head, F.lit("\n  metadata: "), line)).otherwise(head)
+        head = F.concat(F.lit("[片段 "), (i + 1).cast("string"), F.lit("] "), r["text"])
+        return F.when(F.coalesce(line, F.lit("")) != "", F.concat(head, F.lit("\n  元数据: "), line)).otherwise(head)
 
     return F.array_join(F.transform(rows, passage), "\n\n")
 

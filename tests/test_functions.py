@@ -153,7 +153,7 @@ def test_small_text_functions(spark):
         ts=text.parse_ts(F.lit("2026-07-21T08:00:00+02:00")), plain=text.parse_ts(F.lit("2026-07-21 08:00:00")), none=text.parse_ts(F.lit("soon")),
     )
     assert row.e == "a bc…"
-    assert row.t == "abc...[truncated]"
+    assert row.t == "abc...[截断]"
     assert (row.s, row.n, row.c, row.ok, row.bad) == ("GLM-4-5", 2, True, True, False)
     assert row.ts.isoformat() == "2026-07-21T06:00:00"
     assert row.plain.isoformat() == "2026-07-21T08:00:00"
@@ -163,7 +163,7 @@ def test_small_text_functions(spark):
 def test_format_context(spark):
     meta = F.array(F.create_map(F.lit("title"), F.lit("A"), F.lit("pk"), F.lit("1")), F.create_map(F.lit("title"), F.lit(" ")))
     got = one(spark, r=text.format_context(F.array(F.lit("one"), F.lit("two")), meta)).r
-    assert got == "[passage 1] one\n  metadata: title: A\n\n[passage 2] two"
+    assert got == "[片段 1] one\n  元数据: title: A\n\n[片段 2] two"
 
 
 def test_vectors(spark):
