@@ -30,15 +30,15 @@ MAX_DEPTH = 50
 MAX_TEXT = 200
 MAX_LINK = 100
 
-# Which open elements a start tag ends, and where that search stops.
+# Which open elements a start tag ends, and the elements that search does not leave.
 ENDS = {
-    "li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
-    "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
+    "li": ({"li"}, {"ul", "ol"}), "p": ({"p"}, {"td", "th", "button", "table"}), "tr": ({"tr"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
+    "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
 }
 BLOCKS = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split()
 )
-SCOPES = frozenset("html body table ul ol dl select td th button".split())
 
 NODE_SCHEMA = (
     "page_id bigint, ref string, parent_ref string, ord int, pos int, n_siblings int, depth int, tag string, xpath string, "
@@ -74,9 +74,9 @@ class _TreeBuilder(HTMLParser):
         if tag in ("head", "body"):
             self.at = self.root
         if tag in ENDS:
-            self._close(ENDS[tag], SCOPES - ENDS[tag])
+            self._close(*ENDS[tag])
         elif tag in BLOCKS:
-            self._close({"p"}, SCOPES)
+            self._close(*ENDS["p"])
         element = _Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(element)
         if tag not in VOID:
