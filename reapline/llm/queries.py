@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reapline.llm.common import table
+from reapline.llm.decontaminate import contaminated
+from reapline.llm.mixing import mixture
 from reapline.llm.neardup import near_duplicates
+from reapline.llm.quality import quality_scores
+from reapline.llm.tokens import token_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +23,33 @@ def query(fn):
     return fn
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
+@query
+def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture(table(spark, sf_dir, "documents"), max_repeats=4.0)
+    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_copies").alias("copies"))
+
+
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
