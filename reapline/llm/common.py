@@ -50,9 +50,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def byte_words(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z (and nothing else) lower-cased."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def byte_words(text: str | bytes | None) -> list[bytes]:
+    """Words of a text, or of its UTF-8 bytes, with A-Z (and nothing else) lower-cased."""
+    data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    return data.lower().split()
 
 
 class WordHashes(dict):

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reapline.llm.common import WordHashes, byte_words, durable, groups, mix, rows_of
 from reapline.llm.components import components
 
-SIGNATURE = 384  # coordinates of a signature
+SIGNATURE = 384  # coordinates of a signature, at most
 SKETCH = 192  # coordinates kept, one byte each, to look at pairs of crowded buckets
 UNIVERSE = 1 << 22  # length of the two permutations
 BLOCK = 1024  # members of a crowded bucket that meet in one group
+FILTER_BITS = 1 << 24  # of the bitmap that keeps most texts not needed out of the shuffle
 STAR = 256  # texts compared with one hub in one group
 
 _HASHES = WordHashes()
 
 
-def band_rows(percent: int, miss: float = 1e-6) -> int:
-    """Most rows a band may have so that a pair at the threshold is missed at most so often."""
+def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
+    """(rows of a band, bands): the longest bands, and as few, that miss a pair at the threshold at most so often."""
     t = percent / 100
-    fitting = [r for r in (1, 2, 3, 4, 6, 8, 12, 16) if (1 - t**r) ** (SIGNATURE // r) <= miss]
-    return max(fitting, default=1)
+    fitting = [(r, max(1, math.ceil(math.log(miss) / math.log1p(-(t**r))) if t < 1 else 1)) for r in range(1, 17)]
+    return max((f for f in fitting if f[0] * f[1] <= SIGNATURE), default=(1, SIGNATURE))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
+def shingle_set(text: str | bytes | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words make one shingle, no word none."""
     found = byte_words(text)
     if not found:
@@ -63,18 +66,17 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return first, np.lib.stride_tricks.sliding_window_view(circle, SIGNATURE)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, width: int = SIGNATURE) -> np.ndarray:
     first, shifts = _permutations()
     places = first[(shingles & np.uint64(UNIVERSE - 1)).astype(np.int64)]
-    least = np.full(SIGNATURE, UNIVERSE, np.uint32)
+    least = np.full(width, UNIVERSE, np.uint32)
     for start in range(0, len(places), 512):
-        np.minimum(least, shifts[places[start : start + 512]].min(axis=0), out=least)
+        np.minimum(least, shifts[places[start : start + 512], :width].min(axis=0), out=least)
     return least
 
 
-def _bands(signatures: np.ndarray, rows: int) -> np.ndarray:
+def _bands(signatures: np.ndarray, rows: int, count: int) -> np.ndarray:
     """One 64-bit bucket key per document and band; the band's number is part of the key."""
-    count = SIGNATURE // rows
     parts = signatures[:, : count * rows].reshape(len(signatures), count, rows).astype(np.uint64)
     keys = np.broadcast_to(np.arange(1, count + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for j in range(rows):
@@ -85,8 +87,7 @@ def _bands(signatures: np.ndarray, rows: int) -> np.ndarray:
 SKETCHED = "doc_id long, n_shingles long, uid long, fp long, bands array<long>, sketch binary"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterator[pa.RecordBatch]:
-    count = SIGNATURE // rows
+def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int, count: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -97,8 +98,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterato
                 sizes.append(len(found))
                 if len(found):
                     ids.append(fingerprint(found))
-                    signatures.append(signature(found))
-            keys = _bands(np.array(signatures), rows) if signatures else np.zeros((0, count), np.int64)
+                    signatures.append(signature(found, max(rows * count, SKETCH)))
+            keys = _bands(np.array(signatures), rows, count) if signatures else np.zeros((0, count), np.int64)
             sketches = [s[:SKETCH].astype(np.uint8).tobytes() for s in signatures]
             full = np.array(sizes) > 0
             place = np.cumsum(full) - 1
@@ -111,11 +112,37 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int) -> Iterato
             ], schema=schema)
 
 
+def _filter_bits(ids: DataFrame) -> bytes:
+    """A bitmap of ``FILTER_BITS`` bits with two bits set for each id: of fixed size, however many ids there are."""
+    places = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)))).alias("place"))
+    words = places.groupBy(F.floor(F.col("place") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return bitmap.tobytes()
+
+
+def _needed(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatch]:
+    """Rows whose bits are set, their texts compressed for the shuffles to come."""
+    bits = np.frombuffer(bitmap.value, np.int64)
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        held = np.ones(batch.num_rows, bool)
+        for c in (2, 3):
+            place = batch.column(c).to_numpy()
+            held &= bits[place >> 6] >> (place & 63) & 1 == 1
+        kept = batch.filter(pa.array(held))
+        for start in range(0, kept.num_rows, 256):
+            part = kept.slice(start, 256)
+            packed = [packer.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in part.column(1)]
+            yield pa.record_batch([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Streams (hub, texts linked with it?) groups, the hub's own text first; emits the links."""
     current, hub, a, b = None, None, [], []
-    for key, chunk, member, text in rows_of(batches, ("a", "chunk", "b", "text")):
-        shingles = shingle_set(text, words)
+    unpacker = zstandard.ZstdDecompressor()
+    for key, chunk, member, packed in rows_of(batches, ("a", "chunk", "b", "packed")):
+        shingles = shingle_set(unpacker.decompress(packed), words)
         own = fingerprint(shingles)[0]
         if (key, chunk) != current:
             current, hub = (key, chunk), None
@@ -138,16 +165,21 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> It
 def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
+    Only texts in some pair, and few others, leave the scan, compressed.
     Pairs with one hub are dealt into chunks of about ``STAR`` texts; the hub's text goes
     once to each chunk.  A hub with any number of partners is thus spread over tasks.
     """
     ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    texts = source.join(ids.join(nodes.select("uid", "doc_id"), "uid"), "doc_id").select("uid", "text")
+    wanted = durable(ids.join(nodes.select("uid", "doc_id"), "uid"))
+    bitmap = source.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).alias(f"place{i}") for i in range(2)]
+    packed = source.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(partial(_needed, bitmap=bitmap), "doc_id long, packed binary")
+    texts = packed.join(wanted, "doc_id").select("uid", "packed")
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("chunks"))
     first = hubs.withColumnRenamed("a", "uid").join(texts, "uid").select(
-        F.col("uid").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "text")
+        F.col("uid").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "packed")
     others = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("uid"))
-    rest = others.join(texts, "uid").select("a", "chunk", F.col("uid").alias("b"), "text")
+    rest = others.join(texts, "uid").select("a", "chunk", F.col("uid").alias("b"), "packed")
     return first.unionByName(rest).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()).mapInArrow(
         partial(_verified, words=words, percent=percent), "a long, b long")
 
@@ -217,9 +249,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     nodes.  A null id is reported with a null component and is not kept.  Other columns
     are ignored; an empty table gives no row.
     """
-    rows = band_rows(percent)
+    rows, count = banding(percent)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketched = durable(source.mapInArrow(partial(_sketch, words=words, rows=rows), SKETCHED))
+    sketched = durable(source.mapInArrow(partial(_sketch, words=words, rows=rows, count=count), SKETCHED))
     nodes = durable(
         sketched.where("uid is not null and doc_id is not null").groupBy("uid", "fp")
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))

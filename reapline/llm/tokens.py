@@ -194,7 +194,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
     name = f"{context.partitionId():06d}-{context.taskAttemptId()}.dac"
     system.create_dir(root, recursive=True)
     rows, docs, parts, held, at = [], [], [], 0, 0
-    with system.open_output_stream(f"{root}/{name}") as out:
+    with system.open_output_stream(f"{root}/{name}", compression=None) as out:
         def flush():
             nonlocal docs, parts, held, at
             data = segment(docs, parts)
