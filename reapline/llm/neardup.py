@@ -21,6 +21,7 @@ SKETCH = 192  # coordinates kept, one byte each, to look at pairs of crowded buc
 UNIVERSE = 1 << 22  # length of the two permutations
 BLOCK = 1024  # members of a crowded bucket that meet in one group
 FILTER_BITS = 1 << 24  # of the bitmap that keeps most texts not needed out of the shuffle
+CHUNK = 2048  # members of a component that a document is compared with in one group
 STAR = 256  # texts compared with one hub in one group
 
 _HASHES = WordHashes()
@@ -162,19 +163,22 @@ def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> It
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _texts(ids: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """(uid, packed) of the wanted nodes' texts; only they, and few others, leave the scan, compressed."""
+    wanted = durable(ids.join(nodes.select("uid", "doc_id"), "uid"))
+    bitmap = source.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
+    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).alias(f"place{i}") for i in range(2)]
+    packed = source.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(partial(_needed, bitmap=bitmap), "doc_id long, packed binary")
+    return packed.join(wanted, "doc_id").select("uid", "packed")
+
+
 def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough.
 
-    Only texts in some pair, and few others, leave the scan, compressed.
     Pairs with one hub are dealt into chunks of about ``STAR`` texts; the hub's text goes
     once to each chunk.  A hub with any number of partners is thus spread over tasks.
     """
-    ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    wanted = durable(ids.join(nodes.select("uid", "doc_id"), "uid"))
-    bitmap = source.sparkSession.sparkContext.broadcast(_filter_bits(wanted))
-    places = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.lit(FILTER_BITS)).alias(f"place{i}") for i in range(2)]
-    packed = source.where("doc_id is not null").select("doc_id", "text", *places).mapInArrow(partial(_needed, bitmap=bitmap), "doc_id long, packed binary")
-    texts = packed.join(wanted, "doc_id").select("uid", "packed")
+    texts = _texts(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), nodes, source)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("chunks"))
     first = hubs.withColumnRenamed("a", "uid").join(texts, "uid").select(
         F.col("uid").alias("a"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(None).cast("long").alias("b"), "packed")
@@ -185,7 +189,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, p
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs between two blocks of a bucket that lie in different components and whose sketches agree enough."""
+    """(document, other component) where the document's sketch agrees enough with that of some member in the other block."""
     t = percent / 100
     share = t + (1 - t) / 256
     least = SKETCH * share - 5.2 * np.sqrt(SKETCH * share * (1 - share))
@@ -197,18 +201,18 @@ def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         a, b = [], []
         for i in np.flatnonzero(side == 0):
             r = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            r = r[(sketch[r] == sketch[i]).sum(axis=1) >= least]
-            a.append(np.minimum(uid[r], uid[i]))
-            b.append(np.maximum(uid[r], uid[i]))
+            others = np.unique(comp[r[(sketch[r] == sketch[i]).sum(axis=1) >= least]])
+            a.append(np.full(len(others), uid[i]))
+            b.append(others)
         if a:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["uid", "comp"])
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of crowded buckets that no star has joined yet.
+def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(uid, comp): documents that may be linked with a component that no star has joined them with yet.
 
-    Members of a bucket's commonest component need no comparison among themselves; every
-    other member meets all members, block by block.
+    Members of a crowded bucket's commonest component need no comparison among themselves;
+    every other member meets all members, block by block.
     """
     own = members.where("size > 2 and uid <> hub").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
         "bucket", "uid", F.coalesce("component", "uid").alias("comp"))
@@ -224,7 +228,57 @@ def _open_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent
     left = rows.where("comp <> major").select(*kept, F.lit(0).alias("side"), F.col("lb").alias("left_block"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right_block"))
     right = rows.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left_block"), F.col("rb").alias("right_block"))
     keys = ["bucket", "left_block", "right_block"]
-    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_candidates, percent=percent), "a long, b long").distinct()
+    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_candidates, percent=percent), "uid long, comp long").distinct()
+
+
+def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Streams (component, chunk) groups, members first; emits one link for each other document that some member is similar to."""
+    unpacker = zstandard.ZstdDecompressor()
+    current, members, sets, index, a, b = None, [], [], None, [], []
+    for comp, chunk, other, uid, packed in rows_of(batches, ("comp", "chunk", "other", "uid", "packed")):
+        shingles = shingle_set(unpacker.decompress(packed), words)
+        if fingerprint(shingles)[0] != uid:
+            continue  # another text under the same document id
+        if (comp, chunk) != current:
+            current, members, sets, index = (comp, chunk), [], [], None
+        if not other:
+            members.append(uid)
+            sets.append(shingles)
+            continue
+        if not sets:
+            continue
+        if index is None:
+            sizes = np.array([len(x) for x in sets])
+            every = np.concatenate(sets)
+            order = np.argsort(every, kind="stable")
+            index = every[order], np.repeat(np.arange(len(sets)), sizes)[order], sizes
+        values, owners, sizes = index
+        starts, ends = np.searchsorted(values, shingles, "left"), np.searchsorted(values, shingles, "right")
+        counts = ends - starts
+        places = np.repeat(ends - np.cumsum(counts), counts) + np.arange(counts.sum())
+        shared = np.bincount(owners[places], minlength=len(sizes))
+        similar = np.flatnonzero(100 * shared >= percent * (sizes + len(shingles) - shared))
+        if len(similar):
+            a.append(uid)
+            b.append(members[similar[0]])
+    yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _verify_members(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between documents and members of other components, on full sets.
+
+    A component's members are dealt into chunks of about ``CHUNK``; a document visits every
+    chunk of the component once, so the rows dealt grow with documents times chunks and
+    no pair of documents leaves a task but a link.
+    """
+    member = nodes.select("uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp"))
+    chunks = pairs.select("comp").distinct().join(member, "comp").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    inside = member.join(chunks, "comp").select("comp", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("other"), "uid")
+    visiting = pairs.join(chunks, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("other"), "uid")
+    rows = durable(inside.unionByName(visiting))
+    texts = _texts(rows.select("uid").distinct(), nodes, source)
+    keys = ["comp", "chunk"]
+    return rows.join(texts, "uid").repartition(*keys).sortWithinPartitions(*keys, "other").mapInArrow(partial(_met, words=words, percent=percent), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,8 +294,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     3. Bands of the signature name buckets.  Each bucket's members are compared with one
        member, its hub, on their full sets; links give components.
     4. In buckets that still hold several components, members outside the commonest one
-       meet all others in blocks; pairs that also agree in their sketches are verified on
-       full sets.  No bucket is capped, and pairs already connected are not formed.
+       meet all others in blocks.  Where sketches agree enough, the document is compared
+       with every member of the other component on full sets.  No bucket is capped, and
+       documents already connected are not compared.
 
     A pair at the threshold escapes all bands with a chance below 1e-6.  Null, empty and
     blank texts have no shingle and are linked with nothing.  Rows repeating a document id
@@ -262,7 +317,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     stars = members.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     links = durable(_verify(stars, nodes, source, words, percent))
     labels = components(links)
-    more = durable(_verify(durable(_open_pairs(members, labels, nodes, percent)), nodes, source, words, percent))
+    more = _verify_members(durable(_open(members, labels, nodes, percent)), labels, nodes, source, words, percent)
     labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = nodes.select("uid", "fp", "doc_id").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
