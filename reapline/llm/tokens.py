@@ -30,7 +30,7 @@ from reapline.llm.common import durable, file_system, shared_folder
 
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 MAGIC = b"DACS"
 
 
@@ -86,8 +86,11 @@ class Pieces(dict):
         return self.whole(blank + word)
 
     def __missing__(self, word: str) -> bytes | None:
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= CACHE_PIECES:  # short words come again, long ones hardly
+            short = {w: ids for w, ids in self.items() if len(w) <= 7}
             self.clear()
+            if len(short) <= CACHE_PIECES // 2:
+                self.update(short)
         self[word] = ids = self.word(word)
         return ids
 
