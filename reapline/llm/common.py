@@ -14,11 +14,19 @@ from pyspark.sql import functions as F
 
 from reapline.session import CHECKPOINT_KEY, durable
 
-__all__ = ["durable", "table", "shared_folder", "file_system", "held_out", "byte_words", "WordHashes", "mix", "groups", "rows_of"]
+__all__ = ["durable", "table", "shared_folder", "file_system", "held_out", "use", "CACHES", "byte_words", "WordHashes", "mix", "groups", "rows_of"]
 
 # Words are runs of anything but the ASCII blanks, in Python: bytes.split() without an argument.
 WORD = r"[^\x20\x09-\x0D]+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+CACHES: list = []  # what Python workers remember between tasks; each has clear()
+
+
+def use(cache) -> None:
+    """Forget what other operators remembered in this worker, so that their caches do not add up."""
+    for other in CACHES:
+        if other is not cache:
+            other.clear()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -16,6 +16,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reapline.llm.common import CACHES, use
+
 K1, B = 1.2, 0.75
 SCALE = 64  # impacts are kept as whole numbers, rounded up, so that sums of bounds are exact
 BLOCK_ITEMS = 16  # items of one block of the index
@@ -133,9 +135,11 @@ class Index:
 
 
 _LOADED: dict[str, Index] = {}
+CACHES.append(_LOADED)
 
 
 def _load(data: bytes, name: str) -> Index:
+    use(_LOADED)
     if name not in _LOADED:
         _LOADED.clear()
         _LOADED[name] = pickle.loads(data)

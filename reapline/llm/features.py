@@ -9,7 +9,7 @@ from collections.abc import Sequence
 import numpy as np
 import xxhash
 
-from reapline.llm.common import CACHE_WORDS
+from reapline.llm.common import CACHES, CACHE_WORDS, use
 
 BITS = 18  # size of the feature space, as a power of two
 EDGES = {  # upper bin limits of each structure statistic
@@ -53,9 +53,15 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+CACHES.append(_WORDS)
 _STATS = {(name, bin): place("stat", f"{name}:{bin}") for name, edges in EDGES.items() for bin in range(len(edges) + 1)}
 
 
+def begin() -> None:
+    """To be called where a task begins to make features."""
+    use(_WORDS)
+
+
 def structure(text: str, tokens: list[str], counts: Counter, odd: int) -> dict[str, float]:
     """Statistics of the shape of a whole text; all 0 for an empty one."""
     n = len(tokens)

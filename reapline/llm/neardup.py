@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reapline.llm.common import WordHashes, byte_words, durable, groups, mix, rows_of
+from reapline.llm.common import CACHES, WordHashes, byte_words, durable, groups, mix, rows_of, use
 from reapline.llm.components import components
 
 SIGNATURE = 384  # coordinates of a signature, at most
@@ -25,6 +25,7 @@ CHUNK = 2048  # members of a component that a document is compared with in one g
 STAR = 256  # texts compared with one hub in one group
 
 _HASHES = WordHashes()
+CACHES.append(_HASHES)
 
 
 def banding(percent: int, miss: float = 1e-6) -> tuple[int, int]:
@@ -89,6 +90,7 @@ SKETCHED = "doc_id long, n_shingles long, uid long, fp long, bands array<long>,
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int, count: int) -> Iterator[pa.RecordBatch]:
+    use(_HASHES)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
@@ -141,6 +143,7 @@ def _needed(batches: Iterator[pa.RecordBatch], bitmap) -> Iterator[pa.RecordBatc
 def _verified(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Streams (hub, texts linked with it?) groups, the hub's own text first; emits the links."""
     current, hub, a, b = None, None, [], []
+    use(_HASHES)
     unpacker = zstandard.ZstdDecompressor()
     for key, chunk, member, packed in rows_of(batches, ("a", "chunk", "b", "packed")):
         shingles = shingle_set(unpacker.decompress(packed), words)
@@ -233,6 +236,7 @@ def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
 
 def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Streams (component, chunk) groups, members first; emits one link for each other document that some member is similar to."""
+    use(_HASHES)
     unpacker = zstandard.ZstdDecompressor()
     current, members, sets, index, a, b = None, [], [], None, [], []
     for comp, chunk, other, uid, packed in rows_of(batches, ("comp", "chunk", "other", "uid", "packed")):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reapline.llm.common import held_out, rows_of
-from reapline.llm.features import BITS, text_features
+from reapline.llm.features import BITS, begin, text_features
 
 SAMPLE = 10_000  # labelled rows that train a model, at most
 RANK = 8  # length of a feature's interaction vector
@@ -34,6 +34,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
 
 def featurise(batches: Iterator[pa.RecordBatch], metadata: Sequence[str], shape: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows (order, label, features, values) of labelled texts."""
+    begin()
     names = ["_order", "_label", "text", *metadata]
     for order, label, text, *rest in rows_of(batches, names):
         features, values = text_features(text, list(zip(metadata, rest)), shape)
@@ -137,6 +138,7 @@ def train_quality(documents: DataFrame, labels: DataFrame, label: str = "quality
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, metadata: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    begin()
     machine = FactorisationMachine.load(model.value)
     for batch in batches:
         scores = []
@@ -179,6 +181,7 @@ def keep_quality(documents: DataFrame, labels: DataFrame, metadata: Sequence[str
 
 
 def _keep(batches: Iterator[pa.RecordBatch], model, metadata: Sequence[str], least: float) -> Iterator[pa.RecordBatch]:
+    begin()
     machine = FactorisationMachine.load(model.value)
     for batch in batches:
         for start in range(0, batch.num_rows, 128):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from reapline.llm.common import durable, file_system, shared_folder
+from reapline.llm.common import CACHES, durable, file_system, shared_folder, use
 
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
@@ -47,6 +47,7 @@ class Pieces(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        CACHES.append(self)
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -192,6 +193,7 @@ WRITTEN = "part long, file string, segment int, at long, bytes long, first_doc l
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Writes one file of a sorted partition, under a name of this attempt; emits its segments."""
     pieces, tail = _pieces(path), struct.pack("<I", end_id)
+    use(pieces)
     system, root = file_system(folder)
     context = TaskContext.get()
     name = f"{context.partitionId():06d}-{context.taskAttemptId()}.dac"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reapline.llm.common import held_out
-from reapline.llm.features import BITS, text_features
+from reapline.llm.features import BITS, begin, text_features
 from reapline.llm.quality import FEATURISED, featurise, labelled_sample
 
 SAMPLE = 20_000  # labelled rows that train a model, at most
@@ -98,6 +98,7 @@ def train_toxicity(documents: DataFrame, labels: DataFrame, label: str = "toxic"
 
 
 def _grade(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    begin()
     machine = OrdinalModel.load(model.value)
     grades = np.array(machine.grades)
     for batch in batches:
