@@ -16,6 +16,7 @@ from reapline.llm.features import BITS, begin, text_features
 from reapline.llm.quality import FEATURISED, featurise, labelled_sample
 
 SAMPLE = 20_000  # labelled rows that train a model, at most
+TEXTS, DEVIATIONS = 3, 3.0  # a word is used if in so many labelled texts, with a mean grade so many standard deviations off
 
 
 class OrdinalModel:
@@ -25,32 +26,38 @@ class OrdinalModel:
         self.grades, self.thresholds, self.weights = grades, thresholds, weights
 
     @classmethod
-    def fit(cls, rows: list[tuple[int, np.ndarray]], epochs: int = 12, rate: float = 0.3, l1: float = 2e-4, batch: int = 64) -> OrdinalModel:
+    def fit(cls, rows: list[tuple[int, np.ndarray]], epochs: int = 24, rate: float = 0.3, l1: float = 2e-5, batch: int = 64) -> OrdinalModel:
         """Proximal AdaGrad on the sum of the thresholds' logistic losses.
 
-        The L1 step keeps words that say nothing about the grade at 0, so long texts
-        gather no noise.  Rows are (grade, features) in a fixed order.  A single grade, or none, gives a constant.
+        Only words whose texts have clearly other grades than the rest get a weight, so that
+        long texts gather no noise; the L1 step keeps weights small.  Rows are (grade, features) in a fixed order.  A single grade, or none, gives a constant.
         """
         grades = sorted({g for g, _ in rows}) or [0]
         if len(grades) == 1:
             return cls(grades, np.zeros(0), None)
         level = np.array([grades.index(g) for g, _ in rows])
         k = len(grades) - 1
+        size = 1 << BITS
+        every, of = np.concatenate([f for _, f in rows]), np.repeat(level, [len(f) for _, f in rows])
+        texts = np.bincount(every, minlength=size)
+        off = np.bincount(every, of, size) - texts * level.mean()
+        telling = (texts >= TEXTS) & (np.abs(off) >= DEVIATIONS * np.sqrt(texts * level.var()))
         share = np.array([(level > j).mean() for j in range(k)])
         thresholds = -np.log(share / (1 - share))
-        size = 1 << BITS
         weights, seen, seen_t = np.zeros(size), np.full(size, 1e-2), np.full(k, 1e-2)
         rng = np.random.default_rng(11)
         for _ in range(epochs):
             order = rng.permutation(len(rows))
             for start in range(0, len(order), batch):
                 chosen = order[start : start + batch]
-                parts = [rows[i][1] for i in chosen]
+                parts = [rows[i][1][telling[rows[i][1]]] for i in chosen]
                 lengths = np.array([len(p) for p in parts])
                 features, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), lengths)
                 raw = np.bincount(owner, weights[features], len(parts))
                 error = 1 / (1 + np.exp(-np.clip(raw[:, None] - thresholds, -40, 40))) - (level[chosen][:, None] > np.arange(k))
                 used, where = np.unique(features, return_inverse=True)
+                if not len(used):
+                    continue
                 g = np.bincount(where, error.sum(axis=1)[owner], len(used))
                 seen[used] += g**2
                 step = rate / np.sqrt(seen[used])
