@@ -288,14 +288,13 @@ def multi_vector_lookup(spark, folder):
     return caches.multi_vector_lookup(requests, cache, ("task_vector", "url_vector", "goal_vector"), (0.6, 0.3, 0.1), 5)
 
 
-def _staged(limit_task, limit_score, first_k, first, score, where="true"):
-    return f"""with {PARTS_SQL}, one as (select *, row_number() over (partition by request_id order by round({first}, 6) desc, cache_id) as n from pairs),
-    two as (select request_id, cache_id, domain_key, round(st, 6) as task_similarity, round({score}, 6) as score from one where n <= {first_k} and {where})
+def _staged(limit_task, limit_score, score, where="true"):
+    return f"""with {PARTS_SQL}, two as (select request_id, cache_id, domain_key, round(st, 6) as task_similarity, round({score}, 6) as score from pairs where {where})
     select request_id, cache_id, task_similarity, score, row_number() over (partition by request_id order by score desc, cache_id) as rank from two
     where task_similarity >= {limit_task} and score >= {limit_score} qualify row_number() over (partition by request_id order by score desc, cache_id) <= 3"""
 
 
-@query("staged_code_lookup", _staged(0.80, 0.88, 30, "st * 0.85 + su * 0.15", "sg", "cache_id % 10 <> 1"))
+@query("staged_code_lookup", _staged(0.80, 0.88, "sg", "cache_id % 10 <> 1"))
 def staged_code_lookup(spark, folder):
     requests, cache = cache_tables(spark, folder)
     failed = cache.where("cache_id % 10 = 1").select(
@@ -305,7 +304,7 @@ def staged_code_lookup(spark, folder):
     return hits.drop("domain_key", "cache_type")
 
 
-@query("staged_dom_lookup", _staged(0.80, 0.90, 32, "st", "st * 0.65 + ss * 0.35", "cache_id % 3 <> 0"))
+@query("staged_dom_lookup", _staged(0.80, 0.90, "st * 0.65 + ss * 0.35", "cache_id % 3 <> 0"))
 def staged_dom_lookup(spark, folder):
     requests, cache = cache_tables(spark, folder)
     dated = cache.withColumn("expire_at", F.when(F.col("cache_id") % 3 == 0, "2023-12-31T00:00:00").otherwise("2024-01-01T00:00:00"))

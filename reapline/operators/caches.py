@@ -18,9 +18,9 @@ from reapline.operators.retrieval import dense_topk, request_blocks, similarity_
 from reapline.plans.ranking import top_k
 
 # Thresholds, weights and limits of the two staged lookups.
-CODE_STAGE1 = (0.85, 0.15)
-CODE_CANDIDATES, CODE_TASK_MIN, CODE_GOAL_MIN = 30, 0.80, 0.88
-DOM_CANDIDATES, DOM_TASK_MIN, DOM_SCORE_MIN = 32, 0.80, 0.90
+CODE_TASK_MIN, CODE_GOAL_MIN = 0.80, 0.88
+DOM_TASK_MIN, DOM_SCORE_MIN = 0.80, 0.90
+SITE_ENTRIES = 2000  # entries of a site that meet its requests in one task, about
 DOM_STAGE3 = (0.65, 0.35)
 DUPLICATE = 0.95
 MIN_CODE, MAX_NAVIGATION_CODE = 50, 200
@@ -126,47 +126,54 @@ def drop_quarantined(hits: DataFrame, blacklist: DataFrame, now: Column) -> Data
     return hits.join(active, ["cache_type", "domain_key", "cache_id"], "left_anti")
 
 
-def _with_vectors(hits: DataFrame, requests: DataFrame, cache: DataFrame, names: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """Bounded candidates joined back to both sides' vectors."""
-    stored = cache.select("cache_id", "domain_key", *[F.col(n).alias(f"_c_{n}") for n in names], *extra)
-    asked = requests.select("request_id", *[F.col(n).alias(f"_q_{n}") for n in names])
-    return hits.join(stored, "cache_id").join(asked, "request_id")
+def _of_site(requests: DataFrame, cache: DataFrame, names: Sequence[str], wanted: Column) -> DataFrame:
+    """Entries of a request's site for which ``wanted`` holds; columns ``_q_name`` and ``_c_name`` are the vectors.
+
+    The condition is part of the join, so entries below a threshold are never rows.  The
+    entries of a large site are dealt to several keys and its requests go to each of them.
+    """
+    salts = cache.groupBy("domain_key").agg(F.ceil(F.count(F.lit(1)) / SITE_ENTRIES).cast("int").alias("_salts"))
+    stored = cache.select("cache_id", "domain_key", *[F.col(n).alias(f"_c_{n}") for n in names]).join(salts, "domain_key")
+    stored = stored.withColumn("_salt", F.pmod(F.xxhash64("cache_id"), "_salts").cast("int")).drop("_salts").withColumnRenamed("domain_key", "_site")
+    asked = requests.select("request_id", "domain_key", *[F.col(n).alias(f"_q_{n}") for n in names]).join(salts, "domain_key")
+    asked = asked.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return asked.join(stored, (F.col("domain_key") == F.col("_site")) & (F.col("_to") == F.col("_salt")) & wanted)
+
+
+def _usable(cache: DataFrame, kind: str, blacklist: DataFrame | None, now: Column | None) -> DataFrame:
+    """The cache without quarantined entries, before anything is ranked."""
+    if blacklist is None:
+        return cache
+    return drop_quarantined(cache.withColumn("cache_type", F.lit(kind)), blacklist, now).drop("cache_type")
 
 
 def staged_code_lookup(
     requests: DataFrame, cache: DataFrame, k: int = 3, blacklist: DataFrame | None = None, now: Column | None = None
 ) -> DataFrame:
-    """Stored page code for a task: near by task and address, then by task, then by goal.
+    """Stored page code for a task: every usable entry of the site near enough by task and by goal; the k best by goal.
 
-    Vector columns on both sides: task_vector, url_vector, goal_vector; plus domain_key.
+    Vector columns on both sides: task_vector, goal_vector; plus domain_key.
     """
-    first = multi_vector_lookup(requests, cache, ("task_vector", "url_vector"), CODE_STAGE1, max(k, CODE_CANDIDATES)).drop("score", "rank")
-    df = _with_vectors(first, requests, cache, ("task_vector", "goal_vector"))
     sim = lambda n: F.round(similarity_of(f"_q_{n}", f"_c_{n}"), 6)
-    df = df.withColumns({"task_similarity": sim("task_vector"), "score": sim("goal_vector")})
-    df = df.where((F.col("task_similarity") >= CODE_TASK_MIN) & (F.col("score") >= CODE_GOAL_MIN))
-    df = df.select("request_id", "cache_id", "domain_key", F.lit("codecache").alias("cache_type"), "task_similarity", "score")
-    if blacklist is not None:
-        df = drop_quarantined(df, blacklist, now)
+    wanted = (sim("task_vector") >= CODE_TASK_MIN) & (sim("goal_vector") >= CODE_GOAL_MIN)
+    df = _of_site(requests, _usable(cache, "codecache", blacklist, now), ("task_vector", "goal_vector"), wanted)
+    df = df.select("request_id", "cache_id", "domain_key", F.lit("codecache").alias("cache_type"), sim("task_vector").alias("task_similarity"), sim("goal_vector").alias("score"))
     return top_k(df, ["request_id"], [F.desc("score"), "cache_id"], k)
 
 
 def staged_dom_lookup(
     requests: DataFrame, cache: DataFrame, now: Column, k: int = 3, blacklist: DataFrame | None = None
 ) -> DataFrame:
-    """Stored element hints for a page: near by task, still valid, then by structure and step.
+    """Stored element hints for a page: every valid entry of the site near enough by task, structure and step; the k best.
 
     Vector columns on both sides: task_vector, dom_vector, step_vector; plus domain_key.
     """
-    first = multi_vector_lookup(requests, cache, ("task_vector",), (1.0,), max(k, DOM_CANDIDATES)).drop("score", "rank")
-    df = not_expired(_with_vectors(first, requests, cache, ("task_vector", "dom_vector", "step_vector"), ["expire_at"]), now)
     part = lambda n: similarity_of(f"_q_{n}", f"_c_{n}")
-    score = part("dom_vector") * DOM_STAGE3[0] + part("step_vector") * DOM_STAGE3[1]
-    df = df.withColumns({"task_similarity": F.round(part("task_vector"), 6), "score": F.round(score, 6)})
-    df = df.where((F.col("task_similarity") >= DOM_TASK_MIN) & (F.col("score") >= DOM_SCORE_MIN))
-    df = df.select("request_id", "cache_id", "domain_key", F.lit("domcache").alias("cache_type"), "task_similarity", "score")
-    if blacklist is not None:
-        df = drop_quarantined(df, blacklist, now)
+    near = F.round(part("task_vector"), 6)
+    score = F.round(part("dom_vector") * DOM_STAGE3[0] + part("step_vector") * DOM_STAGE3[1], 6)
+    usable = _usable(not_expired(cache, now), "domcache", blacklist, now)
+    df = _of_site(requests, usable, ("task_vector", "dom_vector", "step_vector"), (near >= DOM_TASK_MIN) & (score >= DOM_SCORE_MIN))
+    df = df.select("request_id", "cache_id", "domain_key", F.lit("domcache").alias("cache_type"), near.alias("task_similarity"), score.alias("score"))
     return top_k(df, ["request_id"], [F.desc("score"), "cache_id"], k)
 
 

@@ -10,14 +10,15 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Elements without content of interest, elements without end tag,
 # attributes and class words to keep, and elements kept even when empty.
-SKIPPED = frozenset("script style noscript svg path head meta link iframe br hr wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SKIPPED = frozenset(("script", "style", "noscript", "svg", "path", "head", "meta", "link", "iframe", "br", "hr", "wbr"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 KEPT_ATTRIBUTES = (
     "href", "src", "title", "placeholder", "type", "aria-label", "role", "data-id", "name", "value", "target",
 )
@@ -25,7 +26,7 @@ CLASS_WORDS = (
     "btn", "nav", "menu", "item", "list", "card", "title", "input", "form", "active", "selected", "search", "link", "banner",
     "main", "footer", "header",
 )
-STRUCTURAL = frozenset("div main section article header footer nav ul ol table tr td".split())
+STRUCTURAL = frozenset(("div", "main", "section", "article", "header", "footer", "nav", "ul", "ol", "table", "tr", "td"))
 MAX_DEPTH = 50
 MAX_TEXT = 200
 MAX_LINK = 100
@@ -257,17 +258,14 @@ def deep_text(nodes: DataFrame) -> DataFrame:
 
 def decode_body(body: Column | str) -> Column:
     """Bytes of a response as text: the encoding that loses fewer characters, UTF-8 first."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
+    return F.pandas_udf(_decode, "string")(body)
 
-    @pandas_udf("string")
-    def decode(values: pd.Series) -> pd.Series:
-        def best(raw):
-            if raw is None:
-                return None
-            texts = [bytes(raw).decode(e, errors="replace") for e in ("utf-8", "gb18030")]
-            return min(texts, key=lambda t: t.count("�"))
 
-        return values.map(best)
+def _decode(values: pd.Series) -> pd.Series:
+    def best(raw):
+        if raw is None:
+            return None
+        texts = [bytes(raw).decode(e, errors="replace") for e in ("utf-8", "gb18030")]
+        return min(texts, key=lambda t: t.count("�"))
 
-    return decode(body)
+    return values.map(best)

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reapline.functions.labels import ITEM_ACTIONS
+from reapline.functions.labels import ITEM_ACTIONS, any_of
 from reapline.functions.text import has_cjk
 from reapline.functions.url import is_http_url, let, normalized_url, stripped
 from reapline.functions.values import (
@@ -374,14 +374,18 @@ def project_schema(items: DataFrame, schema: Column | Sequence[str]) -> DataFram
     return items.withColumn("fields", kept).where(F.exists(F.map_values("fields"), lambda v: F.coalesce(v != "", F.lit(False))))
 
 
+# Wordings of goals about detail pages.
+REFUSED_DETAILS = ("不要进入详情", "不进入详情", "无需进入详情", "只提取详情链接", "仅提取详情链接", "do not open detail", "without opening detail")
+DETAIL_LINKS = ("详情链接", "详情 url", "detail link", "detail url")
+DETAIL_CONTENT = ("进入详情", "打开详情", "点进去", "简介", "描述", "detail page", "description", "summary")
+DETAIL_WORDS = ("详情", "详细", "简介", "介绍", "点进去", "进入每", "每一", "detail", "details", "profile")
+
+
 def wants_details(goal: Column | str, compiled: Column | str) -> Column:
     """Whether a goal asks for detail pages: its contract says so, or its wording does."""
     text = F.lower(F.col(goal) if isinstance(goal, str) else goal)
     required = F.col(compiled) if isinstance(compiled, str) else compiled
-    refused = text.rlike("不要进入详情|不进入详情|无需进入详情|只提取详情链接|仅提取详情链接|do not open detail|without opening detail")
-    link_only = text.rlike("详情链接|详情 url|detail link|detail url")
-    content = text.rlike("进入详情|打开详情|点进去|简介|描述|detail page|description|summary")
-    asks = text.rlike("详情|简介|介绍|点进去|进入每|每一|detail|profile")
+    refused, link_only, content, asks = (text.rlike(any_of(words)) for words in (REFUSED_DETAILS, DETAIL_LINKS, DETAIL_CONTENT, DETAIL_WORDS))
     return required | (~refused & ~(link_only & ~content) & asks)
 
 

@@ -153,3 +153,23 @@ def test_locator_overlap(spark):
     known = spark.createDataFrame([("r", "CSS:.a.b"), ("q", "y")], "run_id string, locator string")
     got = {(r.run_id, r.failed_locator): r.overlaps for r in caches.locator_overlap(failed, known).collect()}
     assert got == {("r", "css: .a"): True, ("r", "x"): False, ("q", ""): False}
+
+
+def test_quarantine_and_expiry_come_before_k(spark):
+    v = [1.0, 0.0]
+    cache = spark.createDataFrame(
+        [(i, "a", v, v, v, v, "2020-01-01T00:00:00" if i < 40 else "2030-01-01T00:00:00") for i in range(41)],
+        "cache_id long, domain_key string, task_vector array<double>, goal_vector array<double>, dom_vector array<double>, step_vector array<double>, expire_at string",
+    )
+    asked = cache.where("cache_id = 40").withColumnRenamed("cache_id", "request_id").drop("expire_at")
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert [r.cache_id for r in caches.staged_dom_lookup(asked, cache, now, 3).collect()] == [40]
+    failed = cache.where("cache_id < 40").select(F.lit("codecache").alias("cache_type"), "domain_key", "cache_id", F.lit("2030-01-01").cast("timestamp").alias("expire_at"))
+    assert [r.cache_id for r in caches.staged_code_lookup(asked, cache, 3, failed, now).collect()] == [40]
+
+
+def test_near_entries_with_another_goal_hide_nothing(spark):
+    same, other = [1.0, 0.0], [0.0, 1.0]
+    cache = spark.createDataFrame([(i, "a", same, other if i < 40 else same) for i in range(41)], "cache_id long, domain_key string, task_vector array<double>, goal_vector array<double>")
+    asked = spark.createDataFrame([(1, "a", same, same)], "request_id long, domain_key string, task_vector array<double>, goal_vector array<double>")
+    assert [r.cache_id for r in caches.staged_code_lookup(asked, cache).collect()] == [40]

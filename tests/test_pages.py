@@ -28,7 +28,7 @@ def test_tree_rules(spark):
 
 
 def test_long_text_links_and_utility_classes(spark):
-    css = " ".join(["u-1", "u-2", "u-3", "u-4", "u-5", "nav-btn-primary-large-width"])
+    css = " ".join(["u-1", "u-2", "u-3", "u-4", "u-5", "u-6", "nav-btn-primary-large-width"])
     row = nodes_of(spark, f'<body><a class="{css}" href="{"h" * 120}">{"t" * 300}</a></body>').where("tag = 'a'").first()
     assert row["class"] == "nav-btn-primary-large-width"
     assert row.attrs["href"] == "h" * 100 + "..."
@@ -72,8 +72,8 @@ def test_deep_text(spark):
 
 
 def test_decode_body(spark):
-    df = spark.createDataFrame([(bytearray("影片".encode("gb18030")),), (bytearray("影片".encode()),), (None,)], "b binary")
-    assert [r.t for r in df.select(html.decode_body("b").alias("t")).collect()] == ["影片", "影片", None]
+    df = spark.createDataFrame([(bytearray("影片名单".encode("gb18030")),), (bytearray("影片".encode()),), (None,)], "b binary")
+    assert [r.t for r in df.select(html.decode_body("b").alias("t")).collect()] == ["影片名单", "影片", None]
 
 
 NODE = "snapshot_id string, ref string, tag string, role string, text string, name string, ord int"
