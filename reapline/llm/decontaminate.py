@@ -10,7 +10,6 @@ from functools import partial
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
@@ -214,13 +213,13 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary())))], ["item_id", "text", "n", "terms"])
 
 
-def _build(key, rows: pd.DataFrame, count: int, mean: float) -> pd.DataFrame:
+def _build(rows: pa.Table, count: int, mean: float) -> pa.Table:
     df, items = {}, {}
-    for item, text, term, n in zip(rows.item_id, rows.text, rows.term, rows.df):
-        df[bytes(term)] = int(n)
-        items[None if pd.isna(item) else int(item), text] = None
+    for item, text, term, n in zip(*(rows[c].to_pylist() for c in ("item_id", "text", "term", "df"))):
+        df[term] = n
+        items[item, text] = None
     index = Index([(item, *question_and_answer(text)) for item, text in items], df, count, mean)
-    return pd.DataFrame({"shard": [key[0]], "data": [pickle.dumps(index)]})
+    return pa.table({"data": pa.array([pickle.dumps(index)], pa.binary())})
 
 
 def shards(items: DataFrame) -> list[bytes]:
@@ -241,7 +240,7 @@ def shards(items: DataFrame) -> list[bytes]:
     n = -(-count // SHARD_ITEMS)
     while True:
         dealt = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
-        built = dealt.groupBy("shard").applyInPandas(partial(_build, count=count, mean=mean), "shard long, data binary")
+        built = dealt.groupBy("shard").applyInArrow(lambda rows: _build(rows, count, mean), "data binary")
         sizes = built.select(F.max(F.length("data"))).first()[0] if n > 1 else None
         found = [bytes(r.data) for r in built.toLocalIterator()] if n == 1 or sizes <= SHARD_BYTES or n >= count else [b""]
         if n >= count or max(map(len, found)) <= SHARD_BYTES and found != [b""]:

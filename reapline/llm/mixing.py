@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
@@ -122,7 +123,9 @@ def mixture(documents: DataFrame, target_entropy: float | None = None, max_repea
         (s, w, quota // counts[s] if counts[s] else 1, quota % counts[s] if counts[s] else 0, min(BLOCKS, max(1, -(-counts[s] // BLOCK_TOKENS))))
         for s, (w, quota) in weights.items()
     ]
-    plan = F.broadcast(spark.createDataFrame(rows, "_name string, _weight double, _full long, _rest long, _blocks long"))  # a row per source, at most SOURCES
+    names = ("_name", "_weight", "_full", "_rest", "_blocks")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), "array<struct<_name:string,_weight:double,_full:long,_rest:long,_blocks:long>>")
+    plan = F.broadcast(spark.range(1).select(F.inline(listed)))  # a row per source, at most SOURCES
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     dealt = docs.join(plan, F.col("source").eqNullSafe(F.col("_name"))).withColumns({"_order": order, "_block": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("_blocks"))})
 

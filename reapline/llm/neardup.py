@@ -321,8 +321,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     stars = members.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     links = durable(_verify(stars, nodes, source, words, percent))
     labels = components(links)
-    more = _verify_members(durable(_open(members, labels, nodes, percent)), labels, nodes, source, words, percent)
-    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    unsettled = durable(_open(members, labels, nodes, percent))
+    if not unsettled.isEmpty():
+        more = durable(_verify_members(unsettled, labels, nodes, source, words, percent))
+        labels = labels if more.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = nodes.select("uid", "fp", "doc_id").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
