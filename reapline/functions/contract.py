@@ -40,6 +40,13 @@ NO_DETAIL = (
 DETAIL_PAGES = ("进入详情页", "打开详情页", "逐个详情", "详情信息", "详情内容", "detail page", "open each detail")
 DETAIL_TEXT = ("简介", "描述", "正文", "description", "summary")
 DETAIL_FIELDS = ("description", "text", "author", "tags")
+TEAM_TASKS = ("球队", "team name", "team stats")
+TEAM_WORDS = ("球队", "team")
+QUOTE_TASKS = ("名言", "quote")
+QUOTE_TEXT = ("正文", "内容", "text", "quote")
+PRODUCT_TASKS = ("商品", "产品", "product")
+TWO_PAGES = ("两页", "2页", "two pages")
+DETAIL_NAMES = ("详情", "detail")
 JAVASCRIPT_WORDS = ("javascript", "动态内容", "动态渲染", "js 渲染", "js-rendered")
 
 # Patterns of counts, pages, rounds and clauses in task wording.
@@ -77,6 +84,22 @@ NAMED_FILTER = (
     r"(?i)(?:在|再在|然后在)?([一-鿿A-Za-z0-9 _-]{1,24}?(?:框|输入框|search box|filter box))"
     r"(?:中|里)?\s*(?:输入|填写|键入|搜索|筛选|filter|type)[^“\"']{0,8}[“\"']([^”\"']+)[”\"']"
 )
+EXPLICIT_FIELDS = r"(?i)(?:字段(?:固定)?(?:为|包括)|fields?\s*(?:are|include|:))\s*([^。；;\n]+)"
+# what exclusions and prohibitions mention is not a filter to apply
+EXCLUSION = r"(?:排除|剔除|跳过|忽略)[^。；;\n]{0,160}"
+NO_FILTER = (
+    NEGATION + r"(?:使用|执行|进行|点击|打开|采用)?\s*(?:站内|页面内)?\s*(?:筛选|过滤|搜索)",
+    r"(?i)(?:do\s+not|don't|without|never)\s+(?:use\s+)?(?:filter|search)",
+)
+QUOTED_FILTER = r"(?i)(?:筛选|过滤|搜索|filter|search)[^，。；;\n]{0,24}?[“\"']([^”\"']+)[”\"']"
+UNQUOTED_FILTER = r"(?:关键词|关键字|包含|等于|为)\s*(?:是|：|:)?\s*([A-Za-z0-9_\-]{2,80})"
+REFUSED_DETAIL = "(?i)" + NEGATION + r"(?:进入|打开|访问|抓取|采集)?[^，。；;\n]{0,12}?详情"
+DETAIL_LINK = r"(?i)详情\s*(?:页)?\s*(?:链接|url)"
+FORMATS = (
+    ("csv", r"(?i)\bcsv\b|保存为\s*csv"),
+    ("jsonl", r"(?i)\bjsonl\b|保存为\s*jsonl"),
+    ("json", r"(?i)\bjson\b|保存为\s*json"),
+)
 UNTIL = (
     r"(?:直到|直至)(?:遇到|出现|包含|看到)?[^“\"']{0,12}[“\"']([^”\"']+)[”\"']",
     r"(?i)until(?:\s+(?:finding|seeing|containing))?\s+[\"']([^\"']+)[\"']",
@@ -104,12 +127,12 @@ def _all_ints(text: Column, pattern: str) -> Column:
 
 def schema_fields(task: Column) -> Column:
     """Ordered canonical fields a task asks for."""
-    explicit = _found(task, r"(?i)(?:字段(?:固定)?(?:为|包括)|fields?\s*(?:are|include|:))\s*([^。；;\n]+)")
+    explicit = _found(task, EXPLICIT_FIELDS)
     text = F.coalesce(stripped(explicit), task)
     lead = (
-        F.when(has(task, ("球队", "team name", "team stats")) & has(text, ("球队", "team")), "team")
-        .when(has(task, ("名言", "quote")) & has(text, ("正文", "内容", "text", "quote")), "text")
-        .when(has(text, TITLE_WORDS) | (has(task, ("商品", "产品", "product")) & explicit.isNull()), "title")
+        F.when(has(task, TEAM_TASKS) & has(text, TEAM_WORDS), "team")
+        .when(has(task, QUOTE_TASKS) & has(text, QUOTE_TEXT), "text")
+        .when(has(text, TITLE_WORDS) | (has(task, PRODUCT_TASKS) & explicit.isNull()), "title")
     )
     named = F.array_distinct(
         F.array_compact(F.array(lead, *[F.when(has(text, words), F.lit(f)) for f, words in FIELD_WORDS]))
@@ -122,7 +145,7 @@ def schema_fields(task: Column) -> Column:
 
 def target_pages(task: Column) -> Column:
     pages = F.concat(*[_all_ints(task, p) for p in PAGE_PATTERNS])
-    two = F.when(has(task, ("两页", "2页", "two pages")), F.lit(2))
+    two = F.when(has(task, TWO_PAGES), F.lit(2))
     return F.coalesce(F.greatest(F.array_max(pages), two), F.lit(1))
 
 
@@ -151,14 +174,10 @@ def filters(task: Column) -> Column:
         ),
     )
     # What URLs, exclusions and prohibitions mention is not a filter to apply.
-    rest = F.regexp_replace(task, URL, "")
-    rest = F.regexp_replace(rest, r"(?:排除|剔除|跳过|忽略)[^。；;\n]{0,160}", "")
-    rest = F.regexp_replace(
-        rest, NEGATION + r"(?:使用|执行|进行|点击|打开|采用)?\s*(?:站内|页面内)?\s*(?:筛选|过滤|搜索)", ""
-    )
-    rest = F.regexp_replace(rest, r"(?i)(?:do\s+not|don't|without|never)\s+(?:use\s+)?(?:filter|search)", "")
-    quoted = _found(rest, r"(?i)(?:筛选|过滤|搜索|filter|search)[^，。；;\n]{0,24}?[“\"']([^”\"']+)[”\"']")
-    unquoted = _found(rest, r"(?:关键词|关键字|包含|等于|为)\s*(?:是|：|:)?\s*([A-Za-z0-9_\-]{2,80})")
+    rest = task
+    for pattern in (URL, EXCLUSION, *NO_FILTER):
+        rest = F.regexp_replace(rest, pattern, "")
+    quoted, unquoted = _found(rest, QUOTED_FILTER), _found(rest, UNQUOTED_FILTER)
     value = F.coalesce(F.nullif(stripped(quoted), F.lit("")), stripped(unquoted))
     hint = F.coalesce(
         *[F.when(F.contains(F.lower(rest), F.lit(h)), F.lit(h)) for h in FILTER_HINTS], F.lit("")
@@ -177,9 +196,9 @@ def filters(task: Column) -> Column:
 
 
 def detail_required(task: Column) -> Column:
-    refused = task.rlike("(?i)" + NEGATION + r"(?:进入|打开|访问|抓取|采集)?[^，。；;\n]{0,12}?详情") | has(task, NO_DETAIL)
-    rest = F.regexp_replace(task, r"(?i)详情\s*(?:页)?\s*(?:链接|url)", "")
-    return ~refused & (has(rest, DETAIL_PAGES) | (has(rest, ("详情", "detail")) & has(rest, DETAIL_TEXT)))
+    refused = task.rlike(REFUSED_DETAIL) | has(task, NO_DETAIL)
+    rest = F.regexp_replace(task, DETAIL_LINK, "")
+    return ~refused & (has(rest, DETAIL_PAGES) | (has(rest, DETAIL_NAMES) & has(rest, DETAIL_TEXT)))
 
 
 def target_url(task: Column) -> Column:
@@ -192,12 +211,7 @@ def until_text(task: Column) -> Column:
 
 
 def output_format(task: Column) -> Column:
-    return (
-        F.when(task.rlike(r"(?i)\bcsv\b|保存为\s*csv"), "csv")
-        .when(task.rlike(r"(?i)\bjsonl\b|保存为\s*jsonl"), "jsonl")
-        .when(task.rlike(r"(?i)\bjson\b|保存为\s*json"), "json")
-        .otherwise("")
-    )
+    return F.coalesce(*[F.when(task.rlike(pattern), F.lit(name)) for name, pattern in FORMATS], F.lit(""))
 
 
 def compile_contracts(tasks: DataFrame, task_col: str = "task") -> DataFrame:

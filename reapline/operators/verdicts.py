@@ -24,6 +24,16 @@ LOW_CONFIDENCE = r"(?i)(不确定|无法确认|可能|也许|疑似|maybe|uncert
 FATAL_WORDS = ("runtime error", "traceback", "elementnotfound", "timeoutexception", "execution failed", "critical")
 SUCCESS_WORDS = ("success", "succeed", "completed", "done", "saved", "成功", "完成", "已保存", "执行完成")
 
+# The parameters of which an action needs at least one.
+NEEDED_PARAMETERS = (
+    ("click", ("ref", "locator", "target_ref")),
+    ("type", ("ref", "locator", "target_ref")),
+    ("select", ("ref", "locator", "target_ref")),
+    ("find", ("text", "ref", "locator")),
+    ("expand", ("ref", "locator")),
+    ("list-items", ("group_ref", "ref", "locator", "target_ref")),
+)
+
 
 def _text(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
@@ -129,12 +139,8 @@ def invalid_actions(actions: DataFrame, selections: DataFrame) -> DataFrame:
     df = actions.join(chosen, ["run_id", "step"], "left")
     skill = F.lower(F.trim(_text("skill")))
     has = lambda *names: F.coalesce(*[F.nullif(F.col("params")[n], F.lit("")) for n in names])
-    needs = {
-        "click": ("ref", "locator", "target_ref"), "type": ("ref", "locator", "target_ref"), "select": ("ref", "locator", "target_ref"),
-        "find": ("text", "ref", "locator"), "expand": ("ref", "locator"), "list-items": ("group_ref", "ref", "locator", "target_ref"),
-    }
     missing = F.lit(False)
-    for name, names in needs.items():
+    for name, names in NEEDED_PARAMETERS:
         missing = missing | ((skill == name) & has(*names).isNull())
     aimed = skill.isin("click", "type", "select") & _flag("target_required")
     given = has("ref", "target_ref")
