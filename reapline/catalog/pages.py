@@ -382,11 +382,10 @@ def line_nodes(spark, folder):
     "table_rows",
     """select l_orderkey as snapshot_id, 'Team ' || cast(l_partkey % 97 as varchar) as team, cast(year(l_shipdate) as varchar) as year,
       cast(cast(l_quantity as int) as varchar) as wins, cast(l_suppkey % 10 as varchar) as losses,
-      row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as item_no from lineitem
-    qualify row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) <= 3""",
+      row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as item_no from lineitem""",
 )
 def table_rows(spark, folder):
-    return snapshots.table_rows(line_nodes(spark, folder), 3)
+    return snapshots.table_rows(line_nodes(spark, folder), 1000)
 
 
 @query(

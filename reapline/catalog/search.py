@@ -410,13 +410,13 @@ def cache_entries(spark, folder):
 
 @query(
     "cacheable_code",
-    """with c as (select conv_id, turn, case when role = 'user' then 'tab.get(' || left(text, 60) || ')' else text end as code, case when conv_id % 5 = 0 then 'cache' else 'new' end as src from conversations)
+    """with c as (select conv_id, turn, case when role = 'user' then 'tab.get(' || text || ')' else text end as code, case when conv_id % 5 = 0 then 'cache' else 'new' end as src from conversations)
     select conv_id, turn from c where src <> 'cache' and length(code) >= 50 and not (length(code) <= 200 and contains(lower(code), 'tab.get(')
       and len(list_filter(string_split(code, chr(10)), lambda x: trim(x) <> '' and not starts_with(trim(x), 'print'))) <= 3)""",
 )
 def cacheable_code(spark, folder):
     c = table(spark, folder, "conversations")
-    code = F.when(F.col("role") == "user", F.concat(F.lit("tab.get("), F.substring("text", 1, 60), F.lit(")"))).otherwise(F.col("text"))
+    code = F.when(F.col("role") == "user", F.concat(F.lit("tab.get("), F.col("text"), F.lit(")"))).otherwise(F.col("text"))
     rows = c.select("conv_id", "turn", code.alias("code"), F.when(F.col("conv_id") % 5 == 0, "cache").otherwise("new").alias("code_source"))
     return caches.cacheable(rows).select("conv_id", "turn")
 

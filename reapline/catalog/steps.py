@@ -98,7 +98,7 @@ def action_chain(spark, folder):
     "premature_finishes",
     f"""with {STEP_SQL}, r as (select c_custkey as run_id, case c_custkey % 4 when 0 then 'scrape the list' when 1 then 'follow the outbound link' when 2 then '提取榜单' else 'look around' end as task,
       c_custkey % 3 > 0 as finished, c_custkey % 10 = 0 as safe_stop from customer),
-    m as (select run_id, bool_or(domain_changed) as moved from (select run_id, k % 4 <> lag(k % 4) over (partition by run_id order by ord) as domain_changed from ev where k < 20) group by 1),
+    m as (select run_id, bool_or(domain_changed) as moved from (select run_id, k % 4 <> lag(k % 4) over (partition by run_id order by ord) as domain_changed from ev) group by 1),
     d as (select run_id, bool_or(event_type = 'purchase' and value > 60) as done from ev group by 1)
     select run_id, case when task = 'follow the outbound link' and not coalesce(moved, false) then 'no_cross_domain_transition'
       when task in ('scrape the list', '提取榜单') and not coalesce(done, false) then 'no_data_collected' end as reason
@@ -110,7 +110,7 @@ def premature_finishes(spark, folder):
     task = F.when(key % 4 == 0, "scrape the list").when(key % 4 == 1, "follow the outbound link").when(key % 4 == 2, "提取榜单").otherwise("look around")
     runs = table(spark, folder, "customer").select(key.alias("run_id"), task.alias("task"), (key % 3 > 0).alias("finished"), (key % 10 == 0).alias("safe_stop"))
     s = steps(spark, folder)
-    moved = journeys.journey_transitions(s.where("k < 20"), block=1000).select("run_id", "domain_changed")
+    moved = journeys.journey_transitions(s, block=1000).select("run_id", "domain_changed")
     said = F.when((F.col("event_type") == "purchase") & (F.col("value") > 60), "records saved").otherwise("clicked")
     return journeys.premature_finishes(runs, moved, s.select("run_id", said.alias("text"))).select("run_id", "reason")
 
