@@ -6,7 +6,7 @@ from reapline.catalog.registry import query, table
 from reapline.functions import labels, text, url, values
 from reapline.operators import features, groups, html, snapshots, structured
 
-TITLE_SQL = r"left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 200)"
+TITLE_SQL = r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g'))"
 CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script.*?>.*?</script>|<style.*?>.*?</style>', '', 'g'),
   '(?s)<!--.*?-->', '', 'g'), '<[^\n]*?>', ' ', 'g'), '\s+', ' ', 'g'))"""
 HOST_SQL = r"regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), ':\d*$', '')"
@@ -101,8 +101,8 @@ def block_signals(spark, folder):
 
 @query(
     "dom_fingerprints",
-    r"""select page_id, left(md5(left(html, 2500)), 16) as dom_hash,
-    md5(left(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '\b\d+\b', '0', 'g'), 12000)) as compact_digest from pages""",
+    r"""select page_id, left(md5(html), 16) as dom_hash,
+    md5(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '\b\d+\b', '0', 'g')) as compact_digest from pages""",
 )
 def dom_fingerprints(spark, folder):
     return table(spark, folder, "pages").select(

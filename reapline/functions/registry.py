@@ -12,8 +12,8 @@ SQL_FUNCTIONS = (
     ("is_http_url", "u STRING", "BOOLEAN", r"coalesce(trim(u) RLIKE '(?i)^https?://[^/?#]+', false)"),
     ("url_site", "u STRING", "STRING", r"lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"),
     ("page_identity", "u STRING", "STRING", r"regexp_replace(regexp_replace(trim(u), '[?#].*$', ''), '/+$', '')"),
-    ("page_title", "html STRING", "STRING", r"left(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ')), 200)"),
-    ("dom_hash", "s STRING", "STRING", "left(md5(left(coalesce(s, ''), 2500)), 16)"),
+    ("page_title", "html STRING", "STRING", r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' '))"),
+    ("dom_hash", "s STRING", "STRING", "left(md5(coalesce(s, '')), 16)"),
     ("has_cjk", "s STRING", "BOOLEAN", r"coalesce(s RLIKE '[\\u3400-\\u4dbf\\u4e00-\\u9fff]', false)"),
     ("token_estimate", "s STRING", "BIGINT", "length(coalesce(s, '')) div 2"),
     ("is_meaningful", "s STRING", "BOOLEAN", r"coalesce(s RLIKE '\\S', false)"),

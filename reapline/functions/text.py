@@ -28,18 +28,18 @@ def clean_html(html) -> Column:
 
 def page_title(html) -> Column:
     title = F.regexp_extract(_col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.substring(collapse_blanks(title), 1, 200)
+    return collapse_blanks(title)
 
 
-def dom_hash(s, max_chars: int = 2500) -> Column:
-    """16 hex digits that change when the start of the page structure changes."""
-    return F.substring(F.md5(F.substring(F.coalesce(_col(s), F.lit("")), 1, max_chars)), 1, 16)
+def dom_hash(s) -> Column:
+    """16 hex digits that change when anything in the page structure changes."""
+    return F.substring(F.md5(F.coalesce(_col(s), F.lit(""))), 1, 16)
 
 
-def compact_dom(s, max_chars: int = 12000) -> Column:
+def compact_dom(s) -> Column:
     """Page structure with blanks collapsed and numbers replaced by 0."""
     text = F.regexp_replace(F.coalesce(_col(s), F.lit("")), r"\s+", " ")
-    return F.substring(F.regexp_replace(text, r"\b\d+\b", "0"), 1, max_chars)
+    return F.regexp_replace(text, r"\b\d+\b", "0")
 
 
 def word_set(s) -> Column:

@@ -5,21 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reapline.functions.text import truncate
 from reapline.functions.values import coerce_number, record_text
 
 # Columns every document has, and fields that are never metadata.
 FIXED_FIELDS = ("source", "title", "category", "data_type", "platform", "crawled_at")
 TEXT_FIELDS = ("text", "content", "page_content")
 INTERNAL_FIELDS = ("text", "pk", "vector")
-MAX_TEXT = 5000
 MIN_TEXT = 10
 
 
 def build_docs(records: DataFrame, fields: str = "fields") -> DataFrame:
-    """Add the document text; records with hardly any text are dropped."""
-    text = record_text(fields)
-    return records.withColumn("text", truncate(text, MAX_TEXT)).where(F.length("text") >= MIN_TEXT)
+    """Add the whole document text; records with hardly any text are dropped."""
+    return records.withColumn("text", record_text(fields)).where(F.length("text") >= MIN_TEXT)
 
 
 def doc_metadata(records: DataFrame, source: Column, crawled_at: Column, fields: str = "fields") -> DataFrame:

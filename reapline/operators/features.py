@@ -1,6 +1,6 @@
 """What a page offers: search, navigation, forms, pagination, content and coverage.
 
-All inputs are snapshot node tables; every list is capped per snapshot by a group limit.
+All inputs are snapshot node tables; lists are whole unless a limit is asked for.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def _is(kind_role: str, *tags: str) -> Column:
     return (_low("role") == kind_role) | _low("tag").isin(*tags)
 
 
-def search_areas(nodes: DataFrame, max_inputs: int = 3, max_buttons: int = 3, reach: int = 5) -> DataFrame:
+def search_areas(nodes: DataFrame, max_inputs: int | None = None, max_buttons: int | None = None, reach: int = 5) -> DataFrame:
     """Search inputs with the search buttons that share a near ancestor.
 
     ``nodes`` carries ``ancestors`` (refs from the root down).  The nearest ``reach``
@@ -74,7 +74,7 @@ def search_areas(nodes: DataFrame, max_inputs: int = 3, max_buttons: int = 3, re
     )
 
 
-def navigation(nodes: DataFrame, limit: int = 5, max_links: int = 10) -> DataFrame:
+def navigation(nodes: DataFrame, limit: int | None = None, max_links: int | None = None) -> DataFrame:
     """Navigation elements first, then parents that hold at least two navigation links."""
     own = nodes.where(_is("navigation", "nav")).select(
         KEY, F.lit(0).alias("_rank"), "ord", F.col("ref"), F.lit("navigation").alias("kind"), F.lit(None).cast("bigint").alias("link_count"),
@@ -88,7 +88,7 @@ def navigation(nodes: DataFrame, limit: int = 5, max_links: int = 10) -> DataFra
     return top_k(own.unionByName(groups), [KEY], ["_rank", "ord", "ref"], limit, "entry_no").drop("_rank", "ord")
 
 
-def top_k_links(links: DataFrame, max_links: int) -> DataFrame:
+def top_k_links(links: DataFrame, max_links: int | None) -> DataFrame:
     counted = links.groupBy(KEY, "parent_ref").agg(F.count(F.lit(1)).alias("link_count"), F.min("ord").alias("ord"))
     first = (
         top_k(links.select(KEY, "parent_ref", "ref", F.col("ord").alias("_o")), [KEY, "parent_ref"], ["_o"], max_links, "n")
@@ -98,7 +98,7 @@ def top_k_links(links: DataFrame, max_links: int) -> DataFrame:
     return counted.join(first, [KEY, "parent_ref"])
 
 
-def forms(nodes: DataFrame, limit: int = 5, max_fields: int = 5) -> DataFrame:
+def forms(nodes: DataFrame, limit: int | None = None, max_fields: int | None = None) -> DataFrame:
     """Form elements first, then parents that hold input controls."""
     is_form = _is("form", "form")
     own = nodes.where(is_form).select(
@@ -140,7 +140,7 @@ def page_controls(nodes: DataFrame) -> DataFrame:
     ).where(F.col("direction").isNotNull())
 
 
-def pagination_groups(nodes: DataFrame, limit: int = 5) -> DataFrame:
+def pagination_groups(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Parents whose controls page through a list."""
     moves = F.col("direction").isin("next", "prev")
     groups = page_controls(nodes).groupBy(KEY, "parent_ref").agg(
@@ -154,24 +154,24 @@ def pagination_groups(nodes: DataFrame, limit: int = 5) -> DataFrame:
     return top_k(named, [KEY], ["ord", "parent_ref"], limit, "entry_no").drop("ord")
 
 
-def content_regions(nodes: DataFrame, limit: int = 5) -> DataFrame:
+def content_regions(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     hit = _low("role").isin("main", "article", "section", "region") | _low("tag").isin("main", "article", "section")
     return _listed(nodes.where(hit), "content_region", limit)
 
 
-def dialogs(nodes: DataFrame, limit: int = 3) -> DataFrame:
+def dialogs(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     return _listed(nodes.where(_low("role") == "dialog"), "dialog", limit)
 
 
-def primary_actions(nodes: DataFrame, limit: int = 10) -> DataFrame:
+def primary_actions(nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Buttons and links that do none of the recognised things."""
     words = [w.lower() for w in (*SEARCH_WORDS, *NEXT_WORDS, *PREVIOUS_WORDS, *NAVIGATION_WORDS)]
     text = _text("text", "name")
     hit = ((_low("role") == "button") | _low("tag").isin("button", "a")) & (text != "") & ~F.lower(text).rlike(any_of(words))
-    return _listed(nodes.where(hit).withColumn("name", F.substring(text, 1, 40)), "primary_action", limit)
+    return _listed(nodes.where(hit).withColumn("name", text), "primary_action", limit)
 
 
-def _listed(nodes: DataFrame, kind: str, limit: int) -> DataFrame:
+def _listed(nodes: DataFrame, kind: str, limit: int | None) -> DataFrame:
     chosen = nodes.select(KEY, "ref", "ord", _low("role").alias("role"), _low("tag").alias("tag"), "name", F.lit(kind).alias("kind"))
     return top_k(chosen, [KEY], ["ord", "ref"], limit, "entry_no").drop("ord")
 
@@ -188,13 +188,13 @@ def region_actions(ref: Column, kind: Column, item_count: Column) -> Column:
     )
 
 
-def format_regions(regions: DataFrame, limit: int = 10) -> DataFrame:
-    """First data regions of every snapshot with their permitted actions."""
+def format_regions(regions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Data regions of every snapshot in page order with their permitted actions."""
     acted = regions.withColumn("available_actions", region_actions(F.col("ref"), F.col("kind"), F.col("item_count")))
     return top_k(acted, [KEY], ["ord", "ref"], limit, "region_no")
 
 
-def page_groups(nodes: DataFrame, regions: DataFrame, min_items: int = 3, max_regions: int = 10) -> DataFrame:
+def page_groups(nodes: DataFrame, regions: DataFrame, min_items: int = 3, max_regions: int | None = None) -> DataFrame:
     """Search areas, pagination and repeated data of every page in one table."""
     ident = lambda prefix, c: F.concat(F.lit(prefix), F.substring(F.md5(c), 1, 8))
     search = search_areas(nodes).select(

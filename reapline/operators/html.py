@@ -27,9 +27,7 @@ CLASS_WORDS = (
     "main", "footer", "header",
 )
 STRUCTURAL = frozenset(("div", "main", "section", "article", "header", "footer", "nav", "ul", "ol", "table", "tr", "td"))
-MAX_DEPTH = 50
-MAX_TEXT = 200
-MAX_LINK = 100
+UNSEEN = re.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
 
 # Which open elements a start tag ends, and the elements that search does not leave.
 ENDS = {
@@ -131,25 +129,35 @@ def _paths(root) -> None:
             stack.append(child)
 
 
-def _kept(element, depth: int):
-    """(element, own columns, kept children) bottom-up; None for what carries nothing."""
-    if depth > MAX_DEPTH or element.tag in SKIPPED:
-        return None
-    attrs = {}
-    for name in KEPT_ATTRIBUTES:
-        value = element.attrs.get(name)
-        if value:
-            long_link = name in ("href", "src") and len(value) > MAX_LINK
-            attrs[name] = value[:MAX_LINK] + "..." if long_link else value
-    text = " ".join(element.texts)
-    if len(text) > MAX_TEXT:
-        text = text[:MAX_TEXT] + "..."
-    css = clean_class(element.attrs.get("class"))
-    children = [(i, kid) for i, kid in enumerate(_kept(c, depth + 1) for c in element.children) if kid]
-    node_id = element.attrs.get("id") or None
-    if not (node_id or css or text or attrs or children) and element.tag not in STRUCTURAL:
-        return None
-    return element, (node_id, css, text or None, attrs), children
+def _hidden(element) -> bool:
+    """Elements that no reader sees, by attribute or inline style; hidden inputs carry data and stay."""
+    if "hidden" in element.attrs or UNSEEN.search(element.attrs.get("style", "")):
+        if not (element.tag == "input" and element.attrs.get("type", "").lower() == "hidden"):
+            return True
+    return element.attrs.get("aria-hidden") == "true" and element.tag not in ("div", "span")
+
+
+def _own(element):
+    """Id, class, text and kept attributes, all of them whole."""
+    attrs = {name: element.attrs[name] for name in KEPT_ATTRIBUTES if element.attrs.get(name)}
+    return element.attrs.get("id") or None, clean_class(element.attrs.get("class")), " ".join(element.texts) or None, attrs
+
+
+def _kept(top):
+    """(element, own columns, kept children) bottom-up, for any depth; None for what carries nothing."""
+    order, stack = [], [top]
+    while stack:
+        element = stack.pop()
+        if element.tag not in SKIPPED and not _hidden(element):
+            order.append(element)
+            stack.extend(element.children)
+    kept = {}
+    for element in reversed(order):
+        own = _own(element)
+        children = [(i, kept[id(c)]) for i, c in enumerate(element.children) if id(c) in kept]
+        if any(own) or children or element.tag in STRUCTURAL:
+            kept[id(element)] = element, own, children
+    return kept.get(id(top))
 
 
 def page_rows(page_id: int, html: str):
@@ -159,7 +167,7 @@ def page_rows(page_id: int, html: str):
     builder.close()
     _paths(builder.root)
     body = next((c for c in builder.root.children if c.tag == "body"), builder.root)
-    top = _kept(body, 0)
+    top = _kept(body)
     if top is None:
         return
     stack = [(top, None, 0, 1, 0, [])]
@@ -186,7 +194,7 @@ _ARROW = pa.schema(
 )
 
 
-def _parse(batches: Iterator[pa.RecordBatch], chunk: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch], chunk: int = 20_000, pages: int = 64) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
 
     def flush():
@@ -194,11 +202,13 @@ def _parse(batches: Iterator[pa.RecordBatch], chunk: int = 20_000) -> Iterator[p
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
 
     for batch in batches:
-        for page_id, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.extend(page_rows(page_id, html))
-            if len(rows) >= chunk:
-                yield flush()
-                rows = []
+        for start in range(0, batch.num_rows, pages):  # only a few pages at a time as Python texts
+            part = batch.slice(start, pages)
+            for page_id, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                rows.extend(page_rows(page_id, html))
+                if len(rows) >= chunk:
+                    yield flush()
+                    rows = []
     if rows:
         yield flush()
 

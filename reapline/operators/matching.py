@@ -1,7 +1,7 @@
 """Requests met with page elements, regions and controls.
 
-Requests and nodes meet only inside their snapshot, and every ranking keeps a bounded
-number of rows per request through a group limit.
+Requests and nodes meet only inside their snapshot.  Every candidate is judged before any
+is left out; rankings then keep the best of a request through a group limit.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from reapline.operators.snapshots import find_text, text_index
 from reapline.plans.ranking import top_k
 
 KEY = "snapshot_id"
-PACK = 8
 
 # Tags and roles that frame a page, fields of statistics tables and quotes,
 # and the words that speak of paging.
@@ -50,8 +49,8 @@ def confidence(name: Column, text: Column, hint: Column, interactable: Column, v
     return F.least(F.lit(1.0), F.round(F.lit(0.5) + agreement + extra, 2))
 
 
-def candidates(nodes: DataFrame, requests: DataFrame, per_hint: int = 10, near_limit: int = 8) -> DataFrame:
-    """Nodes a request may mean, in the order the rules find them, at most eight.
+def candidates(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """Nodes a request may mean, all of them, numbered in the order the rules find them.
 
     ``requests``: request_id, snapshot_id, intent, target_hint, roles, texts, region_hint,
     near, exclude (arrays may be null).  Order: the named region alone; nodes with a hint's
@@ -78,11 +77,9 @@ def candidates(nodes: DataFrame, requests: DataFrame, per_hint: int = 10, near_l
     worded = open_.select("request_id", KEY, "intent", "roles", F.posexplode(hints).alias("hint_no", "_hint"))
     needle = F.lower("_hint")
     holds = F.contains(_low("text"), needle) | F.contains(_low("name"), needle) | F.contains(_low("placeholder"), needle)
-    by_text = top_k(worded.join(slim, KEY).where(of_role & of_type & holds), ["request_id", "hint_no"], ["ord", "ref"], per_hint, "_n")
-    by_text = hit(by_text, 1, "hint_no")
+    by_text = hit(worded.join(slim, KEY).where(of_role & of_type & holds), 1, "hint_no")
     rest = without(open_, by_text)
-    by_role = top_k(rest.where(F.size("roles") > 0).join(slim, KEY).where(of_role & of_type), ["request_id"], ["ord", "ref"], per_hint, "_n")
-    by_role = hit(by_role, 2)
+    by_role = hit(rest.where(F.size("roles") > 0).join(slim, KEY).where(of_role & of_type), 2)
     index = text_index(nodes)
     left = without(rest, by_role).where("target_hint <> ''")
     found = find_text(index, nodes, left.select("request_id", KEY, F.col("target_hint").alias("text")))
@@ -96,7 +93,7 @@ def candidates(nodes: DataFrame, requests: DataFrame, per_hint: int = 10, near_l
         parent.where(F.coalesce("_p", F.lit("")) != "").join(near.select("request_id", "roles"), "request_id").join(slim, KEY)
         .where((F.col("parent_ref") == F.col("_p")) & (F.col("ref_type") == "element") & of_role)
     )
-    by_near = hit(top_k(around, ["request_id"], ["ord", "ref"], near_limit, "_n"), 4)
+    by_near = hit(around, 4)
     every = region.unionByName(by_text).unionByName(by_role).unionByName(by_token).unionByName(by_near)
     place = F.struct("tier", "hint_no", "ord")
     unique = every.groupBy("request_id", "ref").agg(F.min(place).alias("_at"))
@@ -106,7 +103,7 @@ def candidates(nodes: DataFrame, requests: DataFrame, per_hint: int = 10, near_l
     )
     body = F.lower(F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
     barred = let(body, lambda b: F.exists("exclude", lambda x: (stripped(x) != "") & F.contains(b, F.lower(stripped(x)))))
-    return top_k(full.where(~barred), ["request_id"], ["_at", "ref"], PACK, "candidate_no").drop("_at")
+    return top_k(full.where(~barred), ["request_id"], ["_at", "ref"], None, "candidate_no").drop("_at")
 
 
 def _minus(requests: DataFrame, found) -> DataFrame:
@@ -136,24 +133,24 @@ def match_elements(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     rows = scored.join(stated, "request_id").withColumn(
         "_exact", F.array_contains("_stated", F.lower(stripped("name"))) | F.array_contains("_stated", F.lower(stripped("text")))
     )
+    rows = top_k(rows, ["request_id"], [F.desc("confidence"), "candidate_no"], None, "_place")
     strong = F.col("confidence") > 0.7
-    # At most eight candidates per request are gathered here.
+    at = lambda place, c: F.max(F.when(F.col("_place") == place, F.col(c)))
     per = rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("candidates"),
-        F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "candidate_no", "ref"))).alias("_r"),
+        at(1, "ref").alias("_best_ref"), at(1, "confidence").alias("_best"), at(2, "confidence").alias("_second"),
         F.count_if("_exact").alias("_exact"),
         F.min(F.when(F.col("_exact"), F.col("ref"))).alias("_exact_ref"),
         F.count_if(strong).alias("_strong"),
         F.count_distinct(F.when(strong, F.coalesce("name", F.lit("")))).alias("_names"),
         F.count_distinct(F.when(strong, F.coalesce("text", F.lit("")))).alias("_texts"),
     )
-    best, second = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
-    top, gap = -best["c"], -best["c"] + F.coalesce(second["c"], F.lit(0.0))
+    top, gap = F.col("_best"), F.col("_best") - F.coalesce("_second", F.lit(0.0))
     clash = (F.col("_names") < F.col("_strong")) | (F.col("_texts") < F.col("_strong"))
     chosen = (
         F.when(F.col("_exact") == 1, F.struct(F.col("_exact_ref").alias("ref"), F.lit(1.0).alias("confidence")))
-        .when((F.col("candidates") == 1) & (top >= 0.8), F.struct(best["ref"].alias("ref"), top.alias("confidence")))
-        .when(~clash & (top >= 0.85) & (F.round(gap, 2) >= 0.2), F.struct(best["ref"].alias("ref"), top.alias("confidence")))
+        .when((F.col("candidates") == 1) & (top >= 0.8), F.struct(F.col("_best_ref").alias("ref"), top.alias("confidence")))
+        .when(~clash & (top >= 0.85) & (F.round(gap, 2) >= 0.2), F.struct(F.col("_best_ref").alias("ref"), top.alias("confidence")))
     )
     decided = per.withColumns({"_c": chosen, "has_conflict": clash})
     df = requests.select("request_id", KEY).join(decided, "request_id", "left")

@@ -103,10 +103,10 @@ def ungrouped_nodes(nodes: DataFrame, groups: DataFrame, key: str = "snapshot_id
     return nodes.join(groups.select(key, F.explode("refs").alias("ref")), [key, "ref"], "left_anti")
 
 
-def expand_group(groups: DataFrame, nodes: DataFrame, limit: int = 20, kind: str | None = None, key: str = "snapshot_id") -> DataFrame:
-    """First members of every group as node rows."""
+def expand_group(groups: DataFrame, nodes: DataFrame, limit: int | None = None, kind: str | None = None, key: str = "snapshot_id") -> DataFrame:
+    """Members of every group, the first ``limit`` if given, as node rows."""
     chosen = groups.where(F.col("kind") == kind) if kind else groups
-    refs = chosen.select(key, "group_id", F.posexplode(F.slice("refs", 1, limit)).alias("member_no", "ref"))
+    refs = chosen.select(key, "group_id", F.posexplode("refs" if limit is None else F.slice("refs", 1, limit)).alias("member_no", "ref"))
     return refs.join(nodes, [key, "ref"])
 
 
@@ -120,7 +120,7 @@ def text_index(nodes: DataFrame, key: str = "snapshot_id") -> DataFrame:
     return words.withColumn("token", F.explode(tokens))
 
 
-def find_text(index: DataFrame, nodes: DataFrame, requests: DataFrame, limit: int = 20, key: str = "snapshot_id") -> DataFrame:
+def find_text(index: DataFrame, nodes: DataFrame, requests: DataFrame, limit: int | None = None, key: str = "snapshot_id") -> DataFrame:
     """Nodes a text points at: token hits, and substring hits only where no token hits.
 
     ``requests``: request_id, snapshot, text, optional scope_parent.
@@ -153,9 +153,9 @@ def find_text(index: DataFrame, nodes: DataFrame, requests: DataFrame, limit: in
 
 def search_nodes(
     nodes: DataFrame, *, role=None, tag=None, text=None, name=None, ref_type=None, parent_ref=None, region_refs: DataFrame | None = None,
-    visible=False, interactable=False, limit: int | None = 20, key: str = "snapshot_id",
+    visible=False, interactable=False, limit: int | None = None, key: str = "snapshot_id",
 ) -> DataFrame:
-    """Nodes that satisfy every given condition, the first ``limit`` per snapshot."""
+    """Nodes that satisfy every given condition, the first ``limit`` per snapshot if given."""
     many = lambda v: [v] if isinstance(v, str) else list(v)
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     df = nodes
@@ -276,7 +276,7 @@ def region_match(nodes: DataFrame, pairs: DataFrame, key: str = "snapshot_id") -
     return df.withColumn("matches", matched).drop("_rx", "_tx")
 
 
-def near(nodes: DataFrame, anchors: DataFrame, limit: int = 10, key: str = "snapshot_id") -> DataFrame:
+def near(nodes: DataFrame, anchors: DataFrame, limit: int | None = None, key: str = "snapshot_id") -> DataFrame:
     """Siblings of each anchor node.  ``anchors``: request_id, snapshot, ref."""
     parents = anchors.join(nodes.select(key, "ref", "parent_ref"), [key, "ref"]).where(F.coalesce("parent_ref", F.lit("")) != "")
     around = parents.select("request_id", key, "parent_ref").join(nodes, [key, "parent_ref"])

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per key.
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows per key, numbered; all of them without ``k``.
 
     Spark turns the filter on ``row_number`` into a group limit below the exchange, so
     each task sends at most ``k`` rows of a key, however large the key is.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(w))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

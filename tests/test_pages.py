@@ -31,8 +31,17 @@ def test_long_text_links_and_utility_classes(spark):
     css = " ".join(["u-1", "u-2", "u-3", "u-4", "u-5", "u-6", "nav-btn-primary-large-width"])
     row = nodes_of(spark, f'<body><a class="{css}" href="{"h" * 120}">{"t" * 300}</a></body>').where("tag = 'a'").first()
     assert row["class"] == "nav-btn-primary-large-width"
-    assert row.attrs["href"] == "h" * 100 + "..."
-    assert row.txt == "t" * 200 + "..."
+    assert row.attrs["href"] == "h" * 120
+    assert row.txt == "t" * 300
+
+
+def test_any_depth_and_hidden_elements(spark):
+    deep = "<div>" * 1500 + "<b>core</b>" + "</div>" * 1500
+    unseen = '<p style="color:red; display: none">a</p><p hidden>b</p><i aria-hidden="true">c</i><div aria-hidden="true">d</div><input type="hidden" name="n" hidden>'
+    rows = nodes_of(spark, f"<body>{deep}{unseen}</body>").collect()
+    assert [r.depth for r in rows if r.txt == "core"] == [1501]
+    assert [r.txt for r in rows if r.txt in ("a", "b", "c", "d")] == ["d"]
+    assert [r.attrs["name"] for r in rows if r.tag == "input"] == ["n"]
 
 
 def test_sample_children(spark):
@@ -241,6 +250,21 @@ def test_match_elements(spark):
     assert (got[5].status, got[5].target_ref) == ("selected", "e2")
 
 
+def test_candidates_late_on_the_page_are_judged(spark):
+    rows = [{"ref": f"e{i}", "text": f"cart {i}", "name": f"cart {i}"} for i in range(1, 31)] + [{"ref": "e31", "text": "Cart", "name": "Cart"}]
+    asked = spark.createDataFrame([(1, "s", "click", "x", None, ["Cart"], "", "", None)], REQUEST)
+    row = matching.match_elements(full(spark, rows), asked).first()
+    assert (row.status, row.target_ref, row.candidates) == ("selected", "e31", 31)
+
+
+def test_lists_of_features_are_whole(spark):
+    rows = [{"ref": f"e{i}", "text": f"Home {i}"} for i in range(30)] + [{"ref": f"e{100 + i}", "tag": "article", "role": "article"} for i in range(30)]
+    nodes = full(spark, rows)
+    assert len(features.navigation(nodes).first().links) == 30
+    assert features.content_regions(nodes).count() == 30
+    assert features.content_regions(nodes, 5).count() == 5
+
+
 def test_lookup_order_of_verify_and_near(spark):
     nodes = full(spark, [{"ref": "e1"}, {"ref": "r2", "ref_type": "container", "tag": "div", "role": ""}])
     req = spark.createDataFrame([(1, "s", "e1", "click"), (2, "s", "r2", "click"), (3, "s", "e99", "type")], "request_id int, snapshot_id string, ref string, intent string")
