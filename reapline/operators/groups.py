@@ -31,7 +31,7 @@ def structural_hash(nodes: DataFrame) -> DataFrame:
     return df.withColumn("hash", shape(F.col("tag"), F.col("class"), F.col("kid_tags"), F.col("attrs")["type"])).drop("kid_tags")
 
 
-def compress_siblings(nodes: DataFrame, min_size: int = 3, max_depth: int = 50) -> DataFrame:
+def compress_siblings(nodes: DataFrame, min_size: int = 3) -> DataFrame:
     """Runs of equal neighbours, found from the deepest level upwards.
 
     A parent is compared by its children as they look after compression.  Adds ``hash``,
@@ -49,7 +49,7 @@ def compress_siblings(nodes: DataFrame, min_size: int = 3, max_depth: int = 50)
     siblings = Window.partitionBy("page_id", "parent_ref").orderBy("pos")
     run = Window.partitionBy("page_id", "parent_ref", "run_no")
     done, kids = None, None
-    for level in range(min(top, max_depth), -1, -1):
+    for level in range(top, -1, -1):
         rows = nodes.where(F.col("depth") == level)
         if kids is None:
             rows = rows.withColumn("kid_tags", F.array().cast("array<string>"))

@@ -70,6 +70,17 @@ def test_parents_compare_by_compressed_children(spark):
     assert {r.run_size for r in outer} == {3}
 
 
+def test_runs_at_any_depth(spark):
+    unlike = "<div><b>x</b></div><div><i>y</i></div><div><u>z</u></div>"  # at level 50
+    page = "<body>" + "<div>" * 49 + unlike + "<div>" * 10 + "<p>1</p><p>2</p><p>3</p>" + "</div>" * 59 + "</body>"
+    nodes = nodes_of(spark, page)
+    out = groups.compress_siblings(nodes).cache()
+    assert out.count() == nodes.count()
+    assert {r.depth for r in out.where("tag = 'p'").collect()} == {60}
+    assert [(r.tag, r["count"], r.text) for r in groups.group_columns(out).collect()] == [("p", 3, ["1", "2", "3"])]
+    assert {r.run_role for r in out.where("depth = 50").collect()} == {"single"}
+
+
 def test_expansion_restores_members(spark):
     out = groups.compress_siblings(nodes_of(spark, PAGE))
     assert out.count() == nodes_of(spark, PAGE).count()
