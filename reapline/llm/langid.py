@@ -31,10 +31,23 @@ def normal(text: str) -> bytes:
     return b" ".join(w for w, last in zip(words, [b"", *words]) if w != last)
 
 
+def excerpt(text: str) -> bytes:
+    """The first ``TEXT_BYTES`` of a text at most, cut at a blank near the end or else at a character."""
+    data = normal(text)
+    if len(data) <= TEXT_BYTES:
+        return data
+    cut = data.rfind(b" ", TEXT_BYTES * 3 // 4, TEXT_BYTES + 1)
+    if cut < 0:  # a script without blanks, or a very long word
+        cut = TEXT_BYTES
+        while data[cut] & 0xC0 == 0x80:
+            cut -= 1
+    return data[:cut]
+
+
 def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of the chosen training texts, cut at a word."""
+    """Stretches of the chosen training texts."""
     for rank, lang, text in rows_of(batches, ("rank", "lang", "text")):
-        data = normal(text)[:TEXT_BYTES].rpartition(b" ")[0]
+        data = excerpt(text)
         yield pa.record_batch([pa.array([lang]), pa.array([rank], pa.int64()), pa.array([data])], ["lang", "rank", "data"])
 
 
@@ -55,7 +68,7 @@ def dictionaries(documents: DataFrame) -> dict[str, bytes]:
     parts: dict[str, list[bytes]] = {}
     for row in first.mapInArrow(_excerpts, "lang string, rank long, data binary").orderBy("lang", "rank").toLocalIterator():
         held = parts.setdefault(row.lang, [])
-        if bytes(row.data) not in held and sum(map(len, held)) + len(row.data) <= DICTIONARY_BYTES:
+        if row.data and bytes(row.data) not in held and sum(map(len, held)) + len(row.data) <= DICTIONARY_BYTES:
             held.append(bytes(row.data))
     return {lang: b" ".join(reversed(held)) for lang, held in sorted(parts.items()) if held}
 

@@ -162,6 +162,26 @@ def test_language(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_languages_without_blanks(spark):
+    rng = np.random.default_rng(6)
+    letters = {"en": "abcdefgh", "ja": [chr(0x3042 + i) for i in range(60)], "zh": [chr(0x4E00 + i) for i in range(300)]}
+    known = {lang: ["".join(rng.choice(list(own), 3)) for _ in range(60)] for lang, own in letters.items()}
+    text = lambda lang, i: (" " if lang == "en" else "").join(rng.choice(known[lang], 200 if i % 2 else 40))
+    rows = [(i, text(lang, i), lang) for i, lang in enumerate(list(letters) * 40)]
+    docs = spark.createDataFrame(rows + [(900, "word", "one")], "doc_id long, text string, lang string")
+    content = langid.dictionaries(docs)
+    assert set(content) == {"en", "ja", "one", "zh"} and all(content.values())
+    assert all(len(content[x].decode()) > 2000 for x in ("ja", "zh"))
+    found = langid.identify(docs).join(docs, "doc_id").where("held_out and lang <> 'one'").collect()
+    assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95
+
+
+def test_excerpt_borders():
+    assert langid.excerpt("two words") == b"two words"
+    assert langid.excerpt("ai " + "文" * 1000) == ("ai " + "文" * 340).encode()
+    assert langid.excerpt("some words " * 1000) == b"some words " * 92 + b"some words"
+
+
 # top-k search
 
 def test_search_equals_brute_force(spark):
