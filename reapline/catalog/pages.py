@@ -385,7 +385,7 @@ def line_nodes(spark, folder):
       row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as item_no from lineitem""",
 )
 def table_rows(spark, folder):
-    return snapshots.table_rows(line_nodes(spark, folder), 1000)
+    return snapshots.table_rows(line_nodes(spark, folder))
 
 
 @query(
@@ -429,4 +429,4 @@ def quote_blocks(spark, folder):
         F.col("conv_id").alias("snapshot_id"), F.concat(F.lit("r"), (F.col("turn") * 10 + F.col("i")).cast("string")).alias("ref"), "c.tag",
         F.lit("").alias("role"), "c.text", F.lit("").alias("name"), (F.col("turn") * 10 + F.col("i")).alias("ord"),
     )
-    return snapshots.quote_blocks(nodes, 100).withColumn("tags", F.array_join("tags", " "))
+    return snapshots.quote_blocks(nodes).withColumn("tags", F.array_join("tags", " "))

@@ -308,8 +308,8 @@ def ordered_nodes(nodes: DataFrame) -> DataFrame:
     return df.withColumn("tag", F.lower(F.coalesce("tag", F.lit("")))).withColumn("role", F.lower(F.coalesce("role", F.lit(""))))
 
 
-def table_rows(nodes: DataFrame, limit: int, key: str = "snapshot_id") -> DataFrame:
-    """Team table records: the cells between one row element and the next."""
+def table_rows(nodes: DataFrame, limit: int | None = None, key: str = "snapshot_id") -> DataFrame:
+    """Team table records: the cells between one row element and the next; the first ``limit`` per snapshot if given."""
     w = Window.partitionBy(key).orderBy("n")
     rows = ordered_nodes(nodes).withColumn("row_no", F.sum(((F.col("tag") == "tr") & (F.col("role") == "row")).cast("int")).over(w))
     cells = rows.where((F.col("row_no") > 0) & (F.col("tag") == "td") & (F.col("t") != ""))
@@ -326,16 +326,22 @@ def table_rows(nodes: DataFrame, limit: int, key: str = "snapshot_id") -> DataFr
 QUOTE = r"(?s)([“\"][^”\"]+[”\"])\s+by\s+(.+?)\s+\(about\)\s+Tags:\s*(.*?)(?=\s+[“\"]|\s+Next\b|$)"
 
 
-def quote_blocks(nodes: DataFrame, limit: int, key: str = "snapshot_id") -> DataFrame:
-    """Quote records: from the shortest text that holds enough of them, else from node order."""
+def quote_blocks(nodes: DataFrame, limit: int | None = None, key: str = "snapshot_id", least: int | None = None) -> DataFrame:
+    """Quote records: from the shortest text that holds enough of them, else from node order.
+
+    The first ``limit`` per snapshot if given.  Enough are ``least``, or ``limit`` without
+    it; with neither, node order alone is read.
+    """
+    least = limit if least is None else least
     count = lambda c, word: (F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)
     text = F.coalesce(F.nullif(stripped("text"), F.lit("")), stripped("name"), F.lit(""))
-    whole = nodes.withColumn("t", text).where((count(F.col("t"), "Tags:") >= limit) & (count(F.lower("t"), " by ") >= limit))
+    enough = lambda n: F.lit(False) if least is None else n >= least
+    whole = nodes.withColumn("t", text).where(enough(count(F.col("t"), "Tags:")) & enough(count(F.lower("t"), " by ")))
     parts = [F.regexp_extract_all("t", F.lit(QUOTE), F.lit(i)) for i in (1, 2, 3)]
-    matched = whole.withColumn("_q", F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("q", "a", "g"))])).where(F.size("_q") >= limit)
+    matched = whole.withColumn("_q", F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("q", "a", "g"))])).where(enough(F.size("_q")))
     best = matched.groupBy(key).agg(F.min_by("_q", F.struct(F.length("t"), "ord")).alias("_q"))
     tags_of = lambda c: F.filter(F.split(stripped(c), r"\s+"), lambda x: x != "")
-    from_text = best.select(key, F.posexplode(F.slice("_q", 1, limit)).alias("item_no", "_r")).select(
+    from_text = best.select(key, F.posexplode("_q" if limit is None else F.slice("_q", 1, limit)).alias("item_no", "_r")).select(
         key, (F.col("item_no") + 1).alias("item_no"), stripped("_r.q").alias("text"), stripped("_r.a").alias("author"), tags_of(F.col("_r.g")).alias("tags")
     )
     w = Window.partitionBy(key).orderBy("n")

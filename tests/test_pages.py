@@ -132,6 +132,21 @@ def test_table_rows(spark):
     assert got[1].losses == "30"
 
 
+def test_long_snapshots_lose_no_record(spark, tmp_path):
+    from reapline.catalog import pages
+
+    lines = spark.range(1, 1501).select(
+        F.lit(7).cast("long").alias("l_orderkey"), F.col("id").alias("l_linenumber"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"),
+        F.lit("1996-01-02").cast("date").alias("l_shipdate"), F.lit(3.0).alias("l_quantity"),
+    )
+    turns = spark.range(150).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("some answer").alias("text"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r.item_no for r in pages.table_rows(spark, str(tmp_path)).orderBy("item_no").collect()] == list(range(1, 1501))
+    quotes = pages.quote_blocks(spark, str(tmp_path)).orderBy("item_no").collect()
+    assert [(r.item_no, r.author) for r in quotes] == [(i + 1, f"Author {i}") for i in range(150)]
+
+
 def test_enrich_products(spark):
     rows = [
         ("r20", "h3", "", "Product One"), ("r21", "p", "", "Description"), ("r22", "div", "", "24.99"), ("r30", "h3", "", "Product Two"), ("r31", "div", "", "4.99"),
