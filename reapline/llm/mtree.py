@@ -198,7 +198,7 @@ def _at_root(batches: Iterator[pa.RecordBatch], root, cells: dict) -> Iterator[p
             norm = np.linalg.norm(qf, axis=1)
             for cell, (radius, first) in cells.items():
                 bound = _rounded(qf @ centres[cell] + norm * radius)
-                keep = (bound > least[:, 0]) | (bound == least[:, 0]) & (first < least[:, 1])
+                keep = (bound > least[:, 0]) | (bound == least[:, 0]) & (first <= least[:, 1])
                 if keep.any():
                     yield _pack(row["node"], {"cell": cell}, ids[keep], q[keep], least[keep])
 
@@ -223,9 +223,9 @@ def _at_subtree(batches: Iterator[pa.RecordBatch], root) -> Iterator[pa.RecordBa
             squares = (qf**2).sum(1)
             gap = np.maximum(0, np.abs(np.linalg.norm(qf - centres[row["cell"]], axis=1) - row["to_root"]) - row["radius"])
             bound = _rounded((squares + row["square"] - gap**2) / 2)
-            keep = np.flatnonzero((bound > least[:, 0]) | (bound == least[:, 0]) & (row["first_id"] < least[:, 1]))
+            keep = np.flatnonzero((bound > least[:, 0]) | (bound == least[:, 0]) & (row["first_id"] <= least[:, 1]))
             bound = _rounded(qf[keep] @ np.frombuffer(row["centre"], np.float64) + np.sqrt(squares[keep]) * row["radius"])
-            keep = keep[(bound > least[keep, 0]) | (bound == least[keep, 0]) & (row["first_id"] < least[keep, 1])]
+            keep = keep[(bound > least[keep, 0]) | (bound == least[keep, 0]) & (row["first_id"] <= least[keep, 1])]
             if len(keep):
                 yield _pack(row["pack"], {"node": row["node"]}, ids[keep], q[keep], least[keep])
 

@@ -201,6 +201,21 @@ def test_search_equals_brute_force(spark):
     assert mtree.top_neighbours(data.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_search_keeps_the_row_that_sets_the_score_to_beat(spark):
+    schema = "vec_id long, embedding array<float>"
+    alike = spark.createDataFrame([(i, [0.1] * 4) for i in range(1, 301)], schema)
+    repeated = alike.unionByName(spark.createDataFrame([(1, [0.1] * 4)] * 4, schema))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # the queries' own subtree then holds the smallest id
+    try:
+        one, three = mtree.top_neighbours(alike, 1, 100).collect(), mtree.top_neighbours(repeated, 3, 100).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert (len(one), len(three)) == (3, 9)
+    assert sorted((r.query_id, r.vec_id) for r in one) == [(100, 1), (200, 1), (300, 1)]
+    assert sorted((r.query_id, r.vec_id, r.rank) for r in three) == [(q, 1, k) for q in (100, 200, 300) for k in (1, 2, 3)]
+
+
 # chat
 
 def test_chat_round_trip(spark):
