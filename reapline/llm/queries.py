@@ -15,6 +15,7 @@ from reapline.llm.mixing import mixture
 from reapline.llm.mtree import top_neighbours
 from reapline.llm.neardup import near_duplicates
 from reapline.llm.quality import quality_scores
+from reapline.llm.sentencepieces import decode, digests, encode
 from reapline.llm.tokens import token_table
 from reapline.llm.toxicity import toxicity
 from reapline.llm.warc import archive_table
@@ -87,6 +88,12 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query
+def op13_sentencepiece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    return digests(decode(encode(table(spark, sf_dir, "documents"), model), model))
+
+
 SQL["op8_minhash_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
