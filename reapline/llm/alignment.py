@@ -12,19 +12,23 @@ carry each pair's counts back to the documents of a block.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from reapline.llm.common import CACHES, shared_folder, use
 from reapline.llm.sentencepieces import BLANK, BYTE, piece_model
-from reapline.llm.tokens import Pieces
+from reapline.llm.tokens import byte_spelling
 
 BLOCK_DOCS = 1 << 16  # documents of a block, numbered by 16 bits
 DENSE = 4096  # places from which on a bitmap is smaller than a list
@@ -41,81 +45,86 @@ class Aligner(dict):
     def __init__(self, byte_path: str, piece_path: str):
         super().__init__()
         CACHES.append(self)
-        self.a = Pieces(byte_path)
-        self.a.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        self.b = piece_model(piece_path)
-        spelled = {s: bytes([b]) for b, s in enumerate(self.a.spelling)}
-        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
-        self.a_bytes = {i: b"".join(map(spelled.__getitem__, token)) for token, i in vocabulary.items() if all(c in spelled for c in token)}
-        self.b_bytes = [bytes([self.b.byte_of[i]]) if t == BYTE else p.replace(BLANK, " ").encode() for i, (p, t) in enumerate(zip(self.b.pieces, self.b.types))]
-        self.chars = 0
-        self.reset()
-
-    def reset(self) -> None:
-        self.strings, self.pairs, self.counts = [], [], []
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a = Tokenizer.from_file(byte_path)
+        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.b = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+        model = piece_model(piece_path)
+        self.plain = model.plain and self.a.normalizer is None
+        vocabulary = self.a.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        spelled = byte_spelling()
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(map(spelled.__getitem__, token))
+        self.b_bytes = [bytes([model.byte_of[i]]) if t == BYTE else p.replace(BLANK, " ").encode() for i, (p, t) in enumerate(zip(model.pieces, model.types))]
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
+        self.clear()
 
     def clear(self) -> None:
         super().clear()
         self.chars = 0
-        self.reset()
+        self.strings, self.pairs, self.counts = [], [], []
 
     @property
     def full(self) -> bool:
-        return len(self) >= CACHE_WORDS or self.chars >= CACHE_CHARS
+        return len(self.strings) >= CACHE_WORDS or self.chars >= CACHE_CHARS
 
-    def link(self, a: list[int], b: list[int], data: bytes) -> int:
-        """Stores the groups and links of one stretch of bytes; its place, or BROKEN."""
-        left, right = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(left) != data or b"".join(right) != data:
+    def link(self, a: list[int], b: list[int], text: str) -> int:
+        """Stores the groups and links of a blank and a text; its place, or BROKEN."""
+        if b"".join(map(self.a_bytes.__getitem__, a)) != (data := b" " + text.encode("utf-8", "surrogatepass")) or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return BROKEN
-        out, pairs, i, j, end_a, end_b, from_a, from_b = [], [], 0, 0, 0, 0, 0, 0
-        while i < len(a):
-            end_a += len(left[i])
-            i += 1
+        a_size, b_size, a_text, b_text = self.a_size, self.b_size, self.a_text, self.b_text
+        out, pairs, left, right, end_a, end_b, j = [], [], [], [], 0, 0, 0
+        for i in a:
+            end_a += a_size[i]
+            left.append(a_text[i])
             while end_b < end_a:
-                end_b += len(right[j])
+                end_b += b_size[b[j]]
+                right.append(b_text[b[j]])
                 j += 1
             if end_a == end_b:
-                out.append(",".join(map(str, a[from_a:i])) + "|" + ",".join(map(str, b[from_b:j])))
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-                from_a, from_b = i, j
+                out.append(",".join(left) + "|" + ",".join(right))
+                pairs.append(i << 32 | b[j - 1])
+                left, right = [], []
         self.strings.append(";".join(out))
-        self.pairs.append(np.array(pairs, np.int64).tobytes())
+        self.pairs.append(array("q", pairs).tobytes())
         self.counts.append((len(a), len(b), len(pairs)))
+        self.chars += len(text) + 40
         return len(self.strings) - 1
 
+    def learn(self, words: Iterable[str]) -> None:
+        """Encodes words, many in one call.  A word with blanks at an edge, or empty, is not encoded by itself."""
+        whole = []
+        for word in words:
+            if not word or BLANK in word or word[0].isspace() or word[-1].isspace():
+                self[word] = UNSAFE
+            else:
+                whole.append(word)
+        if whole:
+            a = self.a.encode_batch_fast([" " + w for w in whole], add_special_tokens=False)
+            for word, x, y in zip(whole, a, self.b.encode(whole, num_threads=1)):
+                self[word] = self.link(x.ids, y, word)
+
     def stretch(self, text: str) -> int:
-        """A text, or a part of it cut before single blanks, with a blank in front."""
-        a = np.frombuffer(self.a.whole(" " + text), "<u4").tolist()
-        b = np.frombuffer(self.b.encode(text)[0], "<u4").tolist()
-        return self.link(a, b, (" " + text).encode("utf-8", "surrogatepass"))
-
-    def __missing__(self, word: str) -> int:
-        found = self.a.word(word)
-        if found is None or BLANK in word:
-            place = UNSAFE
-        else:
-            b = np.frombuffer(self.b.runs.__missing__(word), "<u4").tolist()
-            self.b.runs.clear()
-            place = self.link(np.frombuffer(found, "<u4").tolist(), b, (" " + word).encode("utf-8", "surrogatepass"))
-        self.chars += len(word) + 40
-        self[word] = place
-        return place
-
-    def places(self, text: str) -> list[int] | None:
-        """Places of the words of a text; None where the tokens' bytes are not those of the text."""
-        if not self.b.plain:
-            found = [self.stretch(text)]
-        else:
-            found = list(map(self.__getitem__, text.split(" ")))
-            if UNSAFE in found:  # blanks in a row or other blanks beside them: cut only before single ones
-                first, *rest = re.split(r"(?<=\S) (?=\S)", " " + text)
-                found = []
-                for part in [first[1:], *rest]:
-                    place = self[part] if " " not in part and part else UNSAFE
-                    found.append(self.stretch(part) if place == UNSAFE else place)
-                    self.chars += len(part)
-        return None if BROKEN in found else found
+        """A text, or a part of it cut before single blanks, that is not remembered."""
+        return self.link(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), text)
+
+    def places(self, texts: list[str | None]) -> Iterator[list[int] | None]:
+        """Places of the words of each text; None for a text without tokens, or whose tokens' bytes are not its own."""
+        split = [t.split(" ") if t and self.plain else [] for t in texts]
+        self.learn(set().union(*split).difference(self))
+        for text, words in zip(texts, split):
+            if not self.plain:
+                found = [self.stretch(text)] if text else []
+            else:
+                found = list(map(self.__getitem__, words))
+                if UNSAFE in found:  # blanks in a row or other blanks beside them: cut only before single ones
+                    first, *rest = re.split(r"(?<=\S) (?=\S)", " " + text)
+                    parts = [first[1:], *rest]
+                    self.learn({p for p in parts if " " not in p}.difference(self))
+                    found = [self.stretch(p) if (place := self.get(p, UNSAFE)) == UNSAFE else place for p in parts]
+            yield None if not found or BROKEN in found else found
 
 
 @lru_cache(maxsize=1)
@@ -199,19 +208,19 @@ def _align(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, s
     for batch in batches:
         for start in range(0, batch.num_rows, 64):
             part = batch.slice(start, 64)
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                found = words.places(text) if text else None
+            for doc, found in zip(part.column(0).to_pylist(), words.places(part.column(1).to_pylist())):
                 digest = hashlib.sha256(";".join(map(words.strings.__getitem__, found)).encode()).hexdigest() if found else ""
                 docs.append((block, place, doc, digest))
                 held.append(found or [])
                 size += len(held[-1])
                 place += 1
-                if place == BLOCK_DOCS or size >= stretch_words or words.full:
+                if place == BLOCK_DOCS or size >= stretch_words:
                     yield from flush()
-                    if words.full:
-                        words.clear()
-                    if place == BLOCK_DOCS:
-                        block, place = block + 1, 0
+                if place == BLOCK_DOCS:
+                    block, place = block + 1, 0
+            if words.full:  # only between slices: places of a slice's words are in use inside it
+                yield from flush()
+                words.clear()
     yield from flush()
 
 

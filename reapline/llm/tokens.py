@@ -34,6 +34,13 @@ CACHE_PIECES = 400_000
 MAGIC = b"DACS"
 
 
+def byte_spelling() -> dict[str, int]:
+    """The byte that each sign of a byte-level vocabulary stands for."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes spelled as themselves
+    others = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
 class Pieces(dict):
     """Ids of the words of texts as little-endian uint32 bytes, each made by the tokenizer once.
 
@@ -54,9 +61,7 @@ class Pieces(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.run_ids = self.tokenizer.model.tokenize
         self.plain = {c: self.whole(c) for c in (",", ".", "\n")}
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: bytes that a byte-level vocabulary spells as themselves
-        others = [b for b in range(256) if b not in printable]
-        self.spelling = [chr(256 + others.index(b) if b in others else b) for b in range(256)]
+        self.spelling = [sign for _, sign in sorted((b, s) for s, b in byte_spelling().items())]
         self.blank = self.spelling[32]
 
     def whole(self, text: str) -> bytes:
