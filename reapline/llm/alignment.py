@@ -15,8 +15,9 @@ import hashlib
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ STRETCH_WORDS = 2_000_000  # words held before their bitmaps leave the task
 CACHE_WORDS = 300_000
 CACHE_CHARS = 30_000_000
 HELD = -1  # plane of the document bitmap; plane k has bit k of (occurrences - 1)
-UNSAFE, BROKEN = -1, -2  # a word that cannot be encoded by itself; a word whose token bytes differ from its own
+UNSAFE, BROKEN = -1, -2  # a word that cannot be encoded by itself; a stretch whose token bytes differ from its own
 
 
 class Aligner(dict):
@@ -57,74 +58,114 @@ class Aligner(dict):
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(map(spelled.__getitem__, token))
         self.b_bytes = [bytes([model.byte_of[i]]) if t == BYTE else p.replace(BLANK, " ").encode() for i, (p, t) in enumerate(zip(model.pieces, model.types))]
-        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
-        self.a_text, self.b_text = list(map(str, range(len(self.a_bytes)))), list(map(str, range(len(self.b_bytes))))
+        self.a_size, self.b_size = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
+        self.texts = [f"{i}{mark}" for size, marks in ((len(self.a_size), ",|"), (len(self.b_size), ",;")) for mark in marks for i in range(size)]
         self.clear()
 
     def clear(self) -> None:
         super().clear()
-        self.chars = 0
+        self.chars, self.waiting = 0, []
         self.strings, self.pairs, self.counts = [], [], []
 
     @property
     def full(self) -> bool:
         return len(self.strings) >= CACHE_WORDS or self.chars >= CACHE_CHARS
 
-    def link(self, a: list[int], b: list[int], text: str) -> int:
-        """Stores the groups and links of a blank and a text; its place, or BROKEN."""
-        if b"".join(map(self.a_bytes.__getitem__, a)) != (data := b" " + text.encode("utf-8", "surrogatepass")) or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+    def shrink(self) -> None:
+        """Keeps short words, which come again; long ones hardly do."""
+        kept = [(w, p, self.strings[p], self.pairs[p], self.counts[p]) for w, p in self.items() if p >= 0 and len(w) <= 7]
+        self.clear()
+        if len(kept) <= CACHE_WORDS // 2:
+            self.update({k[0]: place for place, k in enumerate(kept)})
+            self.strings, self.pairs, self.counts = ([k[c] for k in kept] for c in (2, 3, 4))
+            self.chars = sum(len(k[0]) + 40 for k in kept)
+
+    def link(self, a: list[list[int]], b: list[list[int]]) -> list[tuple[str, bytes, tuple[int, int, int]]]:
+        """Groups (each with a mark behind), linked pairs and counts of pairs of encodings; both of a pair cover the same bytes.
+
+        All are laid end to end, so that one search finds the shared ends of all.
+        """
+        sizes_a, sizes_b = np.array(list(map(len, a))), np.array(list(map(len, b)))
+        ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64, sizes_a.sum()), np.fromiter(chain.from_iterable(b), np.int64, sizes_b.sum())
+        ends_a, ends_b = np.cumsum(self.a_size[ids_a]), np.cumsum(self.b_size[ids_b])
+        at = np.minimum(np.searchsorted(ends_b, ends_a), len(ids_b) - 1)
+        closes_a = ends_b[at] == ends_a
+        shared_a = np.flatnonzero(closes_a)
+        shared_b = at[shared_a]
+        closes_b = np.zeros(len(ids_b), bool)
+        closes_b[shared_b] = True
+        last_a, last_b = np.cumsum(sizes_a) - 1, np.cumsum(sizes_b) - 1
+        if not (ends_a[last_a] == ends_b[last_b]).all():
+            raise ValueError("the tokenizers do not cover the same bytes")
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        codes = np.empty(len(ids_a) + len(ids_b), np.int64)
+        codes[np.arange(len(ids_a)) + np.concatenate([[0], shared_b + 1])[group_a]] = ids_a + closes_a * len(self.a_size)
+        codes[np.arange(len(ids_b)) + shared_a[group_b] + 1] = 2 * len(self.a_size) + ids_b + closes_b * len(self.b_size)
+        texts = list(map(self.texts.__getitem__, codes.tolist()))
+        cuts = [0, *np.cumsum(sizes_a + sizes_b).tolist()]
+        pairs = ids_a[shared_a] << 32 | ids_b[shared_b]
+        links = np.concatenate([[0], (group_a + closes_a)[last_a]])
+        counts = zip(sizes_a.tolist(), sizes_b.tolist(), np.diff(links).tolist())
+        links = links.tolist()
+        return [("".join(texts[i:j]), pairs[k:m].tobytes(), n) for i, j, k, m, n in zip(cuts, cuts[1:], links, links[1:], counts)]
+
+    def __missing__(self, word: str) -> int:
+        """Gives an unknown word its place; ``learn`` fills it."""
+        if not word or BLANK in word or word[0].isspace() or word[-1].isspace():
+            place = UNSAFE
+        else:
+            place = len(self.strings)
+            self.strings.append("")
+            self.waiting.append((place, word))
+            self.chars += len(word) + 40
+        self[word] = place
+        return place
+
+    def learn(self) -> None:
+        """Encodes the words that have a place and no tokens yet, all in one call.
+
+        A byte-level tokenizer without normaliser, and a plain piece model given no sign that stands
+        for a blank, lose no byte of a word.
+        """
+        words = [w for _, w in self.waiting]
+        self.pairs += [b""] * (len(self.strings) - len(self.pairs))
+        self.counts += [(0, 0, 0)] * (len(self.strings) - len(self.counts))
+        if words:
+            encoded = self.a.encode_batch_fast([" " + w for w in words], add_special_tokens=False)
+            found = self.link([x.ids for x in encoded], self.b.encode(words, num_threads=1))
+            for (place, _), (string, pairs, counts) in zip(self.waiting, found):
+                self.strings[place], self.pairs[place], self.counts[place] = string, pairs, counts
+        self.waiting = []
+
+    def stretch(self, text: str) -> int:
+        """A text, or a part of it cut before single blanks, that is not remembered; BROKEN if tokens have other bytes."""
+        a, b, data = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), b" " + text.encode("utf-8", "surrogatepass")
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return BROKEN
-        a_size, b_size, a_text, b_text = self.a_size, self.b_size, self.a_text, self.b_text
-        out, pairs, left, right, end_a, end_b, j = [], [], [], [], 0, 0, 0
-        for i in a:
-            end_a += a_size[i]
-            left.append(a_text[i])
-            while end_b < end_a:
-                end_b += b_size[b[j]]
-                right.append(b_text[b[j]])
-                j += 1
-            if end_a == end_b:
-                out.append(",".join(left) + "|" + ",".join(right))
-                pairs.append(i << 32 | b[j - 1])
-                left, right = [], []
-        self.strings.append(";".join(out))
-        self.pairs.append(array("q", pairs).tobytes())
-        self.counts.append((len(a), len(b), len(pairs)))
         self.chars += len(text) + 40
+        string, pairs, counts = self.link([a], [b])[0]
+        self.strings.append(string)
+        self.pairs.append(pairs)
+        self.counts.append(counts)
         return len(self.strings) - 1
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encodes words, many in one call.  A word with blanks at an edge, or empty, is not encoded by itself."""
-        whole = []
-        for word in words:
-            if not word or BLANK in word or word[0].isspace() or word[-1].isspace():
-                self[word] = UNSAFE
-            else:
-                whole.append(word)
-        if whole:
-            a = self.a.encode_batch_fast([" " + w for w in whole], add_special_tokens=False)
-            for word, x, y in zip(whole, a, self.b.encode(whole, num_threads=1)):
-                self[word] = self.link(x.ids, y, word)
-
-    def stretch(self, text: str) -> int:
-        """A text, or a part of it cut before single blanks, that is not remembered."""
-        return self.link(self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), text)
-
-    def places(self, texts: list[str | None]) -> Iterator[list[int] | None]:
+    def places(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Places of the words of each text; None for a text without tokens, or whose tokens' bytes are not its own."""
-        split = [t.split(" ") if t and self.plain else [] for t in texts]
-        self.learn(set().union(*split).difference(self))
-        for text, words in zip(texts, split):
-            if not self.plain:
-                found = [self.stretch(text)] if text else []
-            else:
-                found = list(map(self.__getitem__, words))
-                if UNSAFE in found:  # blanks in a row or other blanks beside them: cut only before single ones
+        out, odd = [], {}
+        for text in texts:
+            found = list(map(self.__getitem__, text.split(" "))) if text and self.plain else []
+            if text and (not self.plain or UNSAFE in found):
+                if self.plain:  # blanks in a row or other blanks beside them: cut only before single ones
                     first, *rest = re.split(r"(?<=\S) (?=\S)", " " + text)
-                    parts = [first[1:], *rest]
-                    self.learn({p for p in parts if " " not in p}.difference(self))
-                    found = [self.stretch(p) if (place := self.get(p, UNSAFE)) == UNSAFE else place for p in parts]
-            yield None if not found or BROKEN in found else found
+                    odd[len(out)] = [(p, UNSAFE if " " in p else self[p]) for p in (first[1:], *rest)]
+                else:
+                    odd[len(out)] = [(text, UNSAFE)]
+            out.append(np.array(found, np.int64) if found else None)
+        self.learn()
+        for k, parts in odd.items():
+            found = [self.stretch(part) if place == UNSAFE else place for part, place in parts]
+            out[k] = None if BROKEN in found else np.array(found, np.int64)
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -194,7 +235,7 @@ def _align(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, s
         nonlocal docs, held, size
         if docs:
             lengths = np.array([len(h) for h in held])
-            word = np.fromiter((w for h in held for w in h), np.int64, size)
+            word = np.concatenate(held)
             at = np.repeat(np.array([d[1] for d in docs], np.int64), lengths)
             counts = np.array(words.counts, np.int64).reshape(-1, 3)
             totals = np.zeros((len(docs), 3), np.int64)
@@ -209,9 +250,9 @@ def _align(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, s
         for start in range(0, batch.num_rows, 64):
             part = batch.slice(start, 64)
             for doc, found in zip(part.column(0).to_pylist(), words.places(part.column(1).to_pylist())):
-                digest = hashlib.sha256(";".join(map(words.strings.__getitem__, found)).encode()).hexdigest() if found else ""
+                digest = "" if found is None else hashlib.sha256("".join(map(words.strings.__getitem__, found.tolist()))[:-1].encode()).hexdigest()
                 docs.append((block, place, doc, digest))
-                held.append(found or [])
+                held.append(np.zeros(0, np.int64) if found is None else found)
                 size += len(held[-1])
                 place += 1
                 if place == BLOCK_DOCS or size >= stretch_words:
@@ -220,7 +261,7 @@ def _align(batches: Iterator[pa.RecordBatch], byte_path: str, piece_path: str, s
                     block, place = block + 1, 0
             if words.full:  # only between slices: places of a slice's words are in use inside it
                 yield from flush()
-                words.clear()
+                words.shrink()
     yield from flush()
 
 

@@ -33,7 +33,7 @@ def brute_force(rows):
         if text:
             data = (" " + text).encode()
             a = first.encode(" " + text, add_special_tokens=False)
-            b = second.encode(text)
+            ids, b = a.ids, second.encode(text)
             left = [bytes(spelling[c] for c in t) for t in a.tokens]
             right = [bytes([int(p[3:5], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode() for i, p in zip(b, map(second.id_to_piece, b))]
             if b"".join(left) == data == b"".join(right):
@@ -41,7 +41,7 @@ def brute_force(rows):
                 ends_b = {e: k for k, e in enumerate(np.cumsum([len(x) for x in right]).tolist())}
                 found, i, j = [], 0, 0
                 for e in sorted(ends_a.keys() & ends_b.keys()):
-                    found.append((a.ids[i : ends_a[e] + 1], b[j : ends_b[e] + 1]))
+                    found.append((ids[i : ends_a[e] + 1], b[j : ends_b[e] + 1]))
                     i, j = ends_a[e] + 1, ends_b[e] + 1
         docs.append((doc_id, found))
         total.update((x[-1], y[-1]) for x, y in found)
