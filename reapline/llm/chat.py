@@ -9,20 +9,22 @@ are percent codes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "### ", "\n</turn>\n"
-CONTROL = r"(\\*)(### |</turn>)"
+# A run of backslashes is tried once, from its start and as a whole, so time is linear in the text.
+CONTROL = r"(\\*+)(### |</turn>)"
+NOT_INSIDE = r"(?<!\\)"
 
 
 def escape(text: Column) -> Column:
     """One more backslash before every control string."""
-    return F.regexp_replace(text, CONTROL, r"$1\\$2")
+    return F.regexp_replace(text, NOT_INSIDE + CONTROL, r"$1\\$2")
 
 
 def unescape(body: Column) -> Column:
-    return F.regexp_replace(body, r"\\" + CONTROL, "$1$2")
+    return F.regexp_replace(body, NOT_INSIDE + r"\\" + CONTROL, "$1$2")
 
 
 def escape_role(role: Column) -> Column:
@@ -39,12 +41,13 @@ def parse_body(rest: Column) -> Column:
 
 
 def render_body(text: Column) -> Column:
-    """The text itself if the parser gives it back unchanged, else the escaped text.
+    """The text itself if it holds no control string and the parser gives it back unchanged, else the escaped text.
 
     The escaped form always comes back: no closing line is left in it, and every control
     string has the backslash that the parser takes away.
     """
-    return F.when(parse_body(F.concat(text, F.lit(CLOSE))) == text, text).otherwise(escape(text))
+    free = ~F.contains(text, F.lit("### ")) & ~F.contains(text, F.lit("</turn>"))
+    return F.when(free & (parse_body(F.concat(text, F.lit(CLOSE))) == text), text).otherwise(escape(text))
 
 
 def parse(formatted: Column) -> Column:
@@ -76,17 +79,13 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumns({"head": F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(": ")), "body": render_body(F.col("text"))})
-    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "head", "body"))).alias("turns"))
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("head") + F.length("body") + len(CLOSE)
+    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("head"))
+    turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "head", "body", "start"))).alias("turns"))
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    ends = F.aggregate(
-        "turns", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + F.length(t["head"]) + F.length(t["body"]) + len(CLOSE)).alias("at"),
-            F.when(t["role"] == "assistant", F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(t["head"])).alias("start"), F.length(t["body"]).cast("long").alias("length")))))
-            .otherwise(acc["spans"]).alias("spans"),
-        ),
-    )
-    out = turns.select("conv_id", "turns", formatted.alias("formatted"), ends["spans"].alias("loss_spans"))
+    spans = F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: F.struct(t["start"].alias("start"), F.length(t["body"]).cast("long").alias("length")))
+    out = turns.select("conv_id", "turns", formatted.alias("formatted"), spans.alias("loss_spans"))
     same = parse(F.col("formatted")) == F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     return out.withColumn("formatted", F.when(same, F.col("formatted")).otherwise(F.raise_error(F.concat(F.lit("conversation does not survive its round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))))).drop("turns")
 

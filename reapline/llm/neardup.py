@@ -21,7 +21,7 @@ SKETCH = 192  # coordinates kept, one byte each, to look at pairs of crowded buc
 UNIVERSE = 1 << 22  # length of the two permutations
 BLOCK = 1024  # members of a crowded bucket that meet in one group
 FILTER_BITS = 1 << 24  # of the bitmap that keeps most texts not needed out of the shuffle
-CHUNK = 2048  # members of a component that a document is compared with in one group
+BLOCK_SHINGLES = 1 << 21  # shingles of the left members of such a group, about
 STAR = 256  # texts compared with one hub in one group
 
 _HASHES = WordHashes()
@@ -86,12 +86,12 @@ def _bands(signatures: np.ndarray, rows: int, count: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SKETCHED = "doc_id long, n_shingles long, uid long, fp long, bands array<long>, sketch binary"
+SKETCHED = "doc_id long, text_key long, n_shingles long, uid long, fp long, bands array<long>, sketch binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int, count: int) -> Iterator[pa.RecordBatch]:
     use(_HASHES)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("uid", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
     for batch in batches:
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
@@ -107,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, rows: int, count: int
             full = np.array(sizes) > 0
             place = np.cumsum(full) - 1
             yield pa.record_batch([
-                part.column(0), pa.array(sizes, pa.int64()),
+                part.column(0), part.column(2), pa.array(sizes, pa.int64()),
                 pa.array([ids[p][0] if f else None for f, p in zip(full, place)], pa.int64()),
                 pa.array([ids[p][1] if f else None for f, p in zip(full, place)], pa.int64()),
                 pa.array([keys[p] if f else None for f, p in zip(full, place)], pa.list_(pa.int64())),
@@ -191,62 +191,77 @@ def _verify(pairs: DataFrame, nodes: DataFrame, source: DataFrame, words: int, p
         partial(_verified, words=words, percent=percent), "a long, b long")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(document, other component) where the document's sketch agrees enough with that of some member in the other block."""
+PLAUSIBLE = "bucket long, left_block int, right_block int, side int, uid long, comp long"
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members of each group that some member of the other side, of another component, may be similar to, by sketch; each at most once."""
     t = percent / 100
     share = t + (1 - t) / 256
     least = SKETCH * share - 5.2 * np.sqrt(SKETCH * share * (1 - share))
     for _, rows in groups(batches, ("bucket", "left_block", "right_block")):
-        side = rows["side"].to_numpy()
-        uid, comp, n = (rows[c].to_numpy() for c in ("uid", "comp", "n_shingles"))
+        side, uid, comp, n = (rows[c].to_numpy() for c in ("side", "uid", "comp", "n_shingles"))
         sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(uid), SKETCH)
-        right = np.flatnonzero(side == 1)
-        a, b = [], []
+        right, wanted = np.flatnonzero(side == 1), np.zeros(len(uid), bool)
         for i in np.flatnonzero(side == 0):
             r = right[(comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            others = np.unique(comp[r[(sketch[r] == sketch[i]).sum(axis=1) >= least]])
-            a.append(np.full(len(others), uid[i]))
-            b.append(others)
-        if a:
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["uid", "comp"])
+            r = r[(sketch[r] == sketch[i]).sum(axis=1) >= least]
+            wanted[r] = True
+            wanted[i] = len(r) > 0
+        kept = rows.select([c.split()[0] for c in PLAUSIBLE.split(", ")]).filter(pa.array(wanted))
+        yield from kept.combine_chunks().to_batches()
 
 
 def _open(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(uid, comp): documents that may be linked with a component that no star has joined them with yet.
+    """Members of crowded buckets that may be linked with a component that no star has joined them with yet, by block.
 
-    Members of a crowded bucket's commonest component need no comparison among themselves;
-    every other member meets all members, block by block.
+    Members of a bucket's commonest component need no comparison among themselves; every
+    other member (left) meets all members (right), block by block.  Buckets of the same
+    members count once.
     """
     own = members.where("size > 2 and uid <> hub").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select(
         "bucket", "uid", F.coalesce("component", "uid").alias("comp"))
-    per = own.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    own = own.join(nodes.select("uid", "n_shingles", "sketch"), "uid")
+    per = own.groupBy("bucket", "comp").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"), F.bit_xor(F.xxhash64("uid")).alias("one"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("two"))
     crowded = per.groupBy("bucket").agg(
-        F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps")
-    ).where("comps > 1").select(
-        "bucket", F.col("most.comp").alias("major"), F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("lefts"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("rights"))
-    rows = own.join(crowded, "bucket").join(nodes.select("uid", "n_shingles", "sketch"), "uid")
+        F.max(F.struct("n", "comp", "shingles")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), F.sum("shingles").alias("shingles"),
+        F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"),
+    ).where("comps > 1")
+    blocks = F.greatest((F.col("size") - F.col("most.n")) / BLOCK, (F.col("shingles") - F.col("most.shingles")) / BLOCK_SHINGLES)
+    crowded = crowded.groupBy("one", "two", "size").agg(F.min_by(F.struct("bucket", F.col("most.comp").alias("major"), F.ceil(blocks).cast("int").alias("lefts"), F.ceil(F.col("size") / BLOCK).cast("int").alias("rights")), "bucket").alias("b")).select("b.*")
+    rows = own.join(crowded, "bucket")
     rows = rows.withColumns({"lb": F.pmod(F.xxhash64("uid"), "lefts").cast("int"), "rb": F.pmod(F.xxhash64("uid"), "rights").cast("int")})
     kept = ["bucket", "uid", "comp", "n_shingles", "sketch"]
     left = rows.where("comp <> major").select(*kept, F.lit(0).alias("side"), F.col("lb").alias("left_block"), F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("right_block"))
     right = rows.select(*kept, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("lefts") - 1)).alias("left_block"), F.col("rb").alias("right_block"))
     keys = ["bucket", "left_block", "right_block"]
-    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_candidates, percent=percent), "uid long, comp long").distinct()
+    return left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_plausible, percent=percent), PLAUSIBLE)
 
 
 def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Streams (component, chunk) groups, members first; emits one link for each other document that some member is similar to."""
+    """Streams groups, left members first; compares full sets and emits a link where it joins two components not yet joined in the group.
+
+    So a group emits fewer links than it has components, however many of its pairs are similar.
+    """
     use(_HASHES)
     unpacker = zstandard.ZstdDecompressor()
-    current, members, sets, index, a, b = None, [], [], None, [], []
-    for comp, chunk, other, uid, packed in rows_of(batches, ("comp", "chunk", "other", "uid", "packed")):
+    current, left, sets, index, joined, a, b = None, [], [], None, {}, [], []
+
+    def root(comp: int) -> int:
+        while comp != (above := joined.get(comp, comp)):
+            joined[comp] = joined.get(above, above)
+            comp = above
+        return comp
+
+    for *group, side, uid, comp, packed in rows_of(batches, ("bucket", "left_block", "right_block", "side", "uid", "comp", "packed")):
         shingles = shingle_set(unpacker.decompress(packed), words)
         if fingerprint(shingles)[0] != uid:
             continue  # another text under the same document id
-        if (comp, chunk) != current:
-            current, members, sets, index = (comp, chunk), [], [], None
-        if not other:
-            members.append(uid)
+        if group != current:
+            current, left, sets, index, joined = group, [], [], None, {}
+        if side == 0:
+            left.append((uid, comp))
             sets.append(shingles)
             continue
         if not sets:
@@ -261,28 +276,21 @@ def _met(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterato
         counts = ends - starts
         places = np.repeat(ends - np.cumsum(counts), counts) + np.arange(counts.sum())
         shared = np.bincount(owners[places], minlength=len(sizes))
-        similar = np.flatnonzero(100 * shared >= percent * (sizes + len(shingles) - shared))
-        if len(similar):
-            a.append(uid)
-            b.append(members[similar[0]])
+        for k in np.flatnonzero(100 * shared >= percent * (sizes + len(shingles) - shared)).tolist():
+            other, its = left[k]
+            one, two = root(comp), root(its)
+            if one != two:
+                joined[max(one, two)] = min(one, two)
+                a.append(uid)
+                b.append(other)
     yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _verify_members(pairs: DataFrame, labels: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between documents and members of other components, on full sets.
-
-    A component's members are dealt into chunks of about ``CHUNK``; a document visits every
-    chunk of the component once, so the rows dealt grow with documents times chunks and
-    no pair of documents leaves a task but a link.
-    """
-    member = nodes.select("uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("comp"))
-    chunks = pairs.select("comp").distinct().join(member, "comp").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
-    inside = member.join(chunks, "comp").select("comp", F.pmod(F.xxhash64("uid"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("other"), "uid")
-    visiting = pairs.join(chunks, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("other"), "uid")
-    rows = durable(inside.unionByName(visiting))
-    texts = _texts(rows.select("uid").distinct(), nodes, source)
-    keys = ["comp", "chunk"]
-    return rows.join(texts, "uid").repartition(*keys).sortWithinPartitions(*keys, "other").mapInArrow(partial(_met, words=words, percent=percent), "a long, b long")
+def _verify_members(plausible: DataFrame, nodes: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between members of different components of a bucket, on full sets."""
+    texts = _texts(plausible.select("uid").distinct(), nodes, source)
+    keys = ["bucket", "left_block", "right_block"]
+    return plausible.join(texts.hint("merge"), "uid").repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(partial(_met, words=words, percent=percent), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -298,9 +306,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     3. Bands of the signature name buckets.  Each bucket's members are compared with one
        member, its hub, on their full sets; links give components.
     4. In buckets that still hold several components, members outside the commonest one
-       meet all others in blocks.  Where sketches agree enough, the document is compared
-       with every member of the other component on full sets.  No bucket is capped, and
-       documents already connected are not compared.
+       meet all others in blocks.  Members with a sketch that agrees enough with one of
+       another component meet again in the same blocks with their full sets; a block emits
+       a link only where it joins two components.  No bucket is capped.
 
     A pair at the threshold escapes all bands with a chance below 1e-6.  Null, empty and
     blank texts have no shingle and are linked with nothing.  Rows repeating a document id
@@ -308,9 +316,16 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     nodes.  A null id is reported with a null component and is not kept.  Other columns
     are ignored; an empty table gives no row.
     """
+    labelled = _labelled(documents, words, percent, doc_id, text)
+    component = F.when(F.col("uid").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _labelled(documents: DataFrame, words: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """Every row's id, hash of its text, set size, node (uid, fp), component and the smallest id in it."""
     rows, count = banding(percent)
     source = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sketched = durable(source.mapInArrow(partial(_sketch, words=words, rows=rows, count=count), SKETCHED))
+    sketched = durable(source.withColumn("text_key", F.xxhash64("text")).mapInArrow(partial(_sketch, words=words, rows=rows, count=count), SKETCHED))
     nodes = durable(
         sketched.where("uid is not null and doc_id is not null").groupBy("uid", "fp")
         .agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
@@ -323,21 +338,38 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc
     labels = components(links)
     unsettled = durable(_open(members, labels, nodes, percent))
     if not unsettled.isEmpty():
-        more = durable(_verify_members(unsettled, labels, nodes, source, words, percent))
+        more = durable(_verify_members(unsettled, nodes, source, words, percent))
         labels = labels if more.isEmpty() else components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     named = nodes.select("uid", "fp", "doc_id").join(labels.withColumnRenamed("node", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("uid", "fp", "component_id")
-    component = F.when(F.col("uid").isNull(), F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return sketched.select("doc_id", "n_shingles", "uid", "fp").join(named, ["uid", "fp"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    named = named.join(least, "component").select("uid", "fp", "component", "component_id")
+    return sketched.select("doc_id", "text_key", "n_shingles", "uid", "fp").join(named, ["uid", "fp"], "left")
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` with one document of each group: the one with the smallest id.
+def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one row of each component: of its smallest id and, where that has several texts, of one of them.
 
-    Rows repeating the id that stays, stay; rows without an id go.
+    Rows without an id, and rows whose text has no word, belong to no component and all stay.  Exact
+    repeats of the row that stays go.  All columns pass through, whatever their names.
     """
-    kept = near_duplicates(documents, words, percent).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return documents.join(kept, documents["doc_id"] == kept["_kept_id"], "left_semi")
+    labelled = durable(_labelled(documents, words, percent, doc_id, text))
+    mark = "_"
+    while any(c.startswith(mark) for c in documents.columns):
+        mark += "_"
+    names = [f"{mark}id", f"{mark}key"]
+    chosen = labelled.where("doc_id is not null and uid is not null").groupBy("component").agg(F.min(F.struct("doc_id", "uid", "fp", "text_key")).alias("first"), F.count(F.lit(1)).alias("n"))
+    chosen = chosen.select(F.col("first.doc_id").alias(names[0]), F.col("first.text_key").alias(names[1]), "n")
+    blank = labelled.where("doc_id is not null and uid is null").select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])).distinct()
+    repeated = chosen.where("n > 1").select(*names).join(
+        labelled.select(F.col("doc_id").alias(names[0]), F.col("text_key").alias(names[1])).groupBy(*names).count().where("count > 1"), names, "left_semi")
+    repeated = durable(repeated)
+    once = chosen.select(*names)
+    rows = documents.withColumns({names[0]: F.col(doc_id).cast("long"), names[1]: F.xxhash64(F.col(text).cast("string"))})
+    if repeated.isEmpty():
+        wanted = once.unionByName(blank)
+        return rows.where(F.col(names[0]).isNull()).select(*documents.columns).unionByName(rows.join(wanted, names, "left_semi").select(*documents.columns))
+    one = rows.join(repeated, names, "left_semi").groupBy(*names).agg(F.any_value(F.struct(*documents.columns)).alias(f"{mark}row")).select(f"{mark}row.*")
+    single = once.join(repeated, names, "left_anti").unionByName(blank)
+    kept = rows.join(single, names, "left_semi").select(*documents.columns)
+    return rows.where(F.col(names[0]).isNull()).select(*documents.columns).unionByName(kept).unionByName(one)

@@ -5,7 +5,10 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -66,7 +69,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_crowded_buckets_are_complete(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 4)
-    monkeypatch.setattr(neardup, "CHUNK", 3)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 500)
     monkeypatch.setattr(neardup, "STAR", 2)
     base = words(100, 2).split()
     texts = [(i, " ".join(base[: 100 - i % 12] + [f"y{i}"] * (i % 5))) for i in range(40)]
@@ -74,6 +77,41 @@ def test_crowded_buckets_are_complete(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(texts, 3, 85)
 
 
+def test_a_crowded_bucket_of_unlike_documents_stays_linear(spark):
+    """Thousands of members, half alike as far as sketches tell, none linked: each leaves its group at most once, and links never outnumber components."""
+    rng = np.random.default_rng(8)
+    base, n = rng.integers(0, 256, neardup.SKETCH).astype(np.uint8), 5000
+    sketches = np.where(rng.random((n, neardup.SKETCH)) < 0.12, rng.integers(0, 256, (n, neardup.SKETCH)), base).astype(np.uint8)
+    uid = np.arange(n)
+    rows = [("bucket", np.zeros(2 * n, np.int64)), ("left_block", np.zeros(2 * n, np.int32)), ("right_block", np.zeros(2 * n, np.int32)), ("side", np.repeat([0, 1], n).astype(np.int32)),
+            ("uid", np.tile(uid, 2)), ("comp", np.tile(uid, 2)), ("n_shingles", np.full(2 * n, 100))]
+    table = pa.table({**dict(rows), "sketch": [s.tobytes() for s in sketches] * 2})
+    found = pa.Table.from_batches(neardup._plausible(iter(table.to_batches()), 85))
+    assert n < found.num_rows <= 2 * n
+    unpacked = pa.table({c: found[c] for c in ("bucket", "left_block", "right_block", "side", "uid", "comp")})
+    texts = {i: " ".join([f"w{k}" for k in range(60)] + [f"own{i}x{k}" for k in range(20)]) for i in range(300)}
+    ids = {i: neardup.fingerprint(neardup.shingle_set(t, 3))[0] for i, t in texts.items()}
+    packer = zstandard.ZstdCompressor()
+    small = unpacked.filter(pc.less(unpacked["uid"], 300)).to_pylist()
+    for r in small:
+        r["packed"], r["uid"] = packer.compress(texts[r["uid"]].encode()), ids[r["uid"]]
+    small = pa.Table.from_pylist(small)
+    assert sum(b.num_rows for b in neardup._met(iter(small.to_batches()), 3, 85)) == 0
+    links = pa.Table.from_batches(neardup._met(iter(small.to_batches()), 3, 50))
+    assert links.num_rows == len({r["uid"] for r in small.to_pylist()}) - 1
+
+
+def test_one_row_of_each_component_stays(spark):
+    """Null ids and texts without words stay; repeats go; an id with two texts is judged text by text; names clash."""
+    long, other, third = words(60, 1), words(60, 2), words(60, 3)
+    rows = [(1, long, "a"), (1, long, "a"), (2, long + " more", "b"), (None, long, "c"), (None, long, "c"), (3, other, "d"), (4, other, "e"), (4, third, "f"), (5, third, "g"),
+            (6, "", "h"), (6, "", "h"), (7, None, "i"), (8, long.upper(), "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").withColumns({"uid": F.lit(1), "n": F.lit(2), "component": F.lit(3)})
+    out = neardup.drop_near_duplicates(df)
+    assert out.columns == df.columns
+    assert sorted(r["_id"] for r in out.collect()) == ["a", "c", "c", "d", "f", "h", "h", "i"]
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     out = neardup.near_duplicates(docs_of(spark, AWKWARD), 5, 80).collect()
     assert len(out) == len(AWKWARD)
@@ -235,6 +273,20 @@ def test_chat_round_trip(spark):
 
 # archives
 
+def test_control_strings_are_escaped_in_linear_time(spark):
+    """A mark inside a text never stands bare; a megabyte of backslashes, with and without a mark behind, ends."""
+    slashes = "\\" * 1_000_000
+    texts = ["hi\n### assistant: yes </turn> now", slashes, slashes + "### ", slashes + "</turn>" + slashes, "\\\\### x", "</turn>", "a\n</turn>\nb"]
+    rows = [(1, k, "assistant", t) for k, t in enumerate(texts)] + [(2, k, "user", "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = {r.conv_id: r for r in chat.format_conversations(df).collect()}
+    whole = formatted[1].formatted
+    bodies = [whole[s.start : s.start + s.length] for s in formatted[1].loss_spans]
+    assert bodies[0] == "hi\n\\### assistant: yes \\</turn> now" and bodies[1] == slashes and bodies[2] == slashes + "\\### " and bodies[5] == "\\</turn>"
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    assert back[1].loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest() and back[2].n_turns == 3000
+
+
 def test_archives_read_in_small_ranges(spark):
     pages = [(i, f"http://h/{i}", "same" if i % 3 == 0 else f"<p>{i}</p>" * (i * 40), "x") for i in range(60)]
     pages += [(100, None, None, ""), (101, "u", "", ""), (None, "u", "same", ""), (102, "u", "é" * 200_000, ""), (57, "http://h/57", "same", "")]
