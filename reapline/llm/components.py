@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from reapline.session import durable
 
 FOREST_NODES = 1_000_000  # nodes a task holds before its stars leave it
-ROUNDS = 2  # star rounds between two checkpoints
+ONE_TASK = 400_000  # links that one task may finish; more go through star rounds
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,28 +54,32 @@ def _round(edges: DataFrame) -> DataFrame:
     return small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """``node, component`` for every node with a link; ``component`` is the smallest node reachable.
 
-    Each task first shrinks its own edges to stars.  Each round then moves edges towards
-    smaller neighbours by aggregates and joins on the node; two rounds are cut with one
-    checkpoint.  The number of rounds is logarithmic, so chains and stars
+    Each task first shrinks its own edges to stars.  If at most ``one_task`` edges are left, one task
+    finishes them.  Else each round moves edges towards smaller neighbours by aggregates and
+    joins on the node and is cut with a checkpoint; the number of rounds is logarithmic, so chains and stars
     of any size end.  Links in either order, repeated links and self-links are fine; null
     ends are dropped; an empty table gives no row.  Nothing is collected but one
     count and one sum per checkpoint.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
-    edges, before = edges.mapInArrow(_forest, "u long, v long"), None
+    edges, before = durable(edges.mapInArrow(_forest, "u long, v long")), None
+    if edges.limit(one_task + 1).count() <= one_task:
+        return _labels(edges.repartition(1).mapInArrow(_forest, "u long, v long"))
     for _ in range(max_rounds):
-        for _ in range(ROUNDS):
-            edges = _round(edges)
-        edges = durable(edges)
+        edges = durable(_round(edges))
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return _labels(edges)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    stars = durable(stars)
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

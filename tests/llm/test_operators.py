@@ -135,8 +135,9 @@ def test_signature_is_circulant():
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3)]
-    out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert out == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+    table = spark.createDataFrame(links, "a long, b long")
+    out = {r.node: r.component for r in components(table).collect()}
+    assert out == {r.node: r.component for r in components(table, one_task=5).collect()} == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
 
 
 # quality and toxicity
