@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from reapline.catalog.registry import query, table
 from reapline.functions.text import search_tokens, word_set
 from reapline.operators import caches, documents, retrieval
+from reapline.plans.blocked import Blocked, number_block
 from reapline.session import spread
 
 TOKENS = "regexp_extract_all(lower(text), '[\\x{4e00}-\\x{9fa5}]+|[a-z0-9]+')"
@@ -38,58 +39,56 @@ def bm25_topk(spark, folder):
 
 
 VEC_SQL = """
-d as (select vec_id, label, embedding::double[] as v from embeddings where vec_id % 10 <> 0),
+d as (select vec_id, label, embedding::double[] as v from embeddings),
 q as (select vec_id as query_id, label, embedding::double[] as v from embeddings where vec_id % 10 = 0)"""
 
 
 def vectors(spark, folder):
     e = table(spark, folder, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
-    stored, wanted = e.where("vec_id % 10 <> 0"), e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
-    return stored, wanted
+    return e, e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 @query(
     "dense_topk",
-    f"""with {VEC_SQL}, s as (select query_id, vec_id, round(list_cosine_similarity(q.v, d.v), 6) + 0 as score from q, d)
+    f"""with {VEC_SQL}, s as (select query_id, vec_id, round(list_cosine_similarity(q.v, d.v), 6) + 0 as score from q join d on query_id <> vec_id)
     select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
     qualify row_number() over (partition by query_id order by score desc, vec_id) <= 10""",
 )
 def dense_topk(spark, folder):
     stored, wanted = vectors(spark, folder)
-    return retrieval.dense_topk(stored, wanted, 10, doc_id="vec_id")
+    return retrieval.dense_topk(stored, wanted, 10, doc_id="vec_id", other_rows=True)
 
 
 @query(
     "dense_topk_by_label",
-    f"""with {VEC_SQL}, s as (select query_id, vec_id, round(list_cosine_similarity(q.v, d.v), 6) + 0 as score from q join d using (label))
+    f"""with {VEC_SQL}, s as (select query_id, vec_id, round(list_cosine_similarity(q.v, d.v), 6) + 0 as score from q join d on q.label = d.label and query_id <> vec_id)
     select query_id, vec_id, score, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
     qualify row_number() over (partition by query_id order by score desc, vec_id) <= 3""",
 )
 def dense_topk_by_label(spark, folder):
     stored, wanted = vectors(spark, folder)
-    return retrieval.dense_topk(stored, wanted, 3, doc_id="vec_id", part="label")
+    return retrieval.dense_topk(stored, wanted, 3, doc_id="vec_id", part="label", other_rows=True)
 
 
 @query("mmr")
 def mmr(spark, folder):
     stored, wanted = vectors(spark, folder)
-    return retrieval.mmr(stored, wanted, 5, doc_id="vec_id")
+    return retrieval.mmr(stored, wanted, 5, doc_id="vec_id", other_rows=True)
 
 
 RANKED_SQL = """
-r1 as (select lang as query_id, doc_id, text, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents
-  qualify row_number() over (partition by lang order by n_chars desc, doc_id) <= 60),
-r2 as (select lang as query_id, doc_id, text, row_number() over (partition by lang order by doc_id) as rank from documents
-  qualify row_number() over (partition by lang order by doc_id) <= 60),
+r1 as (select lang as query_id, doc_id, text, row_number() over (partition by lang order by n_chars desc, doc_id) as rank from documents),
+r2 as (select lang as query_id, doc_id, text, row_number() over (partition by lang order by doc_id) as rank from documents),
 fused as (select query_id, md5(text) as k, round(sum(w / (rank - 1 + 60)), 9) as score, min(doc_id) as doc_id, min(text) as text
   from (select *, 0.7 as w from r1 union all select *, 0.3 from r2) group by 1, 2)"""
 
 
 def ranked(spark, folder):
-    from reapline.plans.ranking import top_k
-
-    d = docs(spark, folder).withColumnRenamed("lang", "query_id")
-    return top_k(d, ["query_id"], [F.desc("n_chars"), "doc_id"], 60), top_k(d, ["query_id"], ["doc_id"], 60)
+    """All documents of a language, by length and by id; ranks are counted block by block."""
+    d = docs(spark, folder).select(F.col("lang").alias("query_id"), "doc_id", "text", (-F.col("n_chars")).alias("shorter"))
+    by_size = Blocked(["query_id"], ["shorter", "doc_id"], number_block("shorter", 200))
+    by_id = Blocked(["query_id"], ["doc_id"], number_block("doc_id", 50_000))
+    return [b.done(b.row_number(d, "rank")) for b in (by_size, by_id)]
 
 
 @query("rrf", f"with {RANKED_SQL} select query_id, doc_id, score from fused")
@@ -108,7 +107,7 @@ def dedup_prefix(spark, folder):
 
 @query(
     "rerank",
-    f"""with {RANKED_SQL}, s as (select query_id, doc_id, length(left(text, 1000)) - length(replace(left(text, 1000), 'e', '')) as rerank_score from fused)
+    f"""with {RANKED_SQL}, s as (select query_id, doc_id, length(text) - length(replace(text, 'e', '')) as rerank_score from fused)
     select query_id, doc_id, cast(rerank_score as double) as rerank_score, row_number() over (partition by query_id order by rerank_score desc, doc_id) as rank from s
     qualify row_number() over (partition by query_id order by rerank_score desc, doc_id) <= 10""",
 )
@@ -312,7 +311,7 @@ def staged_dom_lookup(spark, folder):
 
 @query(
     "near_duplicates",
-    f"""with {PARTS_SQL}, m as (select request_id, max(round(st, 6)) as score from pairs where cache_id % 8 <> 0 group by 1),
+    f"""with {PARTS_SQL}, m as (select request_id, max(round(st, 6)) as score from pairs group by 1),
     i as (select q.request_id, max(round(list_cosine_similarity(q.t, o.t), 6)) as score from q join q o on q.domain_key = o.domain_key and o.request_id < q.request_id group by 1),
     b as (select request_id, max(score) as score from (from m union all from i) group by 1)
     select q.request_id as entry_id, domain_key, score as best_score, coalesce(score >= 0.95, false) as is_duplicate from q left join b using (request_id)""",
@@ -320,7 +319,7 @@ def staged_dom_lookup(spark, folder):
 def near_duplicates(spark, folder):
     new, cache = cache_tables(spark, folder)
     new = new.select(F.col("request_id").alias("entry_id"), "domain_key", "task_vector")
-    return caches.near_duplicates(new, cache.where("cache_id % 8 <> 0"), ("task_vector",), (1.0,))
+    return caches.near_duplicates(new, cache, ("task_vector",), (1.0,))
 
 
 ADMIT_SQL = """

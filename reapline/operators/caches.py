@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Mapping, Sequence
-from functools import reduce, total_ordering
+from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reapline.functions.text import compact_dom, dom_hash, normalize_locator, parse_ts, word_set
 from reapline.functions.url import domain_key, let, stripped, url_pattern
 from reapline.operators.documents import not_expired
-from reapline.operators.retrieval import dense_topk, request_blocks, similarity_of, weighted_vector
+from reapline.operators.retrieval import dense_topk, similarity_of, weighted_vector
+from reapline.plans.blocks import overlapping_sets
 from reapline.plans.ranking import top_k
+from reapline.session import durable
 
 # Thresholds, weights and limits of the two staged lookups.
 CODE_TASK_MIN, CODE_GOAL_MIN = 0.80, 0.88
@@ -40,72 +38,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, block_rows: int = 20_000) -> DataFrame:
+def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
     """Reusable entries of the same site that share most words with a request.
 
     ``requests``: request_id, domain_key, words.  ``cache``: cache_id, domain_key, words,
-    is_success, failure_count.  Requests travel to the tasks in blocks of bounded size, as
-    lists of requests per (site, word); a task counts the overlaps of one entry at a time
-    and passes on only its k best entries per request.  No pairs are shuffled, and a hot
-    site is spread like its entries are.
+    is_success, failure_count.  Without a site, a request meets the entries of all sites and an entry the
+    requests of all.  Entries lie in blocks with inverted word lists; a request first
+    searches the block whose set sizes promise most, then those that can reach its k-th score, there
+    only by its rarest words (``plans.blocks``).  No pairs are shuffled, and a hot site is
+    spread over its blocks.
     """
     usable = cache.where(F.coalesce("is_success", F.lit(True)) & (F.coalesce("failure_count", F.lit(0)) < 2))
-    source = usable.select(F.col("cache_id").alias("id"), F.col("domain_key").alias("p"), F.array_distinct("words").alias("w"))
-    asked = requests.select(F.col("request_id").alias("id"), F.col("domain_key").alias("p"), F.array_distinct("words").alias("w"))
-    id_types = requests.schema["request_id"].dataType.simpleString(), cache.schema["cache_id"].dataType.simpleString()
-    schema = f"request_id {id_types[0]}, cache_id {id_types[1]}, score double"
-
-    def scan(shipped) -> DataFrame:
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = shipped.value
-            q_ids, q_sizes, lists = block["id"].to_pylist(), [], {}
-            for i, (part, words) in enumerate(zip(block["p"].to_pylist(), block["w"].to_pylist())):
-                q_sizes.append(len(words))
-                for word in words:
-                    lists.setdefault((part, word), []).append(i)
-            lists = {key: np.asarray(v, dtype=np.int64) for key, v in lists.items()}
-            q_size = np.asarray(q_sizes, dtype=np.float64)
-            for batch in batches:
-                kept = [[] for _ in q_ids]
-                for entry, part, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    hits = [lists[(part, w)] for w in words or () if (part, w) in lists]
-                    if not hits:
-                        continue
-                    shared = np.bincount(np.concatenate(hits), minlength=len(q_ids))
-                    for i in np.flatnonzero(shared):
-                        score = float(np.floor(shared[i] / (len(words) + q_size[i] - shared[i]) * 1e6 + 0.5) / 1e6)
-                        item = (score, _Backwards(entry))
-                        if len(kept[i]) < k:
-                            heapq.heappush(kept[i], item)
-                        elif item > kept[i][0]:
-                            heapq.heapreplace(kept[i], item)
-                rows = [(q_ids[i], e.value, s) for i, heap in enumerate(kept) for s, e in heap]
-                columns = list(zip(*rows)) or [(), (), ()]
-                typed = [pa.array(columns[0], block["id"].type), pa.array(columns[1], batch.column(0).type), pa.array(columns[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(typed, names=["request_id", "cache_id", "score"])
-
-        return source.mapInArrow(best, schema)
-
-    scans = [scan(cache.sparkSession.sparkContext.broadcast(b)) for b in request_blocks(asked, block_rows)]
-    if not scans:
-        return cache.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return top_k(reduce(DataFrame.unionByName, scans), ["request_id"], [F.desc("score"), "cache_id"], k)
-
-
-@total_ordering
-class _Backwards:
-    """Orders ids the other way round: of equal scores the smaller id is the better one."""
-
-    __slots__ = ("value",)
-
-    def __init__(self, value):
-        self.value = value
-
-    def __eq__(self, other):
-        return self.value == other.value
-
-    def __lt__(self, other):
-        return other.value < self.value
+    stored = usable.select(F.col("cache_id").alias("id"), F.col("domain_key").cast("string").alias("part"), F.array_distinct("words").alias("words"))
+    asked = durable(requests.select(
+        F.monotonically_increasing_id().alias("_row"), "request_id", F.col("domain_key").cast("string").alias("part"), F.array_distinct("words").alias("words")))
+    found = overlapping_sets(stored, asked, k, "cache_id", block_rows)
+    named = found.drop("rank").join(asked.select("_row", "request_id"), "_row").select("request_id", "cache_id", "score")
+    return top_k(named, ["request_id"], [F.desc("score"), "cache_id"], k)
 
 
 def multi_vector_lookup(

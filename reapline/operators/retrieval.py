@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reapline.functions.text import search_tokens
 from reapline.functions.vectors import cosine, unit
+from reapline.plans.blocks import nearest_rows
 from reapline.plans.ranking import first_per_key, is_small, top_k
+from reapline.session import durable
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_CONSTANT = 60
+PIVOTS, PIVOT_SAMPLE = 64, 2048  # cells of the vector search, and the rows that their centres are chosen from
 
 
 def bm25(
@@ -64,96 +65,34 @@ def bm25(
     return top_k(scored, [query_id], [F.desc("score"), doc_id], k)
 
 
-def request_blocks(slim: DataFrame, block_rows: int):
-    """Arrow tables of requests (column ``id`` and others), small enough to ship to every task."""
-    blocks = max(1, math.ceil(slim.count() / block_rows))
-    for b in range(blocks):
-        chosen = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = chosen.toArrow()
-        if rows.num_rows:
-            yield rows
-
-
-def _vector_blocks(queries: DataFrame, id_col: str, vector: str, part: str | None, block_rows: int):
-    """Query vectors in such blocks."""
-    columns = [F.col(id_col).alias("id"), F.col(vector).alias("v")] + ([F.col(part).alias("p")] if part else [])
-    return request_blocks(queries.select(*columns), block_rows)
-
-
-def _matrix(column: pa.ChunkedArray | pa.Array, normalize: bool) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = values.reshape(len(flat), -1)
-    if not normalize:
-        return m
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-
 def dense_topk(
     docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str = "doc_id", vector: str = "vector", query_id: str = "query_id",
-    query_vector: str | None = None, part: str | None = None, earlier_only: bool = False, block_rows: int = 20_000, digits: int = 6,
-    normalize: bool = True,
+    query_vector: str | None = None, part: str | None = None, earlier_only: bool = False, block_rows: int = 4096, digits: int = 6,
+    normalize: bool = True, other_rows: bool = False,
 ) -> DataFrame:
-    """Exact cosine top k of every query, without ever forming query-document pairs.
-
-    Each task multiplies its batches of document vectors with a shipped block of query
-    vectors and passes on only k rows per query; more queries mean more blocks, each a
-    pass over the documents.  ``part`` restricts matches to equal parts, and
-    ``earlier_only`` to documents with a smaller id than the query.  Without ``normalize``
-    the score is the plain dot product.
+    """Exact cosine top k of every query; queries and documents both stay on Spark.
+
+    Documents lie in blocks around pivots; a query first searches the block that promises most and then
+    only those whose triangle bound reaches its k-th score (``plans.blocks``).  ``part``
+    restricts matches to equal parts, and ``earlier_only`` to documents with a smaller id
+    than the query; ``other_rows`` leaves out the query's own id.  Without ``normalize`` the score
+    is the plain dot product.  Rows
+    without a vector take no part; rows repeating a query's id are answered together, by the best of their scores.
     """
     query_vector = query_vector or vector
-    spark = docs.sparkSession
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    q_type = queries.schema[query_id].dataType.simpleString()
-    source = docs.where(F.col(vector).isNotNull()).select(
-        F.col(doc_id).alias("id"), F.col(vector).alias("v"), *([F.col(part).alias("p")] if part else [])
-    )
-    schema = f"{query_id} {q_type}, {doc_id} {id_type}, score double"
-
-    def scan(shipped) -> DataFrame:
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q = shipped.value
-            q_ids, q_rows = np.asarray(q["id"].to_pylist(), dtype=object), _matrix(q["v"], normalize)
-            q_part = np.asarray(q["p"].to_pylist(), dtype=object) if part else None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = np.asarray(batch.column(0).to_pylist(), dtype=object)
-                rows = _matrix(batch.column(1), normalize)
-                d_part = np.asarray(batch.column(2).to_pylist(), dtype=object) if part else None
-                groups = [(np.arange(len(q_ids)), np.arange(len(ids)))]
-                if part:
-                    groups = [(np.flatnonzero(q_part == p), np.flatnonzero(d_part == p)) for p in set(d_part)]
-                out = [[], [], []]
-                for qi, di in groups:
-                    if not len(qi) or not len(di):
-                        continue
-                    scores = np.round(q_rows[qi] @ rows[di].T, digits) + 0.0
-                    if earlier_only:
-                        scores[~(ids[di][None, :] < q_ids[qi][:, None])] = -np.inf
-                    order = np.lexsort((np.broadcast_to(np.argsort(np.argsort(ids[di])), scores.shape), -scores), axis=1)[:, :k]
-                    picked = np.take_along_axis(scores, order, axis=1)
-                    keep = np.isfinite(picked)
-                    out[0].extend(np.repeat(q_ids[qi][:, None], order.shape[1], axis=1)[keep])
-                    out[1].extend(ids[di][order][keep])
-                    out[2].extend(picked[keep])
-                typed = [pa.array(out[0], q["id"].type), pa.array(out[1], batch.column(0).type), pa.array(out[2], pa.float64())]
-                yield pa.RecordBatch.from_arrays(typed, names=[query_id, doc_id, "score"])
-
-        return source.mapInArrow(best, schema)
-
-    blocks = _vector_blocks(queries, query_id, query_vector, part, block_rows)
-    scans = [scan(spark.sparkContext.broadcast(block)) for block in blocks]
-    if not scans:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    return top_k(reduce(DataFrame.unionByName, scans), [query_id], [F.desc("score"), doc_id], k)
+    part_of = F.col(part) if part else F.lit(0)
+    source = docs.where(F.col(vector).isNotNull()).select(F.col(doc_id).alias("id"), part_of.alias("part"), F.col(vector).alias("vector"))
+    asked = durable(queries.where(F.col(query_vector).isNotNull()).select(
+        F.monotonically_increasing_id().alias("_row"), F.col(query_id).alias("request"), part_of.alias("part"), F.col(query_vector).alias("vector")))
+    name = "_found" if doc_id == query_id else doc_id
+    found = nearest_rows(source, asked, k, name, normalize, digits, earlier_only, other_rows, block_rows, PIVOTS, PIVOT_SAMPLE)
+    named = found.drop("rank").join(asked.select("_row", F.col("request").alias(query_id)), "_row")
+    return top_k(named.select(query_id, name, "score"), [query_id], [F.desc("score"), name], k)
 
 
 def mmr(
     docs: DataFrame, queries: DataFrame, k: int, fetch_k: int | None = None, balance: float = 0.6, *, doc_id: str = "doc_id",
-    vector: str = "vector", query_id: str = "query_id", query_vector: str | None = None,
+    vector: str = "vector", query_id: str = "query_id", query_vector: str | None = None, other_rows: bool = False,
 ) -> DataFrame:
     """Diverse top k: the fetch_k nearest, re-selected one by one against those chosen.
 
@@ -161,7 +100,7 @@ def mmr(
     """
     fetch = fetch_k or 2 * k
     query_vector = query_vector or vector
-    near = dense_topk(docs, queries, fetch, doc_id=doc_id, vector=vector, query_id=query_id, query_vector=query_vector)
+    near = dense_topk(docs, queries, fetch, doc_id=doc_id, vector=vector, query_id=query_id, query_vector=query_vector, other_rows=other_rows)
     rows = (
         near.join(docs.select(doc_id, F.col(vector).alias("_v")), doc_id)
         .join(queries.select(query_id, F.col(query_vector).alias("_q")), query_id)
@@ -208,9 +147,9 @@ def dedup_prefix(passages: DataFrame, n: int = 100, query_id: str = "query_id",
     return first_per_key(keyed, [query_id, "_p"], ["_o", doc_id]).drop("_p", "_o")
 
 
-def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column], k: int, query_id: str = "query_id", chars: int = 1000) -> DataFrame:
-    """k best candidates under a caller's scorer of (query text, passage)."""
-    scored = candidates.withColumn("rerank_score", scorer(F.col("query_text"), F.substring("text", 1, chars)))
+def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column], k: int, query_id: str = "query_id") -> DataFrame:
+    """k best candidates under a caller's scorer of (query text, whole passage)."""
+    scored = candidates.withColumn("rerank_score", scorer(F.col("query_text"), F.col("text")))
     return top_k(scored, [query_id], [F.desc("rerank_score"), "doc_id"], k)
 
 
