@@ -112,7 +112,15 @@ def mixture(documents: DataFrame, target_entropy: float | None = None, max_repea
     empty table gives an empty result; clashing column names are not used by the result
     but for the three above, which are replaced.
     """
-    docs = documents.withColumn("_tokens", token_count())
+    mixed = _mixed(documents, target_entropy, max_repeats, budget, seed)
+    added = ("_tokens", "_weight", "_copies")
+    return mixed.select(*[F.col("_row").getField(c).alias(c) for c in documents.columns if c not in added], *added)
+
+
+def _mixed(documents: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int) -> DataFrame:
+    """``_row`` (all columns of a document), ``_tokens``, ``_weight``, ``_copies``: inside the struct no name can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
+    docs = documents.select("doc_id", "source", token_count().alias("_tokens"), row)
     sums = docs.groupBy("source").agg(F.sum("_tokens").alias("n")).limit(SOURCES + 1).collect()
     if len(sums) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -150,10 +158,10 @@ def mixture(documents: DataFrame, target_entropy: float | None = None, max_repea
         .join(limits, F.col("_name").eqNullSafe(F.col("_s_name")) & (F.col("_block") == F.col("_s_block")), "left")
     )
     more = F.col("_w_block").isNotNull() | F.coalesce(F.struct("_order", F.col("doc_id").alias("_id")) <= F.col("_last"), F.lit(False))
-    return out.withColumn("_copies", F.col("_full") + more.cast("long")).select(*[documents[c] for c in documents.columns if c not in ("_tokens", "_weight", "_copies")], "_tokens", "_weight", "_copies")
+    return out.withColumn("_copies", F.col("_full") + more.cast("long")).select("_row", "_tokens", "_weight", "_copies")
 
 
 def mix(documents: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 4.0, budget: int | None = None, seed: int = 17) -> DataFrame:
-    """The rows of ``documents``, each as often as the mixture passes it; same columns."""
-    mixed = mixture(documents, target_entropy, max_repeats, budget, seed)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").select(*documents.columns)
+    """The rows of ``documents``, each as often as the mixture passes it; all columns as they were, whatever their names."""
+    mixed = _mixed(documents, target_entropy, max_repeats, budget, seed).where("_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col("_row").getField(c).alias(c) for c in documents.columns])

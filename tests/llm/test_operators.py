@@ -368,6 +368,19 @@ def test_mixture_spends_its_budget(spark, monkeypatch):
 
 # decontamination
 
+def test_mixing_with_columns_of_any_name(spark):
+    """Columns named like the operator's own pass through; null, empty and repeated rows keep their copies."""
+    rows = [(i, words(30, i), "big") for i in range(12)] + [(50, words(5, 3), "small"), (50, words(5, 3), "small"), (51, None, None), (52, "", None)]
+    clashing = ("_name", "_block", "_blocks", "_rest", "_full", "_order", "_last", "_row", "_copy", "_tokens", "_weight", "_copies")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(99) for c in clashing})
+    out = mixing.mix(df, max_repeats=1.5)
+    plain = mixing.mix(df.drop(*clashing), max_repeats=1.5)
+    assert out.columns == df.columns and {r["_tokens"] for r in out.collect()} == {99}
+    assert sorted(map(str, out.select("doc_id").collect())) == sorted(map(str, plain.select("doc_id").collect()))
+    assert {r.doc_id for r in out.collect()} == {r[0] for r in rows}
+    assert mixing.mixture(df).columns == [c for c in df.columns if c not in ("_tokens", "_weight", "_copies")] + ["_tokens", "_weight", "_copies"]
+
+
 def test_contaminated_documents(spark):
     items = [(i, f"{words(20, 100 + i)}? {words(8, 200 + i)}.") for i in range(30)] + [(50, None), (51, "too short"), (52, "")]
     docs = [(i, words(200, 300 + i)) for i in range(20)]
