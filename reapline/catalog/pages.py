@@ -186,15 +186,15 @@ def snapshot_summary(spark, folder):
     select page_id, cast(items as bigint) as count, replace(texts[1], '&amp;', '&') as first_text from t where items >= 3""",
 )
 def repeated_groups(spark, folder):
-    compressed = groups.compress_siblings(html.html_to_nodes(table(spark, folder, "pages")))
+    compressed = html.html_to_compressed(table(spark, folder, "pages"))
     found = groups.group_columns(compressed).where("tag = 'li'")
     return found.select("page_id", "count", F.get("text", F.lit(0)).alias("first_text"))
 
 
 @query("compressed_nodes")
 def compressed_nodes(spark, folder):
-    nodes = html.html_to_nodes(table(spark, folder, "pages"))
-    return groups.compressed_view(groups.compress_siblings(nodes)).groupBy("tag", "run_role").agg(F.count(F.lit(1)).alias("nodes"))
+    nodes = html.html_to_compressed(table(spark, folder, "pages"))
+    return groups.compressed_view(nodes).groupBy("tag", "run_role").agg(F.count(F.lit(1)).alias("nodes"))
 
 
 @query(

@@ -5,13 +5,13 @@ Windows here are per parent element of one page, so their size is that of a page
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from reapline.operators.html import deep_text
-from reapline.session import durable
-
-COMPRESSED = "compressed_list"
+from reapline.operators.html import _RUNS, RUN_SCHEMA, deep_text, sibling_runs
 
 
 def shape(tag: Column, css: Column, kid_tags: Column, input_type: Column) -> Column:
@@ -31,60 +31,38 @@ def structural_hash(nodes: DataFrame) -> DataFrame:
     return df.withColumn("hash", shape(F.col("tag"), F.col("class"), F.col("kid_tags"), F.col("attrs")["type"])).drop("kid_tags")
 
 
+def _mark_page(page: pa.Table, min_size: int) -> pa.Table:
+    refs, parents = page["ref"].to_pylist(), page["parent_ref"].to_pylist()
+    known, kids, tops = {r: i for i, r in enumerate(refs) if r is not None}, [[] for _ in refs], {}
+    for at in pc.sort_indices(page, sort_keys=[("pos", "ascending"), ("ref", "ascending")]).to_pylist():
+        above = known.get(parents[at])
+        (tops.setdefault(parents[at], []) if above is None else kids[above]).append(at)
+    kinds = [dict(a or ()).get("type") for a in page["attrs"].to_pylist()]
+    marks = sibling_runs(list(tops.values()), kids, page["tag"].to_pylist(), page["class"].to_pylist(), kinds, min_size)
+    columns = list(zip(*marks))
+    for (name, kind), column in zip(_RUNS, columns):
+        page = page.append_column(name, pa.array(column, type=kind))
+    return page
+
+
 def compress_siblings(nodes: DataFrame, min_size: int = 3) -> DataFrame:
     """Runs of equal neighbours, found from the deepest level upwards.
 
     A parent is compared by its children as they look after compression.  Adds ``hash``,
-    ``run_no`` and ``run_size`` per parent, and ``run_role``: member, first (of a
-    compressed run) or single.  The nodes are written out once, so that the pass over the
-    levels does not parse pages again; then one window pass per level follows, cut durably
-    every few levels.
+    ``run_no`` and ``run_size`` per parent, ``run_role``: member, first (of a compressed
+    run) or single, and ``hidden``: a later member of a run, or below one.
+
+    The rows of a page, which came from one stored document, meet in one call, by one
+    exchange.  ``html.html_to_compressed`` gives the same without any, where the pages
+    themselves are at hand.
     """
-    nodes = durable(nodes)
-    top = nodes.agg(F.max("depth")).first()[0]
-    if top is None:
-        return nodes.withColumns(
-            {"hash": F.lit(""), "run_no": F.lit(0).cast("long"), "run_size": F.lit(0).cast("long"), "run_role": F.lit("single")}
-        )
-    siblings = Window.partitionBy("page_id", "parent_ref").orderBy("pos")
-    run = Window.partitionBy("page_id", "parent_ref", "run_no")
-    done, kids = None, None
-    for level in range(top, -1, -1):
-        rows = nodes.where(F.col("depth") == level)
-        if kids is None:
-            rows = rows.withColumn("kid_tags", F.array().cast("array<string>"))
-        else:
-            rows = rows.join(kids, ["page_id", "ref"], "left")
-        rows = rows.withColumn("hash", shape(F.col("tag"), F.col("class"), F.col("kid_tags"), F.col("attrs")["type"])).drop("kid_tags")
-        is_mark = F.col("tag") == "skipped"
-        starts = is_mark | ~F.coalesce(F.lag("hash").over(siblings) == F.col("hash"), F.lit(False))
-        rows = rows.withColumn("run_no", F.sum(starts.cast("long")).over(siblings)).withColumns(
-            {"run_size": F.count(F.lit(1)).over(run), "_at": F.row_number().over(run.orderBy("pos"))}
-        )
-        packed = (F.col("run_size") >= min_size) & ~is_mark
-        rows = rows.withColumn(
-            "run_role", F.when(~packed, "single").when(F.col("_at") == 1, "first").otherwise("member")
-        ).drop("_at")
-        rows = durable(rows)
-        shown = rows.where(F.col("run_role") != "member")
-        token = F.when(F.col("run_role") == "first", F.lit(COMPRESSED)).otherwise(F.col("tag"))
-        kids = (
-            shown.groupBy("page_id", F.col("parent_ref").alias("ref"))
-            .agg(F.array_sort(F.collect_list(F.struct("pos", token.alias("tag")))).alias("_k"))
-            .withColumn("kid_tags", F.transform("_k", lambda k: k["tag"])).drop("_k")
-        )
-        done = rows if done is None else done.unionByName(rows)
-    return done
+    schema = T.StructType([*nodes.schema.fields, *T.DataType.fromDDL(RUN_SCHEMA).fields])
+    return nodes.groupBy("page_id").applyInArrow(lambda page: _mark_page(page, min_size), schema)
 
 
 def compressed_view(compressed: DataFrame) -> DataFrame:
     """What stays visible: everything but later members of compressed runs and what is below them."""
-    members = compressed.where(F.col("run_role") == "member").select("page_id", F.col("ref").alias("_a"))
-    hidden = (
-        compressed.select("page_id", "ref", F.explode(F.concat("ancestors", F.array("ref"))).alias("_a"))
-        .join(members, ["page_id", "_a"], "left_semi").select("page_id", "ref").distinct()
-    )
-    return compressed.join(hidden, ["page_id", "ref"], "left_anti")
+    return compressed.where(~F.col("hidden")).drop("hidden")
 
 
 def last_index(xpath: Column) -> Column:
@@ -94,10 +72,8 @@ def last_index(xpath: Column) -> Column:
 
 def group_columns(compressed: DataFrame, max_described: int = 20) -> DataFrame:
     """One row per compressed run with aligned value arrays and a path template."""
-    texts = deep_text(compressed)
     members = (
-        compressed.where(F.col("run_role") != "single")
-        .join(texts.select("page_id", "ref", "text"), ["page_id", "ref"], "left")
+        (compressed if "text" in compressed.columns else deep_text(compressed)).where(F.col("run_role") != "single")
         .select(
             "page_id", "parent_ref", "run_no", "pos", "tag", "xpath", "depth",
             F.coalesce("text", F.lit("")).alias("text"),

@@ -6,8 +6,10 @@ page into its nodes inside ``mapInArrow``.  Everything after it is DataFrame wor
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -44,6 +46,9 @@ NODE_SCHEMA = (
     "node_id string, class string, txt string, attrs map<string,string>, ancestors array<string>"
 )
 
+RUN_SCHEMA = "hash string, run_no bigint, run_size bigint, run_role string, hidden boolean"
+COMPRESSED = "compressed_list"
+
 
 class _Element:
     __slots__ = ("tag", "attrs", "texts", "children", "parent", "xpath")
@@ -160,6 +165,69 @@ def _kept(top):
     return kept.get(id(top))
 
 
+def _digest(tag, css, kid_tags, input_type) -> str:
+    """Fingerprint of an element, equal to the column expression ``groups.shape``."""
+    parts = [tag, css, "|".join(kid_tags) if kid_tags else None, input_type if tag == "input" else None]
+    return hashlib.md5("_".join(p for p in parts if p is not None).encode()).hexdigest()
+
+
+def sibling_runs(families, kids, tags, css, kinds, min_size):
+    """(hash, run_no, run_size, run_role, hidden) of every element of one tree, children first.
+
+    ``families``: lists of elements without a parent; ``kids``: elements below each one, in
+    order; elements are positions in ``tags``, ``css`` and ``kinds``.  A ``skipped`` element
+    is a run of its own.
+    """
+    order, stack = [], [at for family in families for at in family]
+    while stack:
+        order.append(stack.pop())
+        stack.extend(kids[order[-1]])
+    hashes, runs = [None] * len(tags), [None] * len(tags)
+
+    def mark(family):
+        shown, number, start = [], 0, 0
+        while start < len(family):
+            first, end = family[start], start + 1
+            if tags[first] != "skipped":
+                while end < len(family) and tags[family[end]] != "skipped" and hashes[family[end]] == hashes[first]:
+                    end += 1
+            number, size = number + 1, end - start
+            packed = size >= min_size and tags[first] != "skipped"
+            for at in family[start:end]:
+                runs[at] = number, size, ("first" if at == first else "member") if packed else "single"
+            shown.extend([COMPRESSED] if packed else [tags[at] for at in family[start:end]])
+            start = end
+        return shown
+
+    for at in reversed(order):
+        hashes[at] = _digest(tags[at], css[at], mark(kids[at]), kinds[at])
+    for family in families:
+        mark(family)
+    hidden = [runs[at] is not None and runs[at][2] == "member" for at in range(len(tags))]
+    for at in order:
+        if hidden[at]:
+            for kid in kids[at]:
+                hidden[kid] = True
+    return [(h, *(r or (0, 0, "single")), gone) for h, r, gone in zip(hashes, runs, hidden)]
+
+
+def compressed_rows(page_id: int, html: str, min_size: int):
+    """Node tuples with their runs and the first text at or below each, while the tree is in memory."""
+    rows = list(page_rows(page_id, html))
+    kids, at_ref = [[] for _ in rows], {}
+    for at, row in enumerate(rows):
+        at_ref[row[1]] = at
+        if row[2] is not None:
+            kids[at_ref[row[2]]].append(at)
+    kinds = [dict(row[12]).get("type") for row in rows]
+    marks = sibling_runs([[0]] if rows else [], kids, [r[7] for r in rows], [r[10] for r in rows], kinds, min_size)
+    texts = [row[11] for row in rows]
+    for at in range(len(rows) - 1, -1, -1):  # document order: children come after their parent
+        texts[at] = texts[at] or next((texts[kid] for kid in kids[at] if texts[kid]), None)
+    for row, mark, text in zip(rows, marks, texts):
+        yield (*row, *mark, text)
+
+
 def page_rows(page_id: int, html: str):
     """Node tuples of one page in document order."""
     builder = _TreeBuilder()
@@ -194,18 +262,26 @@ _ARROW = pa.schema(
 )
 
 
-def _parse(batches: Iterator[pa.RecordBatch], chunk: int = 20_000, pages: int = 64) -> Iterator[pa.RecordBatch]:
+_RUNS = [
+    ("hash", pa.string()), ("run_no", pa.int64()), ("run_size", pa.int64()), ("run_role", pa.string()), ("hidden", pa.bool_()),
+]
+_COMPRESSED = pa.schema([*_ARROW, *_RUNS, ("text", pa.string())])
+
+
+def _parse(
+    batches: Iterator[pa.RecordBatch], rows_of=page_rows, schema: pa.Schema = _ARROW, chunk: int = 20_000, pages: int = 64
+) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
 
     def flush():
         columns = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)
 
     for batch in batches:
         for start in range(0, batch.num_rows, pages):  # only a few pages at a time as Python texts
             part = batch.slice(start, pages)
             for page_id, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                rows.extend(page_rows(page_id, html))
+                rows.extend(rows_of(page_id, html))
                 if len(rows) >= chunk:
                     yield flush()
                     rows = []
@@ -222,6 +298,18 @@ def html_to_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html")).mapInArrow(_parse, NODE_SCHEMA)
 
 
+def html_to_compressed(pages: DataFrame, page_id: str = "page_id", html: str = "html", min_size: int = 3) -> DataFrame:
+    """Nodes as ``groups.compress_siblings`` gives them, marked by the parser itself.
+
+    Runs, what they hide, and ``text`` (own text, else the first one below) come from one
+    walk over the tree, so nothing is exchanged, joined or written out.  A page without a
+    kept element gives no rows; a null page is an empty one.
+    """
+    slim = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(html).alias("html"))
+    parse = partial(_parse, rows_of=partial(compressed_rows, min_size=min_size), schema=_COMPRESSED)
+    return slim.mapInArrow(lambda batches: parse(batches), f"{NODE_SCHEMA}, {RUN_SCHEMA}, text string")
+
+
 def sample_children(nodes: DataFrame, head: int = 10, tail: int = 2, minimum: int = 16) -> DataFrame:
     """Long child lists cut to their first and last members, with one row that counts the rest.
 

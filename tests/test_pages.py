@@ -81,6 +81,37 @@ def test_runs_at_any_depth(spark):
     assert {r.run_role for r in out.where("depth = 50").collect()} == {"single"}
 
 
+def test_parser_marks_runs_like_node_tables(spark):
+    deep = "<div>" * 60 + "<p>1</p><p>2</p><p>3</p>" + "</div>" * 60
+    same = "<ul>" + '<li class="x"><a href="/a">A</a></li>' * 4 + "<li>B</li></ul>"
+    kinds = "<form>" + '<input type="text" name="a">' * 3 + '<input type="radio" name="b">' + "</form>"
+    pages = [PAGE, f"<body>{deep}{same}{kinds}</body>", "<body>" + same * 5 + "</body>", "", None]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    fast = html.html_to_compressed(df).cache()
+    slow = groups.compress_siblings(html.html_to_nodes(df)).cache()
+    columns = ["page_id", "ref", "hash", "run_no", "run_size", "run_role", "hidden"]
+    rows = lambda table: sorted(tuple(r) for r in table.select(*columns).collect())
+    assert rows(fast) == rows(slow)
+    texts = lambda table: sorted((r.page_id, r.ref, r.text) for r in table.collect() if r.text)
+    assert texts(fast) == texts(html.deep_text(html.html_to_nodes(df)))
+    assert groups.group_columns(fast).orderBy("page_id", "parent_ref", "run_no").collect() == (
+        groups.group_columns(slow).orderBy("page_id", "parent_ref", "run_no").collect()
+    )
+    below = lambda r: any((r.page_id, a) in members for a in [*r.ancestors, r.ref])
+    members = {(r.page_id, r.ref) for r in fast.collect() if r.run_role == "member"}
+    assert {(r.page_id, r.ref) for r in fast.collect() if not below(r)} == {(r.page_id, r.ref) for r in groups.compressed_view(fast).collect()}
+    hashes = {(r.page_id, r.ref): r.hash for r in fast.collect()}
+    plain = {(r.page_id, r.ref): r.hash for r in groups.structural_hash(html.html_to_nodes(df)).where("tag in ('a', 'p', 'input')").collect()}
+    assert all(hashes[k] == v for k, v in plain.items())
+
+
+def test_left_out_children_end_a_run(spark):
+    page = "<body><ul>" + "".join(f"<li>i{i}</li>" for i in range(20)) + "</ul></body>"
+    out = groups.compress_siblings(html.sample_children(nodes_of(spark, page)), 2).where("parent_ref = 'r2'").orderBy("pos").collect()
+    assert [(r.run_no, r.run_size) for r in out] == [(1, 10)] * 10 + [(2, 1)] + [(3, 2)] * 2
+    assert [r.hidden for r in out] == [False] + [True] * 9 + [False, False, True]
+
+
 def test_expansion_restores_members(spark):
     out = groups.compress_siblings(nodes_of(spark, PAGE))
     assert out.count() == nodes_of(spark, PAGE).count()
