@@ -6,8 +6,8 @@ from reapline.catalog import access as access_queries
 from reapline.catalog import inputs, traces
 from reapline.catalog.registry import query, table
 from reapline.operators.traces import price_usage
-from reapline.streaming import ledger, sinks
-from reapline.streaming.traces import stream_trace_summary, stream_trace_windows
+from reapline.streaming import ledger, progress, sinks
+from reapline.streaming.traces import stream_sessions, stream_trace_summary, stream_trace_windows
 
 
 def events_stream(spark, folder):
@@ -62,6 +62,71 @@ def stream_dedup(spark, folder):
     return kept.groupBy("request_id").agg(F.min(F.unix_micros("ts")).alias("first_seen"))
 
 
+@query(
+    "stream_sessions",
+    f"""with {inputs.TRACE_SQL},
+    marked as (select *, lag(started_at) over (partition by thread_id order by started_at, id) as before from trace),
+    numbered as (select *, sum(case when before is null or epoch_us(started_at) - epoch_us(before) >= 7200000000 then 1 else 0 end)
+      over (partition by thread_id order by started_at, id) as session_no from marked)
+    select thread_id, min(started_at) as session_start, max(started_at) + interval '2 hours' as session_end, count(*) as events,
+      cast(sum(total_tokens) as bigint) as total_tokens from numbered group by thread_id, session_no""",
+)
+def stream_session_runs(spark, folder):
+    """Events arrive up to half an hour late; a last sign of life without a thread closes all sessions."""
+    seen = inputs.trace(spark, folder).select("id", "thread_id", F.col("started_at").cast("timestamp").alias("started_at"), "total_tokens")
+    late = F.pmod(F.xxhash64("id"), F.lit(1800)) * 1_000_000
+    beat = seen.agg((F.max("started_at") + F.expr("interval 1 day")).alias("started_at")).where("started_at is not null")
+    beat = seen.limit(0).unionByName(beat, allowMissingColumns=True)
+    closed = sinks.feed(seen, F.unix_micros("started_at") + late, lambda s: stream_sessions(s, "2 hours", "1 hour"), last=beat)
+    return closed.drop("batch")
+
+
+@query(
+    "stream_quarantine",
+    """with e as (select event_type = 'error' as failed, cast(user_id as varchar) as cache_id, epoch_us(ts) as t, event_id as seq from events),
+    u as (select *, max(t) filter (failed) over (partition by cache_id order by t, seq rows between unbounded preceding and 1 preceding) as last_failure from e)
+    select cache_id, seq, coalesce(t >= last_failure + 21600000000, true) as allowed from u where not failed""",
+)
+def stream_quarantine(spark, folder):
+    ledger.use_rocksdb(spark)
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = table(spark, folder, "events").select(
+        F.lit("dom").alias("cache_type"), F.lit("site").alias("domain_key"), F.col("user_id").cast("string").alias("cache_id"), t.alias("t"),
+        F.col("event_id").alias("seq"), F.when(F.col("event_type") == "error", "failure").otherwise("hit").alias("kind"),
+    )
+    return sinks.feed(seen, F.col("t"), lambda s: ledger.stream_quarantine(s, 6 * 3600)).select("cache_id", "seq", "allowed")
+
+
+@query(
+    "stream_progress",
+    """with e as (select cast(user_id as varchar) as thread_id, event_id as seq, event_id % 40 as item, event_id % 7 + 1 as page,
+      case event_type when 'signup' then 'filter' when 'click' then 'scroll' else 'collect' end as kind from events),
+    n as (select *, row_number() over (partition by thread_id, item order by seq) = 1 as is_new,
+      max(case when kind = 'filter' then seq end) over (partition by thread_id) as filtered from e),
+    c as (select *, sum(case when is_new then 1 else 0 end) over (partition by thread_id order by seq) as items from n),
+    r as (select *, max(case when kind = 'scroll' and (is_new or items - case when is_new then 1 else 0 end = 0) then seq end) over (partition by thread_id) as grown from c),
+    s as (select thread_id, max(seq) as seq, max(items) as item_count,
+      count(distinct case when kind = 'collect' and seq > coalesce(filtered, -1) then page end) as completed_pages,
+      count(case when kind = 'scroll' and seq > coalesce(grown, -1) then 1 end) as stagnant_rounds,
+      coalesce(max(case when kind = 'scroll' then page end), 0) as scroll_round, bool_or(item = 17) as stop_condition_met from r group by thread_id)
+    select thread_id, seq, cast(item_count as bigint) as item_count, completed_pages, stagnant_rounds, scroll_round, stop_condition_met,
+      (item_count >= 30 and completed_pages >= 3 or stop_condition_met) and scroll_round >= 5 as is_done, 4 as state_version from s""",
+)
+def stream_run_progress(spark, folder):
+    """Progress of every run after its last event, restored from what the stream stored."""
+    ledger.use_rocksdb(spark)
+    kind = F.when(F.col("event_type") == "signup", "filter").when(F.col("event_type") == "click", "scroll").otherwise("collect")
+    item = (F.col("event_id") % 40).cast("string")
+    steps = table(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("thread_id"), F.col("event_id").alias("seq"), F.lit(0).alias("pos"), kind.alias("kind"),
+        (F.col("event_id") % 7 + 1).cast("int").alias("page_number"), item.alias("identity"),
+        F.to_json(F.struct(F.concat(F.lit("Item "), item, F.lit(".")).alias("title"))).alias("record"), F.lit(30).alias("min_items"),
+        F.lit(3).alias("target_pages"), F.lit(5).alias("scroll_rounds"), F.lit("item 17.").alias("until_text"),
+    )
+    states = sinks.feed(steps, F.col("seq"), progress.stream_progress, "update")
+    return progress.restore_progress(_newest(states, ["thread_id"]))
+
+
 @query(
     "manifest_latest",
     """select cast(o_custkey as varchar) as thread_id, min(o_orderdate) as created_at, max(o_orderdate) as updated_at,

@@ -87,14 +87,14 @@ def stream_access_ledger(events: DataFrame, max_requests: int = 240, window_seco
 
 
 class QuarantineProcessor(StatefulProcessor):
-    """Expiry of one cached entry; the state goes when a later row finds it expired."""
+    """Expiry of one cached entry; a timer at that event time ends the state."""
 
-    def __init__(self, ttl_us: int, evict: bool):
-        self.ttl_us, self.evict = ttl_us, evict
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        ttl = {"ttlDurationMs": self.ttl_us // 1000} if self.evict else {}
-        self.expiry = handle.getValueState("expiry", "at bigint", **ttl)
+        self.handle = handle
+        self.expiry = handle.getValueState("expiry", "at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         before = until = self.expiry.get()[0] if self.expiry.exists() else None
@@ -104,27 +104,41 @@ class QuarantineProcessor(StatefulProcessor):
             if row.kind == "failure":
                 until = max(until or 0, t + self.ttl_us)
                 continue
-            until = None if until is not None and t >= until else until
-            out.append((*key, t, row.seq, until is None))
-        if until is None:
-            self.expiry.clear()
-        elif until != before:
+            out.append((*key, t, row.seq, until is None or t >= until))
+        if until != before:
+            if before is not None:
+                self.handle.deleteTimer(_millis(before))
             self.expiry.update((until,))
+            self.handle.registerTimer(_millis(until))
         yield pd.DataFrame(out, columns=["cache_type", "domain_key", "cache_id", "t", "seq", "allowed"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.expiry.clear()
+        yield pd.DataFrame([], columns=["cache_type", "domain_key", "cache_id", "t", "seq", "allowed"])
+
     def close(self) -> None:
         pass
 
 
-def stream_quarantine(events: DataFrame, ttl_seconds: int, evict: bool = False) -> DataFrame:
+# A watermark starts at the epoch, where Spark takes rows for late; times run a day ahead of it.
+AHEAD = 86_400 * SECOND
+
+
+def _millis(us: int) -> int:
+    """First whole millisecond not before a time in microseconds, as the watermark counts."""
+    return -(-(us + AHEAD) // 1000)
+
+
+def stream_quarantine(events: DataFrame, ttl_seconds: int, watermark: str = "1 hour") -> DataFrame:
     """Hits marked allowed or not, given the failures seen before them.
 
-    ``events``: cache_type, domain_key, cache_id (text), t, seq, kind (failure or hit).
-    ``evict`` also drops untouched state by wall clock; it keeps the query polling, so it
-    suits continuous triggers, not one-off runs over what is available.
+    ``events``: cache_type, domain_key, cache_id (text), t (microseconds since
+    1970), seq, kind (failure or hit).  Rows may come late by ``watermark``; what is known of an entry goes
+    when the watermark passes its last expiry, also if nothing more is heard of it.
     """
     out = "cache_type string, domain_key string, cache_id string, t bigint, seq bigint, allowed boolean"
-    return events.groupBy("cache_type", "domain_key", "cache_id").transformWithStateInPandas(
-        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND, evict), outputStructType=out, outputMode="Append",
-        timeMode="ProcessingTime" if evict else "None",
+    timed = events.select("cache_type", "domain_key", "cache_id", "t", "seq", "kind", F.timestamp_micros(F.col("t") + AHEAD).alias("at"))
+    return timed.withWatermark("at", watermark).groupBy("cache_type", "domain_key", "cache_id").transformWithStateInPandas(
+        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND), outputStructType=out, outputMode="Append",
+        timeMode="EventTime",
     )

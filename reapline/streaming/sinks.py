@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from reapline.operators.documents import build_docs, doc_metadata, percent_consistency
 from reapline.session import CHECKPOINT_KEY
@@ -49,12 +51,8 @@ def dedup_actions(actions: DataFrame, event_time: str, watermark: str) -> DataFr
     return actions.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["request_id"])
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available and return what it wrote, batch by batch.
-
-    Output and progress live in the shared checkpoint folder of the session.
-    """
-    spark = stream.sparkSession
+def stream_folder(spark: SparkSession) -> str:
+    """A new place for one stream in the shared checkpoint folder of the session."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
@@ -64,10 +62,54 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    place = f"{base}/streams/{uuid.uuid4().hex}"
+    return f"{base}/streams/{uuid.uuid4().hex}"
+
+
+def run_available(stream: DataFrame, place: str, mode: str = "append") -> StreamingQuery:
+    """Run a stream over everything available, from the progress stored under ``place``."""
     query = (
         stream.writeStream.outputMode(mode).foreachBatch(folder_sink(f"{place}/out"))
         .option("checkpointLocation", f"{place}/progress").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
+
+
+def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over everything available and return what it wrote, batch by batch.
+
+    Output and progress live in the shared checkpoint folder of the session.
+    """
+    spark = stream.sparkSession
+    place = stream_folder(spark)
+    run_available(stream, place, mode)
+    return spark.read.parquet(f"{place}/out")
+
+
+def feed(
+    rows: DataFrame, arrival: Column, build: Callable[[DataFrame], DataFrame], mode: str = "append", last: DataFrame | None = None,
+    least: int = 3, rows_per_part: int = 2_000_000,
+) -> DataFrame:
+    """What a stream writes while ``rows`` arrive in parts, in the order of the number ``arrival``.
+
+    Every part is a micro-batch of a query started anew from the stored progress of the one
+    before, so state passes through the checkpoint each time.  There are at least ``least``
+    parts, and more as the input grows, so that a micro-batch has about ``rows_per_part``
+    rows (ties of ``arrival`` stay together; rows without it come first).  ``last`` holds
+    rows that arrive after all others, such as one that moves a watermark on.
+    """
+    spark = rows.sparkSession
+    place = stream_folder(spark)
+    dealt = rows.withColumn("_arrival", arrival.cast("double"))
+    parts = max(least, -(-dealt.count() // rows_per_part))
+    cuts = dealt.agg(F.percentile_approx("_arrival", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    number = sum((F.coalesce(F.col("_arrival") > F.lit(c), F.lit(False)).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    dealt.withColumn("_part", number).drop("_arrival").write.partitionBy("_part").parquet(f"{place}/parts")
+    staged = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(f"{place}/parts")
+    for i in range(len(set(cuts)) + 1):
+        staged.where(F.col("_part") == i).drop("_part").write.mode("append").parquet(f"{place}/in")
+        run_available(build(spark.readStream.schema(rows.schema).parquet(f"{place}/in")), place, mode)
+    if last is not None:
+        last.write.mode("append").parquet(f"{place}/in")
+        run_available(build(spark.readStream.schema(rows.schema).parquet(f"{place}/in")), place, mode)
     return spark.read.parquet(f"{place}/out")

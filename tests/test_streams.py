@@ -35,6 +35,46 @@ def test_stream_quarantine(spark, tmp_path):
     assert {r.seq: r.allowed for r in out.collect()} == {1: True, 3: False, 4: True}
 
 
+def test_quarantine_state_ends_with_its_expiry(spark, tmp_path):
+    ledger.use_rocksdb(spark)
+    schema = "cache_type string, domain_key string, cache_id string, t long, seq long, kind string"
+    minute = 60_000_000
+    parts = [
+        [("dom", "d", c, i * minute, i, "failure") for i, c in enumerate("abca")], [("dom", "d", "a", 4 * minute, 9, "hit")],
+        [("dom", "d", "other", 600 * minute, 10, "hit")],
+    ]
+    place, sizes = str(tmp_path / "q"), []
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{place}/in")
+        stream = spark.readStream.schema(schema).json(f"{place}/in")
+        query = sinks.run_available(ledger.stream_quarantine(stream, 3600), place)
+        sizes.append(query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert sizes[0] > 0 and sizes[-1] == 0
+    assert {r.seq: r.allowed for r in spark.read.parquet(f"{place}/out").collect()} == {9: False, 10: True}
+
+
+def test_feed_arrives_in_parts_and_survives_restarts(spark):
+    rows = spark.range(1000).select(
+        F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("thread_id"), F.timestamp_seconds(F.col("id") * 20 + F.floor(F.col("id") / 100) * 9000).alias("started_at"),
+        F.col("id").alias("total_tokens"),
+    )
+    beat = spark.sql("select cast(null as string) as thread_id, timestamp_seconds(1000000) as started_at, 0L as total_tokens")
+    late = F.unix_seconds("started_at") + F.pmod(F.xxhash64("total_tokens"), F.lit(1500))
+    out = sinks.feed(rows, late, lambda s: traces.stream_sessions(s, "1 hour", "1 hour"), last=beat, least=4)
+    assert out.select("batch").distinct().count() >= 2
+    got = sorted((r.thread_id, r.session_start, r.events, r.total_tokens) for r in out.collect())
+    block = F.floor(F.col("total_tokens") / 100)
+    want = rows.groupBy("thread_id", block).agg(F.min("started_at").alias("s"), F.count(F.lit(1)).alias("n"), F.sum("total_tokens").alias("k"))
+    assert got == sorted((r.thread_id, r.s, r.n, r.k) for r in want.collect())
+
+
+def test_feed_of_ties_and_nothing(spark):
+    rows = spark.sql("select * from values (1, 5.0), (2, 5.0), (3, null) as t(v, at)")
+    keep = lambda s: s.select("v")
+    assert sorted(r.v for r in sinks.feed(rows, F.col("at"), keep).collect()) == [1, 2, 3]
+    assert sinks.feed(rows.limit(0), F.col("at"), keep).count() == 0
+
+
 STEPS = (
     "thread_id string, seq long, pos int, kind string, page_number int, identity string, record string, min_items int, target_pages int, scroll_rounds int, until_text string"
 )
