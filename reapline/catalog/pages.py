@@ -236,12 +236,13 @@ def deep_text(spark, folder):
 
 @query(
     "text_index",
-    f"""with {BODY_SQL}, l as (select page_id, unnest(regexp_extract_all(body, '<a href="[^"]*">([^<]*)</a>', 1)) as link from b),
-    w as (select page_id, trim(lower(unnest(string_split(replace(link, '&amp;', '&'), ' '))), '.,;:!?"''()[]{{}}') as token from l)
+    f"""with {BODY_SQL}, l as (select page_id, regexp_replace(regexp_replace(body, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g') as marked from b),
+    d as (select page_id, replace(replace(replace(replace(marked, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') as said from l),
+    w as (select page_id, trim(lower(unnest(regexp_split_to_array(said, '\\s+'))), '.,;:!?"''()[]{{}}') as token from d)
     select token, count(*) as hits, count(distinct page_id) as pages from w where length(token) >= 2 group by token""",
 )
 def text_index(spark, folder):
-    index = snapshots.text_index(page_snapshots(spark, folder).where("tag = 'a'"))
+    index = snapshots.text_index(page_snapshots(spark, folder))
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("snapshot_id").alias("pages"))
 
 
@@ -413,14 +414,14 @@ def price_by_title(spark, folder):
 
 @query(
     "quote_blocks",
-    """select conv_id as snapshot_id, '“' || left(text, 20) || '”' as text, 'Author ' || cast(turn as varchar) as author, 'tag' || cast(turn % 3 as varchar) || ' x' as tags,
+    """select conv_id as snapshot_id, '“' || coalesce(text, '') || '”' as text, 'Author ' || cast(turn as varchar) as author, 'tag' || cast(turn % 3 as varchar) || ' x' as tags,
       row_number() over (partition by conv_id order by turn) as item_no from conversations where role = 'assistant'""",
 )
 def quote_blocks(spark, folder):
     c = table(spark, folder, "conversations").where("role = 'assistant'")
     n = F.col("turn").cast("string")
     parts = F.array(
-        F.struct(F.lit("span").alias("tag"), F.concat(F.lit("“"), F.substring("text", 1, 20), F.lit("”")).alias("text")),
+        F.struct(F.lit("span").alias("tag"), F.concat(F.lit("“"), F.coalesce("text", F.lit("")), F.lit("”")).alias("text")),
         F.struct(F.lit("span").alias("tag"), F.concat(F.lit("by Author "), n).alias("text")),
         F.struct(F.lit("small").alias("tag"), F.concat(F.lit("Author "), n).alias("text")),
         F.struct(F.lit("div").alias("tag"), F.concat(F.lit("Tags: tag"), (F.col("turn") % 3).cast("string"), F.lit(" x")).alias("text")),
