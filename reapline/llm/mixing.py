@@ -117,10 +117,47 @@ def mixture(documents: DataFrame, target_entropy: float | None = None, max_repea
     return mixed.select(*[F.col("_row").getField(c).alias(c) for c in documents.columns if c not in added], *added)
 
 
-def _mixed(documents: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int) -> DataFrame:
-    """``_row`` (all columns of a document), ``_tokens``, ``_weight``, ``_copies``: inside the struct no name can clash."""
+def permuted(
+    documents: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 4.0, budget: int | None = None, seed: int = 17,
+    tokens: Column | None = None,
+) -> DataFrame:
+    """The mixture as sequences: a row per copy of a document, in the order its source is passed.
+
+    The columns of ``documents``, with ``_tokens``, ``_weight``, ``_pass`` (from 0) and
+    ``_position``: the tokens of the source's sequence before this copy.  Each pass
+    permutes the blocks of the source anew by a hash; inside a block rows keep their hash
+    order.  Copies, nulls, repeated rows and names are as in ``mixture``; rows alike in id
+    and tokens stand one after the other in no fixed order.  ``tokens`` replaces the count
+    of words by another column of whole numbers, such as ids counted before.
+
+    Rows meet by (source, block), so a hot source is spread over its blocks; of a source
+    and pass only one row per block is ordered, at most ``BLOCKS``.
+    """
+    mixed = _mixed(documents, target_entropy, max_repeats, budget, seed, tokens)
+    blocks = mixed.groupBy("_name", "_block", "_full").agg(F.sum("_tokens").alias("_n"), F.max("_copies").alias("_passes")).where("_passes > 0")
+    passes = blocks.withColumn("_pass", F.explode(F.sequence(F.lit(0), (F.col("_passes") - 1).cast("int"))))
+    by_pass = Window.partitionBy("_name", "_pass").orderBy(
+        F.xxhash64((F.lit(seed + 2) + F.col("_full") - F.col("_pass")).cast("int"), "_block"), "_block"
+    ).rowsBetween(Window.unboundedPreceding, -1)
+    begins = durable(passes.withColumn("_begin", F.coalesce(F.sum("_n").over(by_pass), F.lit(0))).select(
+        F.col("_name").alias("_p_name"), F.col("_block").alias("_p_block"), "_pass", "_begin"
+    ))
+    inside = Window.partitionBy("_name", "_block").orderBy("_order", F.col("_row.doc_id"), "_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    placed = mixed.withColumn("_inside", F.coalesce(F.sum("_tokens").over(inside), F.lit(0))).join(
+        begins, F.col("_name").eqNullSafe(F.col("_p_name")) & (F.col("_block") == F.col("_p_block")) & (F.col("_pass") < F.col("_copies"))
+    )
+    added = ("_tokens", "_weight", "_pass", "_position")
+    return placed.withColumn("_position", F.col("_pass") * F.col("_count") + F.col("_begin") + F.col("_inside")).select(
+        *[F.col("_row").getField(c).alias(c) for c in documents.columns if c not in added], *added
+    )
+
+
+def _mixed(
+    documents: DataFrame, target_entropy: float | None, max_repeats: float | None, budget: int | None, seed: int, tokens: Column | None = None
+) -> DataFrame:
+    """``_row`` (all columns of a document) with what the mixture adds: inside the struct no name can clash."""
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row")
-    docs = documents.select("doc_id", "source", token_count().alias("_tokens"), row)
+    docs = documents.select("doc_id", "source", (token_count() if tokens is None else tokens).alias("_tokens"), row)
     sums = docs.groupBy("source").agg(F.sum("_tokens").alias("n")).limit(SOURCES + 1).collect()
     if len(sums) > SOURCES:
         raise ValueError(f"more than {SOURCES} sources")
@@ -128,11 +165,11 @@ def _mixed(documents: DataFrame, target_entropy: float | None, max_repeats: floa
     weights = source_weights(counts, target_entropy, max_repeats, budget)
     spark = documents.sparkSession
     rows = [
-        (s, w, quota // counts[s] if counts[s] else 1, quota % counts[s] if counts[s] else 0, min(BLOCKS, max(1, -(-counts[s] // BLOCK_TOKENS))))
+        (s, w, counts[s], quota // counts[s] if counts[s] else 1, quota % counts[s] if counts[s] else 0, min(BLOCKS, max(1, -(-counts[s] // BLOCK_TOKENS))))
         for s, (w, quota) in weights.items()
     ]
-    names = ("_name", "_weight", "_full", "_rest", "_blocks")
-    listed = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), "array<struct<_name:string,_weight:double,_full:long,_rest:long,_blocks:long>>")
+    names = ("_name", "_weight", "_count", "_full", "_rest", "_blocks")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), "array<struct<_name:string,_weight:double,_count:long,_full:long,_rest:long,_blocks:long>>")
     plan = F.broadcast(spark.range(1).select(F.inline(listed)))  # a row per source, at most SOURCES
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     dealt = docs.join(plan, F.col("source").eqNullSafe(F.col("_name"))).withColumns({"_order": order, "_block": F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("_blocks"))})
@@ -158,7 +195,9 @@ def _mixed(documents: DataFrame, target_entropy: float | None, max_repeats: floa
         .join(limits, F.col("_name").eqNullSafe(F.col("_s_name")) & (F.col("_block") == F.col("_s_block")), "left")
     )
     more = F.col("_w_block").isNotNull() | F.coalesce(F.struct("_order", F.col("doc_id").alias("_id")) <= F.col("_last"), F.lit(False))
-    return out.withColumn("_copies", F.col("_full") + more.cast("long")).select("_row", "_tokens", "_weight", "_copies")
+    return out.withColumn("_copies", F.col("_full") + more.cast("long")).select(
+        "_row", "_tokens", "_weight", "_copies", "_name", "_block", "_order", "_count", "_full"
+    )
 
 
 def mix(documents: DataFrame, target_entropy: float | None = None, max_repeats: float | None = 4.0, budget: int | None = None, seed: int = 17) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from reapline.llm.alignment import aligned
 from reapline.llm.chat import format_conversations, read_back
-from reapline.llm.common import table
+from reapline.llm.common import durable, table
 from reapline.llm.decontaminate import contaminated
 from reapline.llm.langid import identify
-from reapline.llm.mixing import mixture
+from reapline.llm.mixing import permuted, token_count
 from reapline.llm.mtree import top_neighbours
 from reapline.llm.neardup import near_duplicates
 from reapline.llm.negatives import hard_negatives
@@ -66,8 +66,10 @@ def op5_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture(table(spark, sf_dir, "documents"), max_repeats=4.0)
-    return mixed.select("doc_id", "source", F.col("_tokens").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_copies").alias("copies"))
+    """A row per copy; texts are read once, for their words."""
+    counted = durable(table(spark, sf_dir, "documents").select("doc_id", "source", token_count().alias("n_tokens")))
+    mixed = permuted(counted, max_repeats=4.0, tokens=F.col("n_tokens"))
+    return mixed.select("doc_id", "source", "n_tokens", F.col("_weight").alias("weight"), F.col("_pass").alias("pass"), F.col("_position").alias("position"))
 
 
 @query

@@ -368,6 +368,45 @@ def test_mixture_spends_its_budget(spark, monkeypatch):
 
 # decontamination
 
+@pytest.mark.parametrize("budget", [None, 1500, 0])
+def test_sequences_against_a_walk_through_the_permutations(spark, monkeypatch, budget):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    big = docs_of(spark, [(i, words(1 + i % 9, i)) for i in range(120)], "big")
+    docs = big.unionByName(docs_of(spark, [(500 + i, words(4, i)) for i in range(20)], "small")).unionByName(docs_of(spark, AWKWARD[:7], None)).cache()
+    parts = dict(max_repeats=1.2, budget=budget, seed=5)
+    got = sorted((r.source or "", r._pass, r._position, r.doc_id or -1, r._tokens) for r in mixing.permuted(docs, **parts).collect())
+    weights = mixing.source_weights({r.source: r.n for r in docs.groupBy("source").agg(F.sum(mixing.token_count()).alias("n")).collect()}, None, 1.2, budget)
+    hashed = lambda *parts: F.xxhash64(*[F.lit(p) if isinstance(p, int) else p for p in parts])
+    want = []
+    for name, (_, quota) in weights.items():
+        mine = docs.where(F.col("source").eqNullSafe(F.lit(name))).withColumn("n", mixing.token_count())
+        total = mine.agg(F.sum("n")).first()[0]
+        count = max(1, -(-total // 50))
+        rows = [tuple(r) for r in mine.select(F.pmod(hashed(6, F.col("doc_id")), F.lit(count)), hashed(5, F.col("doc_id")), "doc_id", "n").collect()]
+        full = quota // total
+        for turn in range(full + (1 if quota % total else 0)):
+            keys = {b: k for b, k in spark.range(count).select("id", hashed(7 + full - turn, F.col("id"))).collect()}
+            at = 0
+            for _, _, doc, n in sorted(((r[0], r[1], r[2], r[3]) for r in rows), key=lambda r: (keys[r[0]], r[1], r[2] or -1, r[3])):
+                if turn < full or at < quota % total:
+                    want.append((name or "", turn, turn * total + at, doc or -1, n))
+                at += n
+    assert got == sorted(want)
+    copies = {(r.doc_id, r.source): r._copies for r in mixing.mixture(docs, **parts).collect()}
+    assert sum(copies.values()) == len(got)
+
+
+def test_sequences_of_awkward_rows(spark):
+    df = docs_of(spark, AWKWARD).withColumns({c: F.lit(7) for c in ("_pass", "_position", "_name", "_begin", "_inside", "_full")})
+    out = mixing.permuted(df)
+    assert out.columns == [c for c in df.columns if c not in ("_pass", "_position")] + ["_tokens", "_weight", "_pass", "_position"]
+    rows = out.collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 1, 2, 3, 4, 5, 6, 8, 8] and {r._name for r in rows} == {7}
+    spans = sorted((r._position, r._position + r._tokens) for r in rows if r._tokens)
+    assert all(a[1] == b[0] for a, b in zip(spans, spans[1:])) and spans[0][0] == 0
+    assert mixing.permuted(df.limit(0)).count() == 0
+
+
 def test_mixing_with_columns_of_any_name(spark):
     """Columns named like the operator's own pass through; null, empty and repeated rows keep their copies."""
     rows = [(i, words(30, i), "big") for i in range(12)] + [(50, words(5, 3), "small"), (50, words(5, 3), "small"), (51, None, None), (52, "", None)]
