@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reapline.functions.labels import ITEM_ACTIONS
 from reapline.plans.blocked import Blocked, number_block
 from reapline.plans.ranking import last_per_key
+from reapline.session import durable
 
 MONEY = "decimal(20,8)"
 SECONDS = "decimal(24,6)"
@@ -154,36 +155,39 @@ def site_item_counts(runs: DataFrame) -> DataFrame:
     return runs.groupBy("case_key", "unique_item_count").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def exact_median(df: DataFrame, column: str, buckets: int = 100_000) -> DataFrame:
-    """One row with the exact median of a column of any length.
+def exact_median(df: DataFrame, column: str, within: int = 100_000, intervals: int = 256) -> DataFrame:
+    """One row with the exact median of a column of any length and spread; null without values.
 
-    A histogram locates the middle; only the rows of the one or two buckets around it
-    are looked at as values.  Neither step gathers the column in one task.
+    The column is read once, into its distinct values with their counts.  Rounds then cut
+    them at approximate quantiles, values of the data themselves, and go on with the one or
+    two intervals around the middle, until at most ``within`` values are left to be
+    ordered.  An interval holds about 1/``intervals`` of the distinct values however they
+    lie, and only interval counts reach the driver.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull())
-    bounds = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("r")).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    span = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    placed = values.withColumn("b", F.floor((F.col("v") - lo) / span * buckets))
-    histogram = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    everywhere = Window.partitionBy()
-    located = histogram.select(
-        "b", "n", (F.sum("n").over(upto) - F.col("n")).alias("before"), F.sum("n").over(everywhere).alias("total")
-    )
-    lower, upper = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    holds = lambda p: (p >= F.col("before")) & (p < F.col("before") + F.col("n"))
-    middle = located.where(holds(lower) | holds(upper))
-    near = (
-        placed.join(middle.select("b", "before", "total"), "b")
-        .groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("before").alias("before"), F.min("total").alias("total"))
-    )
-    w = Window.partitionBy("before").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = near.withColumn("end", F.col("before") + F.sum("m").over(w)).withColumn("start", F.col("end") - F.col("m"))
-    covers = lambda p: (p >= F.col("start")) & (p < F.col("end"))
-    return ranked.agg(
-        ((F.max(F.when(covers(lower), F.col("v"))) + F.max(F.when(covers(upper), F.col("v")))) / 2).alias("median")
+    rest = durable(
+        df.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     )
+    size, total = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    lower, upper, before = (total - 1) // 2, total // 2, 0
+    while size > within:
+        cuts = sorted(set(rest.agg(F.percentile_approx("v", [i / intervals for i in range(1, intervals)], 100 * intervals)).first()[0]))
+        splitters = F.array(*[F.lit(c) for c in cuts])
+        placed = rest.withColumn("_i", F.size(F.filter(splitters, lambda c: c < F.col("v"))))
+        counts = sorted(tuple(r) for r in placed.groupBy("_i").agg(F.sum("n"), F.count(F.lit(1))).collect())
+        kept, at, start = [], before, before
+        for i, n, values in counts:
+            if at <= upper and at + n > lower:
+                start = start if kept else at
+                kept.append((i, values))
+            at += n
+        left = sum(values for _, values in kept)
+        if left == size:  # no cut between them
+            break
+        rest, size, before = placed.where(F.col("_i").isin([i for i, _ in kept])).drop("_i"), left, start
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rest.withColumn("end", F.lit(before) + F.sum("n").over(w)).withColumn("start", F.col("end") - F.col("n"))
+    covers = lambda p: (F.col("start") <= p) & (F.col("end") > p)
+    return ranked.agg(((F.max(F.when(covers(lower), F.col("v"))) + F.max(F.when(covers(upper), F.col("v")))) / 2).alias("median"))
 
 
 def run_overview(runs: DataFrame) -> DataFrame:

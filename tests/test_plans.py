@@ -119,8 +119,19 @@ def test_exact_median(spark, values):
     import statistics
 
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for buckets in (1, 3, 1000):
-        assert runs.exact_median(df, "v", buckets).first()[0] == statistics.median(values)
+    for within in (1, 3, 1000):
+        assert runs.exact_median(df, "v", within).first()[0] == statistics.median(values)
+
+
+def test_exact_median_of_uneven_values(spark):
+    import statistics
+
+    near = [(i * 7919 % 30011) * 1e-9 for i in range(30_000)]
+    values = [-1e300, *near, *[near[5]] * 9_000, 1e12, 1e300]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for within, intervals in ((1, 16), (50, 256), (100_000, 256)):
+        assert runs.exact_median(df, "v", within, intervals).first()[0] == statistics.median(values)
+    assert runs.exact_median(df.where("v is null"), "v").first()[0] is None
 
 
 def test_per_key_rows(spark):
