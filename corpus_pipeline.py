@@ -2,8 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns
 the columns of ``docs``; the last one returns a row per document of the token files.  Null
-texts count as empty, rows without an id are dropped by the second stage, repeated rows stay
-together, other columns pass through, and an empty table stays empty.
+texts count as empty; the second stage keeps rows without an id and one of exact repeats;
+other columns pass through, and an empty table stays empty.
 """
 
 from __future__ import annotations
