@@ -15,6 +15,10 @@ def events_stream(spark, folder):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
 
 
+def timed_trace(spark, folder):
+    return inputs.trace(spark, folder).withColumn("started_at", F.col("started_at").cast("timestamp"))
+
+
 def _newest(df, keys):
     rest = [c for c in df.columns if c not in keys and c != "batch"]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
@@ -22,8 +26,8 @@ def _newest(df, keys):
 
 @query("stream_trace_summary", traces.PRICED + " select * from summary")
 def stream_summary(spark, folder):
-    stream = inputs.trace_of(events_stream(spark, folder))
-    return _newest(sinks.drain(stream_trace_summary(price_usage(stream, inputs.prices(spark))), "update"), ["thread_id"])
+    summary = lambda s: stream_trace_summary(price_usage(s, inputs.prices(spark)))
+    return _newest(sinks.feed(timed_trace(spark, folder), F.unix_micros("started_at"), summary, "update"), ["thread_id"])
 
 
 @query(
@@ -32,8 +36,8 @@ def stream_summary(spark, folder):
       cast(sum(total_tokens) as bigint) as total_tokens, round(cast(sum(cast(duration_ms as decimal(18,6))) as double), 3) as duration_ms from trace group by 1, 2""",
 )
 def stream_windows(spark, folder):
-    stream = inputs.trace_of(events_stream(spark, folder)).withColumn("started_at", F.col("started_at").cast("timestamp"))
-    return _newest(sinks.drain(stream_trace_windows(stream, "6 hours", "1 hour"), "update"), ["window_start", "event_type"])
+    windows = lambda s: stream_trace_windows(s, "6 hours", "1 hour")
+    return _newest(sinks.feed(timed_trace(spark, folder), F.unix_micros("started_at"), windows, "update"), ["window_start", "event_type"])
 
 
 @query(
@@ -45,8 +49,8 @@ def stream_windows(spark, folder):
 )
 def stream_ledger(spark, folder):
     ledger.use_rocksdb(spark)
-    stream = access_queries.events_of(events_stream(spark, folder))
-    decided = sinks.drain(ledger.stream_access_ledger(stream, max_requests=2, window_seconds=86400))
+    seen = access_queries.events_of(table(spark, folder, "events"))
+    decided = sinks.feed(seen, F.col("t"), lambda s: ledger.stream_access_ledger(s, max_requests=2, window_seconds=86400))
     return decided.select("domain", "seq", "reason", "window_started", "waited_us")
 
 
@@ -73,7 +77,7 @@ def stream_dedup(spark, folder):
 )
 def stream_session_runs(spark, folder):
     """Events arrive up to half an hour late; a last sign of life without a thread closes all sessions."""
-    seen = inputs.trace(spark, folder).select("id", "thread_id", F.col("started_at").cast("timestamp").alias("started_at"), "total_tokens")
+    seen = timed_trace(spark, folder).select("id", "thread_id", "started_at", "total_tokens")
     late = F.pmod(F.xxhash64("id"), F.lit(1800)) * 1_000_000
     beat = seen.agg((F.max("started_at") + F.expr("interval 1 day")).alias("started_at")).where("started_at is not null")
     beat = seen.limit(0).unionByName(beat, allowMissingColumns=True)
