@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from reapline.catalog.registry import query, table
+from reapline.functions.registry import register_functions
 from reapline.functions import labels, text, url, values
 from reapline.operators import features, groups, html, snapshots, structured
 
@@ -361,6 +362,20 @@ def json_ld_items(spark, folder):
     return found.select("page_id", "title", "url", "description", "price", "author", F.coalesce(F.array_join("tags", "|"), F.lit("")).alias("tags"))
 
 
+@query(
+    "json_ld_in_sql",
+    """select p_partkey as page_id, 0 as block_no, '/0' as place, p_name as name, null as description from part
+    union all select p_partkey, 0, '/1', null, 'kind ' || p_type from part""",
+)
+def json_ld_in_sql(spark, folder):
+    register_functions(spark)
+    return spark.sql(
+        """select p.page_id, o.block_no, o.place, get_json_object(o.json, '$.name') as name, get_json_object(o.json, '$.description') as description
+        from {pages} p, lateral json_ld(p.html) o""",
+        pages=part_pages(spark, folder),
+    )
+
+
 def line_nodes(spark, folder):
     """Order lines as table rows of a snapshot per order: one row element and its cells."""
     lines = table(spark, folder, "lineitem")

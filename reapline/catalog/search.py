@@ -429,3 +429,39 @@ def locator_overlap(spark, folder):
     runs = p.select(F.col("p_partkey").alias("run_id"), failed.alias("failed_locator"))
     offered = p.select(F.col("p_partkey").alias("run_id"), F.col("p_name").alias("locator"))
     return caches.locator_overlap(runs, offered).select("run_id", "overlaps")
+
+
+# Lines as elements of their supplier's page: today's descriptors, and those that were
+# stored when a third of the lines held another quantity and half had other refs.
+REBIND_SQL = """
+line as (select *, l_suppkey as snapshot_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as ref, cast(l_quantity as bigint) as q from lineitem),
+now as (select snapshot_id, ref, l_linestatus as capability, l_linenumber as ordinal, l_orderkey % 2 as control_ordinal,
+  l_returnflag as flag, cast(year(l_shipdate) as varchar) as year, cast(q as varchar) as quantity from line),
+stored as (select ref as request_id, snapshot_id, case when l_orderkey % 2 = 0 then ref else 'gone' end as ref, l_linestatus as capability,
+  l_linenumber as ordinal, l_orderkey % 2 as control_ordinal, case when l_partkey % 5 > 0 then l_returnflag else '' end as flag,
+  cast(year(l_shipdate) as varchar) as year, cast(q + case when l_partkey % 3 = 0 then 1 else 0 end as varchar) as quantity from line),
+pairs as (select request_id, s.ref, n.ref as found, n.ordinal = s.ordinal and n.control_ordinal = s.control_ordinal as near
+  from stored s join now n using (snapshot_id, capability) where (s.flag = '' or s.flag = n.flag) and s.year = n.year and s.quantity = n.quantity),
+per as (select request_id, bool_or(found = ref) as same, count(*) as n, min(found) as only_one, count(*) filter (near) as pn, min(found) filter (near) as placed from pairs group by 1)"""
+
+
+@query(
+    "rebind_targets",
+    f"""with {REBIND_SQL} select request_id, case when same then ref when n = 1 then only_one when pn = 1 then placed end as rebound_ref,
+      case when same then 'same' when n = 1 then 'descriptor' when pn = 1 then 'position' end as rebound_by from stored left join per using (request_id)""",
+)
+def rebind_targets(spark, folder):
+    quantity = F.col("l_quantity").cast("long")
+    place = (F.col("l_suppkey").alias("snapshot_id"), F.col("l_linestatus").alias("capability"), F.col("l_linenumber").alias("ordinal"), (F.col("l_orderkey") % 2).alias("control_ordinal"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    ref = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], cents.cast("string"))
+    held = lambda flag, q: F.create_map(F.lit("flag"), flag, F.lit("year"), F.year("l_shipdate").cast("string"), F.lit("quantity"), q.cast("string")).alias("descriptor")
+    line = table(spark, folder, "lineitem")
+    now = line.select(*place, ref.alias("ref"), held(F.col("l_returnflag"), quantity))
+    stored = line.select(
+        ref.alias("request_id"),
+        *place,
+        F.when(F.col("l_orderkey") % 2 == 0, ref).otherwise("gone").alias("ref"),
+        held(F.when(F.col("l_partkey") % 5 > 0, F.col("l_returnflag")).otherwise(""), quantity + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)),
+    )
+    return caches.rebind_targets(stored, now).select("request_id", "rebound_ref", "rebound_by")

@@ -69,6 +69,13 @@ def loop_detection(spark, folder):
     return journeys.repeated_actions(c, n=2, threshold=0.2).select("run_id", "ord", "is_loop")
 
 
+@query("duplicate_actions")
+def duplicate_actions(spark, folder):
+    """Steps whose whole text nearly equals that of the two before, by matching blocks; no SQL has these."""
+    c = table(spark, folder, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("ord"), F.col("text").alias("action"))
+    return journeys.duplicate_actions(c).select("run_id", "ord", "is_loop")
+
+
 @query(
     "recent_context",
     """with l as (select * from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3)

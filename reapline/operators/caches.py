@@ -247,25 +247,44 @@ def rebind_targets(stored: DataFrame, current: DataFrame) -> DataFrame:
     ``stored``: request_id, snapshot_id, ref, capability, descriptor map, ordinal,
     control_ordinal.  ``current``: snapshot_id, ref, capability, descriptor, ordinal,
     control_ordinal.  Order of tests: same element still fits; one fitting element; one
-    fitting element at the same place.
+    fitting element at the same place.  An element fits if it holds every filled entry of
+    the descriptor; a descriptor without any fits nothing, a null one fits its own ref.
+
+    A containment join: each distinct descriptor looks up the elements that hold its
+    rarest entry on that page, and only those are compared whole.
     """
-    now = current.select(
-        "snapshot_id", "capability", F.col("ref").alias("_ref"), F.col("descriptor").alias("_d"), F.col("ordinal").alias("_o"),
-        F.col("control_ordinal").alias("_co"),
-    )
+    key = ["snapshot_id", "capability"]
     filled = F.map_filter("descriptor", lambda _, v: F.coalesce(v != "", F.lit(False)))
-    fits = F.forall(F.map_entries(filled), lambda e: F.coalesce(F.col("_d")[e["key"]] == e["value"], F.lit(False)))
-    pairs = stored.join(now, ["snapshot_id", "capability"]).where(fits)
-    place = F.col("_o").eqNullSafe(F.col("ordinal")) & F.col("_co").eqNullSafe(F.col("control_ordinal"))
-    found = pairs.groupBy("request_id").agg(
-        F.bool_or(F.col("_ref") == F.col("ref")).alias("_same"),
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_ref").alias("_only"),
-        F.count_if(place).alias("_pn"),
-        F.min(F.when(place, F.col("_ref"))).alias("_placed"),
+    asked = stored.withColumn("_d", F.array_sort(F.map_entries(filled)))
+    now = current.select(
+        F.col("snapshot_id").alias("_s"), F.col("capability").alias("_c"), F.col("ref").alias("_ref"), F.col("descriptor").alias("_now"),
+        F.col("ordinal").alias("_o"), F.col("control_ordinal").alias("_co"),
     )
-    rebound = (
-        F.when(F.col("_same"), F.col("ref")).when(F.col("_n") == 1, F.col("_only")).when(F.col("_pn") == 1, F.col("_placed"))
+    fits = F.forall("_d", lambda e: F.coalesce(F.col("_now")[e["key"]] == e["value"], F.lit(False)))
+    here = F.col("_s") == F.col("snapshot_id")
+    kind = F.col("_c").eqNullSafe(F.col("capability"))
+    still = F.col("_d").isNull() | (kind & (F.size("_d") > 0) & fits)
+    same = asked.join(now, here & (F.col("_ref") == F.col("ref")) & still).select("request_id").distinct().withColumn("_same", F.lit(True))
+
+    entries = now.select("*", F.explode(F.map_entries("_now")).alias("_e"))
+    often = entries.groupBy("_s", "_c", "_e").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = asked.where(F.size("_d") > 0).select(*key, "_d").distinct().select(*key, "_d", F.explode("_d").alias("_w"))
+    rarest = (
+        wanted.join(often, here & kind & (F.col("_e") == F.col("_w")))
+        .groupBy(*key, "_d")
+        .agg(F.count(F.lit(1)).alias("_held"), F.min_by("_w", F.struct("_n", "_w")).alias("_w"))
+        .where(F.col("_held") == F.size("_d"))
     )
+    found = rarest.join(entries, here & kind & (F.col("_e") == F.col("_w"))).where(fits)
+    placed = found.groupBy(*key, "_d", "_o", "_co").agg(F.count(F.lit(1)).alias("_pn"), F.min("_ref").alias("_placed"))
+    single = placed.groupBy(*key, "_d").agg(F.sum("_pn").alias("_n"), F.min("_placed").alias("_only"))
+
+    def meet(left, right, extra=()):
+        right = right.withColumnsRenamed({c: f"_r{c}" for c in (*key, "_d")})
+        on = [left[c].eqNullSafe(right[f"_r{c}"]) for c in (*key, "_d")] + [left[a].eqNullSafe(right[b]) for a, b in extra]
+        return left.join(right, on, "left").drop(*[f"_r{c}" for c in (*key, "_d")])
+
+    df = meet(meet(asked, single), placed, (("ordinal", "_o"), ("control_ordinal", "_co"))).join(same, "request_id", "left")
     how = F.when(F.col("_same"), "same").when(F.col("_n") == 1, "descriptor").when(F.col("_pn") == 1, "position")
-    return stored.join(found, "request_id", "left").select(stored["*"], rebound.alias("rebound_ref"), how.alias("rebound_by"))
+    rebound = F.when(how == "same", F.col("ref")).when(how == "descriptor", F.col("_only")).when(how == "position", F.col("_placed"))
+    return df.select(*stored.columns, rebound.alias("rebound_ref"), how.alias("rebound_by"))

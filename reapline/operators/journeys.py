@@ -6,6 +6,9 @@ any length is scanned in such blocks.
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,8 +92,48 @@ def similarity(a: Column, b: Column, at_least: float) -> Column:
     return F.coalesce(share, F.lit(0.0))
 
 
+def _alike(threshold: float):
+    """Whether two texts share so much of their matching blocks (longest first, then both sides)."""
+
+    @F.pandas_udf("boolean")
+    def alike(current: pd.Series, earlier: pd.Series) -> pd.Series:
+        matcher, out, held = SequenceMatcher(), [], None
+        for a, b in zip(current, earlier):
+            if a is None or b is None or a == b:
+                out.append(a is not None and b is not None)
+                continue
+            if b != held:
+                matcher.set_seq2(b)
+                held = b
+            matcher.set_seq1(a)
+            # both bounds are never below the ratio, so pairs they rule out need no blocks
+            out.append(matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold)
+        return pd.Series(out, dtype=bool)
+
+    return alike
+
+
+def duplicate_actions(steps_df: DataFrame, n: int = 2, threshold: float = 0.92, column: str = "action", block: int = 100_000) -> DataFrame:
+    """Whether each of the last ``n`` steps nearly equals the current one by matching blocks.
+
+    Whole texts are compared, in Arrow batches; twice the characters in matching blocks
+    over all characters must reach ``threshold``.  Empty and null actions never repeat,
+    nor do steps with fewer than ``n`` before them.
+    """
+    steps = _steps(block=block)
+    df, previous = steps_df, column
+    names = [f"_p{i}" for i in range(1, n + 1)]
+    for name in names:
+        df = steps.lag(df, {name: previous})
+        previous = name
+    alike = F.lit(True)
+    for name in names:
+        alike = alike & _alike(threshold)(F.col(column), F.col(name))
+    return steps.done(df.withColumn("is_loop", F.coalesce(F.col(column) != "", F.lit(False)) & alike).drop(*names))
+
+
 def repeated_actions(steps_df: DataFrame, n: int = 2, threshold: float = 0.92, column: str = "action", block: int = 100_000) -> DataFrame:
-    """Whether each of the last ``n`` steps nearly equals the current one."""
+    """Whether each of the last ``n`` steps nearly equals the current one by edit distance, without Python."""
     steps = _steps(block=block)
     df, previous = steps_df, column
     names = [f"_p{i}" for i in range(1, n + 1)]

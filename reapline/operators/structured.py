@@ -39,16 +39,35 @@ def _tags(v: Column, name: str) -> Column:
     return F.when(F.size(many) > 0, many).otherwise(F.when(many.isNull() & single.isNotNull(), F.array(single)))
 
 
-def json_ld_objects(pages: DataFrame, rounds: int = 8) -> DataFrame:
-    """One row per linked-data object of a page; lists and graphs may nest ``rounds`` deep."""
+def nesting(json: Column) -> Column:
+    """How deep the lists of a JSON text nest, at most: brackets outside its strings, in one pass."""
+    plain = F.regexp_replace(F.regexp_replace(json, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    bare = F.regexp_replace(plain, r"[^\[\]]+", "")
+    step = lambda acc, c: F.struct(
+        (acc["now"] + F.when(c == "[", 1).otherwise(-1)).alias("now"),
+        F.greatest(acc["top"], acc["now"] + F.when(c == "[", 1).otherwise(-1)).alias("top"),
+    )
+    return F.aggregate(F.split(bare, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
+
+
+def json_ld_objects(pages: DataFrame) -> DataFrame:
+    """One row per linked-data object of a page, with lists and graphs opened however deep they nest.
+
+    ``place`` holds the number of the block and the positions on the way to the object.
+    """
     blocks = pages.select(
         "page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(SCRIPT), F.lit(1))).alias("block_no", "_json")
     )
-    df = blocks.select("page_id", "url", F.array("block_no").alias("place"), F.try_parse_json("_json").alias("v")).where("v is not null")
-    for _ in range(rounds):
-        df = df.select("page_id", "url", "place", F.posexplode(_elements(F.col("v"))).alias("_i", "v"))
-        df = df.select("page_id", "url", F.concat("place", F.array("_i")).alias("place"), "v")
-    return df.where(F.schema_of_variant("v").startswith("OBJECT"))
+    df = blocks.select("page_id", "url", "block_no", F.try_parse_json("_json").alias("v"), nesting(F.col("_json")).alias("_levels")).where("v is not null")
+    member = lambda place, v: F.struct(place.alias("place"), v.alias("v"))
+    opened = F.aggregate(
+        F.sequence(F.lit(0), F.col("_levels")),
+        F.array(member(F.array("block_no"), F.col("v"))),
+        lambda acc, _: F.flatten(
+            F.transform(acc, lambda e: F.transform(_elements(e["v"]), lambda x, i: member(F.concat(e["place"], F.array(i)), x)))
+        ),
+    )
+    return df.select("page_id", "url", F.inline(opened)).where(F.schema_of_variant("v").startswith("OBJECT"))
 
 
 def json_ld_items(pages: DataFrame, schema: Sequence[str]) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cache admission, reuse, rebinding, duplicates and retrieval against brute force."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -87,6 +88,35 @@ def test_rebind_targets(spark):
     assert got == {1: ("e1", "same"), 2: ("e2", "descriptor"), 3: ("e4", "position"), 4: (None, None), 5: (None, None)}
 
 
+def test_rebind_targets_against_every_pair(spark):
+    rng = random.Random(5)
+    kind = "snapshot_id string, ref string, capability string, descriptor map<string,string>, ordinal int, control_ordinal int"
+
+    def row(i):
+        held = {k: rng.choice(["a", "b", "", None]) for k in ("name", "role", "tag") if rng.random() < 0.7}
+        return (rng.choice(["s", "t", None]), f"e{i % 25}", rng.choice(["x", "y", None]), None if rng.random() < 0.05 else held, rng.choice([0, 1, 2, 3, None]), rng.choice([0, None]))
+
+    now, asked = [row(i) for i in range(60)], [(i, *row(i)) for i in range(120)]
+    stored = spark.createDataFrame(asked, "request_id int, " + kind)
+    got = {r.request_id: (r.rebound_ref, r.rebound_by) for r in caches.rebind_targets(stored, spark.createDataFrame(now, kind)).collect()}
+
+    def match(d, c, capability, place):
+        filled = {k: v for k, v in d.items() if v}
+        return bool(filled) and c == capability and all((place or {}).get(k) == v for k, v in filled.items())
+
+    for i, s, ref, c, d, o, co in asked:
+        page = [n for n in now if s is not None and n[0] == s]
+        if any(n[1] == ref and (d is None or match(d, c, n[2], n[3])) for n in page):
+            want = (ref, "same")
+        else:
+            hits = [n for n in page if d is not None and match(d, c, n[2], n[3])]
+            near = [n for n in hits if n[4:] == (o, co)]
+            want = (hits[0][1], "descriptor") if len(hits) == 1 else (near[0][1], "position") if len(near) == 1 else (None, None)
+        assert got[i] == want, (i, got[i], want)
+    assert {how for _, how in got.values()} == {"same", "descriptor", "position", None}
+    assert caches.rebind_targets(stored, spark.createDataFrame([], kind)).where("rebound_ref is not null").count() == 0
+
+
 def test_near_duplicates_compare_with_earlier_entries(spark):
     new = spark.createDataFrame([(1, "d", [1.0, 0.0]), (2, "d", [1.0, 0.01]), (3, "d", [0.0, 1.0]), (4, "x", [1.0, 0.0])], "entry_id int, domain_key string, v array<double>")
     cache = spark.createDataFrame([("c", "d", [0.0, 2.0])], "cache_id string, domain_key string, v array<double>")

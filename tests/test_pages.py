@@ -210,6 +210,19 @@ def test_json_ld(spark):
     assert got["Nested"].tags == ["k"]
 
 
+def test_json_ld_opens_lists_of_any_depth(spark):
+    deep = {"name": "deep [x \" ]"}
+    for i in range(40):
+        deep = [deep] if i % 2 else {"@graph": [deep, {"name": f"n{i}"}]}
+    pages = [(1, "u", f"<script type='application/ld+json'>{json.dumps(x)}</script>") for x in (deep, {"name": "flat"}, [], "text", [[{"name": "two"}], {"name": "one"}])]
+    df = spark.createDataFrame([(i, *p[1:]) for i, p in enumerate(pages)] + [(9, "u", None), (10, "u", "")], "page_id long, url string, html string")
+    found = structured.json_ld_objects(df).selectExpr("page_id", "place", "variant_get(v, '$.name', 'string') as name").collect()
+    assert sorted((r.page_id, r.name) for r in found) == sorted(
+        [(0, "deep [x \" ]"), *((0, f"n{i}") for i in range(0, 40, 2)), (1, "flat"), (4, "one"), (4, "two")]
+    )
+    assert len({(r.page_id, *r.place) for r in found}) == len(found)
+
+
 FULL = (
     "snapshot_id string, ref string, ref_type string, tag string, role string, name string, text string, placeholder string, label string, input_type string, "
     "value string, href string, parent_ref string, xpath string, interactable_now boolean, in_viewport boolean, ord int, ancestors array<string>"

@@ -24,3 +24,11 @@ def test_entry_and_names(spark):
     queries, sql = contract.queries(), contract.oracle_sql()
     assert set(sql) <= set(queries)
     assert len(queries) >= 130
+
+
+def test_json_ld_in_sql(spark):
+    register_functions(spark)
+    page = """<script type="application/ld+json">{"@graph": [{"name": "a"}, [{"name": "b"}]]}</script><script type="application/ld+json">{broken</script>"""
+    spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").createOrReplaceTempView("ld_pages")
+    rows = spark.sql("select p.id, o.block_no, o.place, o.json from ld_pages p, lateral json_ld(p.html) o order by o.place").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, "/0", '{"name": "a"}'), (1, 0, "/1/0", '{"name": "b"}')]

@@ -1,6 +1,8 @@
 """Traces, runs, journeys and verdicts on literal cases."""
 
+import random
 from datetime import datetime
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
@@ -82,6 +84,31 @@ def test_loop_needs_all_recent_steps(spark):
     assert [r.is_loop for r in journeys.repeated_actions(df, block=2).orderBy("ord").collect()] == [False, False, True, False]
 
 
+def test_duplicate_actions_by_matching_blocks(spark):
+    rng = random.Random(3)
+    texts = [None, "", "click {\"ref\": \"e1\"}", "点击 第一页", "x" * 400]
+    rows = []
+    for run in range(6):
+        last = "open the page and read " + "word " * (5 + 30 * (run % 2))
+        for i in range(30):
+            if rng.random() < 0.2:
+                last = rng.choice(texts)
+            elif last and rng.random() < 0.5:
+                k = rng.randrange(len(last))
+                last = last[:k] + rng.choice("abc ") + last[k + rng.randrange(6) :]
+            rows.append((run, i, last))
+    df = spark.createDataFrame(rows, "run_id long, ord long, action string")
+    got = {(r.run_id, r.ord): r.is_loop for r in journeys.duplicate_actions(df, block=7).collect()}
+    at = {(r, i): a for r, i, a in rows}
+
+    def near(a, b):
+        return a is not None and b is not None and SequenceMatcher(None, a, b).ratio() >= 0.92
+
+    want = {k: bool(a) and all(near(a, at.get((k[0], k[1] - j))) for j in (1, 2)) for k, a in at.items()}
+    assert got == want and True in want.values()
+    assert journeys.duplicate_actions(df.limit(0)).count() == 0
+
+
 def test_invalid_action_reasons(spark):
     kind = "run_id int, step int, skill string, params map<string,string>, has_refs boolean, target_required boolean"
     actions = spark.createDataFrame(
