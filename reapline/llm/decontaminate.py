@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
@@ -19,13 +20,14 @@ from reapline.llm.common import CACHES, use
 
 K1, B = 1.2, 0.75
 SCALE = 64  # impacts are kept as whole numbers, rounded up, so that sums of bounds are exact
-BLOCK_ITEMS = 16  # items of one block of the index
+PASSAGES = 4096  # passages bounded at a time
+BLOCK_POSTINGS = 16  # postings of one block of a list
+LEAST_STRIDE = 8  # passages of the shortest items
 SHARD_ITEMS = 2048  # items of one index that is sent to tasks
 SHARD_BYTES = 48 << 20
-LEAST_WORDS = 5  # shorter items cannot be told from common phrases
 NGRAM = 5
 SHARE = 0.65  # of an item's score against itself that a passage must reach
-COMMON = 0.03  # terms in a larger share of the items cannot lead to a match by themselves
+COMMON = 0.03  # terms in a larger share of the items lead to an item only where it needs them
 OVERLAP, QUESTION = 0.75, 0.5  # of an item's and its question's word n-grams that a document must hold
 
 SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -54,82 +56,138 @@ def ngrams(words: list[bytes], n: int = NGRAM) -> set[tuple]:
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
-class Index:
-    """Impact-ordered blocks of items, blocks sorted by item length.
+class _List:
+    """Postings of a term in order of the items' needs, with the largest impact of the list and of each block."""
+
+    def __init__(self, postings: list[tuple[int, int]]):
+        self.items, self.impacts = map(list, zip(*postings))
+        self.blocks = [max(self.impacts[i : i + BLOCK_POSTINGS]) for i in range(0, len(postings), BLOCK_POSTINGS)]
+        self.bound = max(self.blocks)
+
+
+class _Class:
+    """Block-max index over items of about one length, searched by passages of ``2 * stride`` words.
 
-    Terms of many items are common, the others leading.  ``bounds[t, b]`` is the largest
-    impact of leading term t in block b, so its sum over a passage, plus what the common
-    terms of an item can add, bounds the item's score.  ``least[b]`` is the leading sum
-    below which no item of block b can reach its threshold.  ``postings[b][t]`` lists the
-    items of a block that hold a term, leading or common.
+    An item's commonest terms, as far as they cannot reach its threshold by themselves,
+    only add to its score; the others lead to it.  ``need`` is the threshold less what the
+    common ones may add, so it is positive, and an item is found through lists of leading
+    terms alone.  Items are in ascending order of need: lists that cannot reach the need of
+    an item cannot reach that of any item after it.
     """
 
+    def __init__(self, stride: int, items: list[tuple], often: set[int], df: list[int]):
+        self.stride = stride
+        ready = []
+        for item, weights in items:
+            threshold = int(np.ceil(SHARE * sum(weights.values())))
+            common, spare = set(), threshold - 1
+            for t in sorted(weights.keys() & often, key=lambda t: (-df[t], t)):
+                if weights[t] <= spare:
+                    common.add(t)
+                    spare -= weights[t]
+            ready.append((spare + 1, item, threshold, weights, common))
+        ready.sort(key=lambda r: r[:2])
+        self.need, self.item, self.threshold, self.weights = ([r[i] for r in ready] for i in range(4))
+        lists: dict[int, list] = defaultdict(list)
+        for k, (_, _, _, weights, common) in enumerate(ready):
+            for t, impact in weights.items():
+                if t not in common:
+                    lists[t].append((k, impact))
+        self.lists = {t: _List(p) for t, p in lists.items()}
+        self.bounds = np.zeros(len(df) + 1, np.int64)  # the last one is for words of no item
+        for t, found in self.lists.items():
+            self.bounds[t] = found.bound
+
+    def wand(self, codes: set[int]) -> Iterator[int]:
+        """Items whose leading terms among ``codes`` reach their need."""
+        need = self.need
+        cursors = [[0, 0, self.lists[t]] for t in codes]  # item, position, list
+        for c in cursors:
+            c[0] = c[2].items[0]
+        while cursors:
+            cursors.sort(key=lambda c: c[0])
+            total, k = 0, 0
+            for k, (item, _, found) in enumerate(cursors):
+                total += found.bound
+                if total >= need[item]:
+                    break
+            else:
+                return
+            pivot = cursors[k][0]
+            if cursors[0][0] < pivot:
+                target, moved = pivot, sum(c[0] < pivot for c in cursors)
+            else:
+                moved = sum(c[0] == pivot for c in cursors)
+                here = cursors[:moved]
+                target = pivot + 1
+                if sum(c[2].blocks[c[1] // BLOCK_POSTINGS] for c in here) < need[pivot]:
+                    # no item up to the end of the first of these blocks, or before the next list begins, can reach its need
+                    ends = [c[2].items[min((c[1] // BLOCK_POSTINGS + 1) * BLOCK_POSTINGS, len(c[2].items)) - 1] + 1 for c in here]
+                    target = min(ends + [c[0] for c in cursors[moved : moved + 1]])
+                elif sum(c[2].impacts[c[1]] for c in here) >= need[pivot]:
+                    yield pivot
+            for c in cursors[:moved]:
+                c[1] = bisect_left(c[2].items, target, c[1])
+                c[0] = c[2].items[c[1]] if c[1] < len(c[2].items) else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+
+    def search(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, place of the item, score) of every passage that reaches an item's threshold.
+
+        Passages overlap by half, so every stretch as long as an item lies inside one.
+        Those whose list bounds together stay below the smallest need have no pivot and
+        are left out at once.
+        """
+        bound = self.bounds[codes]
+        places = np.flatnonzero(bound)
+        totals = np.zeros(len(places) + 1, np.int64)
+        np.cumsum(bound[places], out=totals[1:])
+        passages = np.maximum(1, -(-(ends - starts - self.stride) // self.stride))
+        for d, (start, end, count) in enumerate(zip(starts, ends, passages)):
+            for chunk in range(0, count, PASSAGES):
+                first = start + np.arange(chunk, min(chunk + PASSAGES, count)) * self.stride
+                last = np.minimum(first + 2 * self.stride, end)
+                low, high = np.searchsorted(places, first), np.searchsorted(places, last)
+                for p in np.flatnonzero(totals[high] - totals[low] >= self.need[0]):
+                    leading = set(codes[places[low[p] : high[p]]].tolist())
+                    words = None
+                    for k in self.wand(leading):
+                        words = words or set(codes[first[p] : last[p]].tolist())
+                        score = sum(impact for t, impact in self.weights[k].items() if t in words)
+                        if score >= self.threshold[k]:
+                            yield d, k, score
+
+
+class Index:
+    """Items with words in classes of lengths that double, each with its own block-max lists."""
+
     def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], df: dict[bytes, int], count: int, mean: float):
-        items = sorted(items, key=lambda i: (len(i[1]) + len(i[2]), i[0] is None, i[0] or 0))
+        whole = [(i, q + a, []) if len(q) + len(a) < NGRAM else (i, q, a) for i, q, a in items if q or a]
+        items = sorted(whole, key=lambda i: (len(i[1]) + len(i[2]), i[0] is None, i[0] or 0))
         self.ids = [i[0] for i in items]
         self.parts = [(ngrams(q), ngrams(a)) for _, q, a in items]
-        used = sorted({t for _, q, a in items for t in q + a}, key=lambda t: (df[t] > max(1, COMMON * count), t))
+        used = sorted({t for _, q, a in items for t in q + a})
         self.vocabulary = {t: i for i, t in enumerate(used)}
-        self.leading = sum(df[t] <= max(1, COMMON * count) for t in used)
-        blocks = [items[i : i + BLOCK_ITEMS] for i in range(0, len(items), BLOCK_ITEMS)]
-        self.bounds = np.zeros((self.leading, len(blocks)), np.int32)
-        self.postings, self.stride, self.least = [], [], []
-        self.threshold = np.zeros(len(items))
-        for b, block in enumerate(blocks):
-            lists: dict[int, list] = defaultdict(list)
-            least = []
-            for k, (_, q, a) in enumerate(block):
-                words = q + a
-                weight = {True: 0, False: 0}
-                for term, tf in Counter(words).items():
-                    t = self.vocabulary[term]
-                    idf = np.log(1 + (count - df[term] + 0.5) / (df[term] + 0.5))
-                    impact = int(np.ceil(SCALE * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))))
-                    lists[t].append((k, impact))
-                    weight[t < self.leading] += impact
-                    if t < self.leading:
-                        self.bounds[t, b] = max(self.bounds[t, b], impact)
-                self.threshold[b * BLOCK_ITEMS + k] = SHARE * sum(weight.values())
-                least.append(self.threshold[b * BLOCK_ITEMS + k] - weight[False])
-            self.postings.append(dict(lists))
-            self.stride.append(max(len(q) + len(a) for _, q, a in block))
-            self.least.append(min(least))
+        often = {i for i, t in enumerate(used) if df[t] > max(1, COMMON * count)}
+        classes: dict[int, list] = defaultdict(list)
+        for i, (_, q, a) in enumerate(items):
+            words = q + a
+            weights = {}
+            for term, tf in Counter(words).items():
+                idf = np.log(1 + (count - df[term] + 0.5) / (df[term] + 0.5))
+                weights[self.vocabulary[term]] = int(np.ceil(SCALE * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))))
+            classes[max(LEAST_STRIDE, 1 << (len(words) - 1).bit_length())].append((i, weights))
+        self.classes = [_Class(stride, rows, often, [df[t] for t in used]) for stride, rows in sorted(classes.items())]
 
     def retrieve(self, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(document, item, best passage score) of all passages that reach an item's threshold.
-
-        ``codes`` are the term numbers of several documents end to end.  A block's passages
-        are twice as long as its longest item and overlap by half, so every stretch as long
-        as an item lies inside one.  Only passages whose leading terms reach the block's
-        bound are scored against its items.
-        """
+        """(document, item, best passage score); ``codes`` are the term numbers of several documents end to end."""
         ends = np.cumsum(lengths)
-        starts = ends - lengths
         best: dict[tuple[int, int], int] = {}
-        places = np.flatnonzero(codes < self.leading)
-        totals = np.zeros((len(places) + 1, self.bounds.shape[1]), np.int64)
-        np.cumsum(self.bounds[codes[places]], axis=0, out=totals[1:])
-        before = np.zeros(len(codes) + 1, np.int64)  # leading words before each place
-        before[1:] = np.cumsum(codes < self.leading)
-        for b, (stride, least) in enumerate(zip(self.stride, self.least)):
-            passages = np.maximum(1, -(-(lengths - stride) // stride))
-            owner = np.repeat(np.arange(len(lengths)), passages)
-            number = np.arange(len(owner)) - np.repeat(np.cumsum(passages) - passages, passages)
-            first = starts[owner] + number * stride
-            last = np.minimum(first + 2 * stride, ends[owner])
-            column = totals[:, b]
-            for p in np.flatnonzero(column[before[last]] - column[before[first]] >= least):
-                scores = [0] * BLOCK_ITEMS
-                postings = self.postings[b]
-                for t in set(codes[first[p] : last[p]].tolist()):
-                    for k, impact in postings.get(t, ()):
-                        scores[k] += impact
-                for k, score in enumerate(scores):
-                    item = b * BLOCK_ITEMS + k
-                    if score and score >= self.threshold[item]:
-                        key = (int(owner[p]), item)
-                        best[key] = max(best.get(key, 0), score)
-        for (doc, item), score in best.items():
+        for part in self.classes:
+            for doc, k, score in part.search(codes, ends - lengths, ends):
+                key = (doc, part.item[k])
+                best[key] = max(best.get(key, 0), score)
+        for (doc, item), score in sorted(best.items()):
             yield doc, item, score / SCALE
 
 
@@ -207,7 +265,7 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             words = terms(text)
-            if len(words) >= LEAST_WORDS:
+            if words:
                 rows.append((item, text, len(words), sorted(set(words))))
         columns = list(zip(*rows)) or [[]] * 4
         yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.binary())))], ["item_id", "text", "n", "terms"])
@@ -223,7 +281,7 @@ def _build(rows: pa.Table, count: int, mean: float) -> pa.Table:
 
 
 def shards(items: DataFrame) -> list[bytes]:
-    """Indexes over all items of at least ``LEAST_WORDS`` words, each of bounded size.
+    """Indexes over all items with words, each of bounded size.
 
     Counts (items, mean length, items with a term) cover all items.  Items are dealt to
     shards of about ``SHARD_ITEMS``; shards larger than ``SHARD_BYTES`` are dealt anew to
@@ -254,8 +312,8 @@ def contaminated(documents: DataFrame, items: DataFrame) -> DataFrame:
     Every passage of every whole text queries the index; all items whose BM25 score with
     a passage reaches 0.65 of their score against themselves are verified: at least three
     quarters of the item's word five-grams, and half of its question's, must occur in the
-    document.  Null and empty texts match nothing, items of under five words are not
-    searched, repeated items are searched once, repeated documents are reported each,
+    document.  An item, question or answer of under five words must occur as a whole
+    run.  Null and empty texts match nothing, items without words are never held, repeated items are searched once, repeated documents are reported each,
     null ids stay null.  Without items the result is empty.
     """
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

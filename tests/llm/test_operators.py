@@ -432,28 +432,41 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(data, bench.limit(0)).count() == 0 and decontaminate.contaminated(data.limit(0), bench).count() == 0
 
 
-def test_retrieval_equals_brute_force():
+@pytest.mark.parametrize("block", [2, 16])
+def test_retrieval_equals_brute_force(monkeypatch, block):
+    """Block-max WAND against scoring every passage with every item; some words are in most items."""
+    monkeypatch.setattr(decontaminate, "BLOCK_POSTINGS", block)
     rng = np.random.default_rng(6)
     vocabulary = [f"w{i}" for i in range(300)]
-    items = [(i, [w.encode() for w in rng.choice(vocabulary, 20)], [w.encode() for w in rng.choice(vocabulary, 5)]) for i in range(40)]
+    draw = lambda n: [w.encode() for w in rng.choice(vocabulary, n, p=share)]
+    share = np.array([1 / (i + 5) for i in range(300)]) / sum(1 / (i + 5) for i in range(300))
+    items = [(i, draw(int(rng.integers(1, 60))), draw(i % 6)) for i in range(400)]
     df = {}
     for _, q, a in items:
         for w in set(q + a):
             df[w] = df.get(w, 0) + 1
-    index = decontaminate.Index(items, df, 40, 25.0)
-    texts = [[w.encode() for w in rng.choice(vocabulary, 60)] + list(items[i % 40][1]) + list(items[i % 40][2]) for i in range(50)]
+    index = decontaminate.Index(items, df, 400, 30.0)
+    texts = [draw(60) + items[i][1] + items[i][2] + draw(int(rng.integers(0, 300))) for i in range(50)] + [[], [b"none"]]
     codes = [np.array([index.vocabulary.get(w, len(index.vocabulary)) for w in t], np.int32) for t in texts]
-    found = {(d, i) for d, i, _ in index.retrieve(np.concatenate(codes), np.array([len(c) for c in codes]))}
-    expected = set()
+    found = {(d, i): s for d, i, s in index.retrieve(np.concatenate(codes), np.array([len(c) for c in codes]))}
+    expected = {}
+    assert sum(len(c.item) for c in index.classes) == 400 and all(n > 0 for c in index.classes for n in c.need)
     for d, own in enumerate(codes):
-        for item in range(40):
-            b, k = divmod(item, decontaminate.BLOCK_ITEMS)
-            stride = index.stride[b]
-            for start in range(0, max(1, -(-(len(own) - stride) // stride)) * stride, stride):
-                score = sum(dict(index.postings[b].get(int(t), ())).get(k, 0) for t in set(own[start : start + 2 * stride].tolist()))
-                if score and score >= index.threshold[item]:
-                    expected.add((d, item))
-    assert found == expected and len(found) >= 40
+        for part in index.classes:
+            for start in range(0, max(1, -(-(len(own) - part.stride) // part.stride)) * part.stride, part.stride):
+                words = set(own[start : start + 2 * part.stride].tolist())
+                for item, threshold, weights in zip(part.item, part.threshold, part.weights):
+                    score = sum(w for t, w in weights.items() if t in words)
+                    if score >= threshold:
+                        expected[d, item] = max(expected.get((d, item), 0), score / decontaminate.SCALE)
+    assert found == expected and {index.ids[i] for _, i in found} >= set(range(50))
+
+
+def test_short_items_and_very_long_texts(spark):
+    items = [(1, "lone"), (2, "so long"), (3, "who? me"), (4, words(30, 7)), (5, "...")]
+    docs = [(1, "a lone word"), (2, "alone"), (3, "long so"), (4, "and So, LONG!"), (5, "me, who"), (6, "he said: who? me!"), (7, f"{words(300_000, 8)} {items[3][1]} {words(100, 9)}")]
+    out = decontaminate.contaminated(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == {(1, 1), (4, 2), (6, 3), (7, 4)}
 
 
 # the pipeline
