@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pages", "traces", "runs", "quality", "search", "access", "steps", "streams", "contracts")
+MODULES = ("pages", "traces", "runs", "quality", "search", "access", "steps", "streams", "contracts", "lookups")
 
 
 def load_all():
