@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from reapline.catalog.registry import query, table
+from reapline.functions.text import ellipsize, is_valid_thread_id, lenient_json, sanitize_locator, slug, verdict_fields
 from reapline.functions.url import PRIVATE_IPV4, is_private_host, same_target, url_policy
-from reapline.operators import snapshots
+from reapline.operators import features, snapshots
 from reapline.sources import writers
 from reapline.streaming.sinks import stream_folder
 
@@ -194,3 +195,96 @@ def rows_appended_and_read(spark, folder):
     writers.append_rows(c.where("id % 2 = 0").drop("segment"), place)
     writers.append_rows(c.where("id % 2 = 1"), place)
     return writers.read_appended(spark, place).select("id", "name", "segment")
+
+
+# Events as controls: views are inputs, clicks buttons, errors forms, all others links with a label.
+LABELS = ("Next page", "Previous", "17", "read more", "", "0")
+CONTROLS_SQL = """
+c as (select user_id as snapshot_id, 'e' || cast(event_id as varchar) as ref, 'p' || cast(event_id % 40 as varchar) as parent_ref, event_id as ord, event_type,
+  ['Next page', 'Previous', '17', 'read more', '', '0'][event_id % 6 + 1] as label from events)"""
+
+
+def control_nodes(spark, folder):
+    kind, empty = F.col("event_type"), F.lit("")
+    tag = F.when(kind == "view", "input").when(kind == "click", "button").when(kind == "error", "form").otherwise("a")
+    number = F.col("event_id").cast("string")
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("snapshot_id"), F.concat(F.lit("e"), number).alias("ref"), F.concat(F.lit("p"), (F.col("event_id") % 40).cast("string")).alias("parent_ref"),
+        F.col("event_id").alias("ord"), tag.alias("tag"), empty.alias("role"), empty.alias("name"),
+        F.get(F.array(*map(F.lit, LABELS)), (F.col("event_id") % 6).cast("int")).alias("text"),
+    )
+
+
+@query(
+    "forms",
+    f"""with {CONTROLS_SQL}, own as (select snapshot_id, 0 as k, ord, ref, 'form' as kind, '' as inputs, '' as buttons from c where event_type = 'error'),
+    held as (select snapshot_id, 1 as k, min(ord) as ord, parent_ref as ref, 'form_group' as kind, coalesce(string_agg(ref, ',' order by ord) filter (event_type = 'view'), '') as inputs,
+      coalesce(string_agg(ref, ',' order by ord) filter (event_type = 'click'), '') as buttons from c where event_type in ('view', 'click')
+      group by snapshot_id, parent_ref having count(*) filter (event_type = 'view') > 0)
+    select snapshot_id, ref, kind, inputs, buttons, row_number() over (partition by snapshot_id order by k, ord, ref) as entry_no from (from own union all from held)""",
+)
+def forms(spark, folder):
+    df = features.forms(control_nodes(spark, folder))
+    return df.select("snapshot_id", "ref", "kind", F.array_join("inputs", ",").alias("inputs"), F.array_join("buttons", ",").alias("buttons"), "entry_no")
+
+
+@query(
+    "page_controls",
+    f"""with {CONTROLS_SQL} select snapshot_id, parent_ref, ref, ord, label, case label when 'Next page' then 'next' when 'Previous' then 'prev' else 'page_number' end as direction,
+      true as enabled from c where label in ('Next page', 'Previous', '17') and event_type not in ('view', 'error')""",
+)
+def page_controls(spark, folder):
+    return features.page_controls(control_nodes(spark, folder))
+
+
+@query(
+    "merge_nodes",
+    """select user_id as snapshot_id, 'e' || cast(event_id as varchar) as ref, case when event_id % 2 = 0 and event_id % 3 > 0 then 'first ' || event_type else event_type end as text,
+      case when event_id % 2 = 0 then 'one' else 'two' end as origin, cast(value as varchar) is not null as valued, 'element' as ref_type,
+      case when event_id % 2 = 0 then event_id else 1000000000 + event_id end as ord from events
+    union all select user_id, '', 'loose', null, null, null, event_id from events where event_id % 10 = 0""",
+)
+def merge_nodes(spark, folder):
+    e = table(spark, folder, "events")
+    base = lambda text, origin: (
+        F.col("user_id").alias("snapshot_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("ref"), text.alias("text"),
+        F.create_map(F.lit("origin"), F.lit(origin)).alias("attrs"), F.lit("").alias("ref_type"), F.col("event_id").alias("ord"),
+    )
+    said = F.when(F.col("event_id") % 3 > 0, F.concat(F.lit("first "), "event_type")).otherwise("")
+    first = e.where("event_id % 2 = 0").select(*base(said, "one"))
+    second = e.select(*base(F.col("event_type"), "two"), F.col("value").isNotNull().alias("valued"))
+    loose = e.where("event_id % 10 = 0").select(F.col("user_id").alias("snapshot_id"), F.lit("").alias("ref"), F.lit("loose").alias("text"), F.col("event_id").alias("ord"))
+    merged = snapshots.merge_nodes([first, second, loose])
+    return merged.select("snapshot_id", "ref", "text", F.col("attrs")["origin"].alias("origin"), "valued", "ref_type", "ord")
+
+
+@query(
+    "text_rules",
+    """with t as (select *, p_brand || ' /' || p_type || '!' as label from part)
+    select p_partkey, regexp_replace(regexp_replace(label, '[^a-zA-Z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') as slug,
+      case when length(p_name || ' ' || p_type) > 12 then substr(p_name || ' ' || p_type, 1, 11) || '…' else p_name || ' ' || p_type end as shown,
+      p_size >= 10 as is_thread, case p_partkey % 4 when 0 then 'x://a[' || p_size || ']' when 1 then 'x://b' when 2 then 'css:c' else '' end as locator,
+      p_partkey % 3 > 0 as is_success, case p_partkey % 3 when 0 then 'Step executed.' else p_name end as summary, case p_partkey % 3 when 1 then 'global' else 'local' end as failure_scope,
+      case p_partkey % 5 when 4 then null else p_size end as parsed from t""",
+)
+def text_rules(spark, folder):
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    locator = (
+        F.when(key % 4 == 0, F.concat(F.lit(" .//a["), size, F.lit("]/@href"))).when(key % 4 == 1, "x:.//b/text()").when(key % 4 == 2, "css:c@@tag=div")
+        .otherwise("@@attr=x")
+    )
+    verdict = F.when(key % 3 == 0, "Status: STEP_FAIL\nFailureScope: sideways").otherwise(
+        F.concat(F.lit("status : step_success\nSummary: old\n  SUMMARY:  "), "p_name", F.when(key % 3 == 1, "\nFailureScope: GLOBAL").otherwise(""))
+    )
+    body = F.concat(F.lit('{"size": '), size, F.lit("}"))
+    almost = (
+        F.when(key % 5 == 0, body).when(key % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(key % 5 == 2, F.concat(F.lit("Here it is: "), body, F.lit(" as asked")))
+        .when(key % 5 == 3, F.concat(body, F.lit("\n"), body)).otherwise("no record {")
+    )
+    parsed = F.coalesce(F.try_variant_get(lenient_json(almost), "$.size", "int"), F.try_variant_get(lenient_json(almost), "$[0].size", "int"))
+    v = verdict_fields(verdict)
+    return table(spark, folder, "part").select(
+        "p_partkey", slug(F.concat("p_brand", F.lit(" /"), "p_type", F.lit("!"))).alias("slug"), ellipsize(F.concat("p_name", F.lit(" \n "), "p_type"), 12).alias("shown"),
+        is_valid_thread_id(F.concat(size, F.lit(":t"))).alias("is_thread"), sanitize_locator(locator).alias("locator"), v["is_success"].alias("is_success"),
+        v["summary"].alias("summary"), v["failure_scope"].alias("failure_scope"), parsed.alias("parsed"),
+    )

@@ -49,11 +49,12 @@ def merge_nodes(lists: list[DataFrame], key: str = "snapshot_id") -> DataFrame:
         if kind == "string":
             aggregates.append(F.min_by(c, F.when(c.isNotNull() & (c != ""), at)).alias(field.name))
         elif kind == "map":
+            none = F.create_map().cast(field.dataType)
             aggregates.append(
                 F.aggregate(
-                    F.array_sort(F.collect_list(F.struct(at.alias("at"), c.alias("m")))),
-                    F.create_map().cast(field.dataType),
-                    lambda acc, e: F.map_zip_with(acc, e["m"], lambda _, x, y: F.coalesce(x, y)),
+                    F.array_sort(F.collect_list(F.struct(at.alias("at"), F.map_entries(F.coalesce(c, none)).alias("m")))),
+                    none,
+                    lambda acc, e: F.map_zip_with(acc, F.map_from_entries(e["m"]), lambda _, x, y: F.coalesce(x, y)),
                 ).alias(field.name)
             )
         elif kind == "array":

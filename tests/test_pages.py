@@ -342,3 +342,14 @@ def test_lookup_order_of_verify_and_near(spark):
     assert got == {1: [], 2: ["element_expected", "not_clickable"], 3: ["ref_not_found"]}
     anchors = spark.createDataFrame([(1, "s", "e1")], "request_id int, snapshot_id string, ref string")
     assert {r.ref for r in snapshots.near(nodes, anchors).collect()} == {"e1", "r2"}
+
+
+def test_merged_nodes_keep_the_first_value_of_every_field(spark):
+    kind = "snapshot_id string, ref string, ord long, text string, attrs map<string,string>, kids array<string>"
+    first = spark.createDataFrame([("s", "e1", 0, "", {"a": "1", "b": None}, []), ("s", "e2", 1, "two", None, ["x"]), ("s", None, 2, "loose", None, None)], kind)
+    second = spark.createDataFrame([("s", "e1", 5, "one", {"a": "9", "b": "2"}, ["k"]), ("s", "e3", 6, None, {}, None)], kind)
+    got = {r.ref: r for r in snapshots.merge_nodes([first, second]).collect()}
+    assert (got["e1"].text, got["e1"].attrs, got["e1"].kids) == ("one", {"a": "1", "b": "2"}, ["k"])
+    assert (got["e2"].text, got["e2"].attrs, got["e2"].kids) == ("two", {}, ["x"])
+    assert got["e3"].text is None and got[None].text == "loose" and len(got) == 4
+    assert snapshots.merge_nodes([first.limit(0), second.limit(0)]).count() == 0
