@@ -253,6 +253,14 @@ def test_sibling_groups_and_expansion(spark):
     assert snapshots.expand_group(snapshots.sibling_groups(nodes), nodes, 2).count() == 2
 
 
+def test_references_without_semicolon_stay_text(spark, tmp_path):
+    from reapline.catalog.pages import text_index
+
+    page = "<html><body><h1>cut&amp;&amp</h1><p>both &copy; R&D a&amp;amp &quot;x1&#33;</p></body></html>"
+    spark.createDataFrame([(1, page)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.token for r in text_index(spark, str(tmp_path)).collect()} == {"cut&&amp", "both", "r&d", "a&amp", "x1"}
+
+
 def test_find_text_prefers_tokens(spark):
     nodes = full(spark, [{"ref": "e1", "text": "Sign in"}, {"ref": "e2", "text": "Signature"}])
     req = spark.createDataFrame([(1, "s", "sign"), (2, "s", "gnatu")], "request_id int, snapshot_id string, text string")
