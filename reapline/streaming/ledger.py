@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,14 +20,20 @@ LEDGER_OUT = (
     "domain string, t bigint, seq bigint, reason string, allowed boolean, window_started bigint, scheduled bigint, waited_us bigint"
 )
 
+QUARANTINE_OUT = "cache_type string, domain_key string, cache_id string, t bigint, seq bigint, allowed boolean"
+
 
 def use_rocksdb(spark) -> None:
     """Keyed state with many keys needs a store that spills to disk."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
+def columns_of(schema: str) -> list[str]:
+    return [field.split(" ")[0] for field in schema.split(", ")]
+
+
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r.t, r.seq is None, r.seq))
 
 
 class LedgerProcessor(StatefulProcessor):
@@ -40,34 +45,32 @@ class LedgerProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("ledger", "started bigint, used bigint, last_start bigint, cooldown bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        started, used, last, cooldown = self.state.get() if known else (None, 0, None, None)
-        out = []
-        for row in _in_order(rows, ["t", "seq"]).itertuples(index=False):
-            t = int(row.t)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = self.state.get()
+        started, used, last, cooldown = before or (None, 0, None, None)
+        out = Row(*columns_of(LEDGER_OUT))
+        for row in _in_order(rows):
+            t = row.t
             if row.kind == "response":
-                if not pd.isna(row.cooldown_us):
+                if row.cooldown_us is not None:
                     started = t if started is None else started
-                    until = t + int(row.cooldown_us)
+                    until = t + row.cooldown_us
                     cooldown = until if cooldown is None else max(cooldown, until)
                 continue
             if cooldown is not None and t < cooldown:
-                out.append((key[0], t, row.seq, "domain_cooldown", False, None, None, 0))
+                yield out(key[0], t, row.seq, "domain_cooldown", False, None, None, 0)
                 continue
             if started is None or t - started >= self.window_us:
                 started, used = t, 0
             if 0 < self.max_requests <= used:
-                out.append((key[0], t, row.seq, "domain_request_budget_exhausted", False, started, None, 0))
+                yield out(key[0], t, row.seq, "domain_request_budget_exhausted", False, started, None, 0)
                 continue
-            start = t if last is None else max(t, last + int(row.interval_us))
-            out.append((key[0], t, row.seq, "allowed", True, started, start, start - t))
+            start = t if last is None else max(t, last + row.interval_us)
+            yield out(key[0], t, row.seq, "allowed", True, started, start, start - t)
             used, last = used + 1, start
-        if started is not None:
-            self.state.update((started, used, last, cooldown))
-        names = ["domain", "t", "seq", "reason", "allowed", "window_started", "scheduled", "waited_us"]
-        result = pd.DataFrame(out, columns=names)
-        yield result.astype({"window_started": "Int64", "scheduled": "Int64"})
+        after = (started, used, last, cooldown)
+        if started is not None and after != before:
+            self.state.update(after)
 
     def close(self) -> None:
         pass
@@ -80,7 +83,7 @@ def stream_access_ledger(events: DataFrame, max_requests: int = 240, window_seco
     responses travel in the same stream, so one state serves requests and cooldowns.
     """
     slim = events.select(F.col("domain").cast("string").alias("domain"), "t", "seq", "kind", "interval_us", "cooldown_us")
-    return slim.groupBy("domain").transformWithStateInPandas(
+    return slim.groupBy("domain").transformWithState(
         statefulProcessor=LedgerProcessor(max_requests, max(1, window_seconds) * SECOND), outputStructType=LEDGER_OUT,
         outputMode="Append", timeMode="None",
     )
@@ -96,25 +99,23 @@ class QuarantineProcessor(StatefulProcessor):
         self.handle = handle
         self.expiry = handle.getValueState("expiry", "at bigint")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = until = self.expiry.get()[0] if self.expiry.exists() else None
-        out = []
-        for row in _in_order(rows, ["t", "seq"]).itertuples(index=False):
-            t = int(row.t)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before = until = (self.expiry.get() or (None,))[0]
+        out = Row(*columns_of(QUARANTINE_OUT))
+        for row in _in_order(rows):
             if row.kind == "failure":
-                until = max(until or 0, t + self.ttl_us)
+                until = max(until or 0, row.t + self.ttl_us)
                 continue
-            out.append((*key, t, row.seq, until is None or t >= until))
+            yield out(*key, row.t, row.seq, until is None or row.t >= until)
         if until != before:
             if before is not None:
                 self.handle.deleteTimer(_millis(before))
             self.expiry.update((until,))
             self.handle.registerTimer(_millis(until))
-        yield pd.DataFrame(out, columns=["cache_type", "domain_key", "cache_id", "t", "seq", "allowed"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.expiry.clear()
-        yield pd.DataFrame([], columns=["cache_type", "domain_key", "cache_id", "t", "seq", "allowed"])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -136,9 +137,8 @@ def stream_quarantine(events: DataFrame, ttl_seconds: int, watermark: str = "1 h
     1970), seq, kind (failure or hit).  Rows may come late by ``watermark``; what is known of an entry goes
     when the watermark passes its last expiry, also if nothing more is heard of it.
     """
-    out = "cache_type string, domain_key string, cache_id string, t bigint, seq bigint, allowed boolean"
     timed = events.select("cache_type", "domain_key", "cache_id", "t", "seq", "kind", F.timestamp_micros(F.col("t") + AHEAD).alias("at"))
-    return timed.withWatermark("at", watermark).groupBy("cache_type", "domain_key", "cache_id").transformWithStateInPandas(
-        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND), outputStructType=out, outputMode="Append",
+    return timed.withWatermark("at", watermark).groupBy("cache_type", "domain_key", "cache_id").transformWithState(
+        statefulProcessor=QuarantineProcessor(max(60, ttl_seconds) * SECOND), outputStructType=QUARANTINE_OUT, outputMode="Append",
         timeMode="EventTime",
     )

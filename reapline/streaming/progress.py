@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from reapline.streaming.ledger import columns_of
+
 STATE_VERSION = 4
 
 PROGRESS_OUT = (
@@ -34,43 +36,61 @@ class ProgressProcessor(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page int", "seen boolean")
         self.totals = handle.getValueState("totals", "items bigint, pages int, stagnant int, round int, met boolean")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        items, pages, stagnant, scroll, met = self.totals.get() if self.totals.exists() else (0, 0, 0, 0, False)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["seq", "pos"], ignore_index=True)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        before_batch = self.totals.get()
+        items, pages, stagnant, scroll, met = before_batch or (0, 0, 0, 0, False)
+        known: dict[str, dict] = {}  # records of this batch: each is read once, and written once if it changed
+        texts: dict[str, str] = {}
+        stored: dict[str, str] = {}
+        seen: set[int] = set()  # pages of this batch
         last = None
-        for seq, step in batch.groupby("seq", sort=True):
-            first = step.iloc[0]
-            before = items
-            for row in step.itertuples(index=False):
+        batch = sorted((r for r in rows if r.seq is not None), key=lambda r: (r.seq, r.pos is None, r.pos))
+        for seq, step in groupby(batch, key=lambda r: r.seq):
+            first, before = None, items
+            for row in step:
+                first = first or row
                 if not row.identity:
                     continue
                 record = json.loads(row.record) if row.record else {}
-                if self.records.containsKey((row.identity,)):
-                    merged = json.loads(self.records.getValue((row.identity,))[0])
-                    merged.update({k: v for k, v in record.items() if _present(v)})
+                if row.identity not in known:
+                    text = self.records.getValue((row.identity,))
+                    if text is not None:
+                        stored[row.identity] = text[0]
+                        known[row.identity] = json.loads(text[0])
+                merged = known.get(row.identity)
+                if merged is None:
+                    known[row.identity], items = record, items + 1
+                    texts[row.identity] = json.dumps(record, ensure_ascii=False)
                 else:
-                    merged, items = record, items + 1
-                text = json.dumps(merged, ensure_ascii=False)
-                self.records.updateValue((row.identity,), (text,))
-                if row.until_text and row.until_text.strip().lower() in text.lower():
+                    merged.update({k: v for k, v in record.items() if _present(v)})
+                    texts[row.identity] = json.dumps(merged, ensure_ascii=False)
+                if row.until_text and row.until_text.strip().lower() in texts[row.identity].lower():
                     met = True
             if first.kind == "filter":
                 self.pages.clear()
+                seen.clear()
                 pages = 0
             elif first.kind == "collect":
                 page = max(1, int(first.page_number))
-                if not self.pages.containsKey((page,)):
-                    self.pages.updateValue((page,), (True,))
-                    pages += 1
+                if page not in seen:
+                    seen.add(page)
+                    if not self.pages.containsKey((page,)):
+                        self.pages.updateValue((page,), (True,))
+                        pages += 1
             elif first.kind == "scroll":
                 scroll = max(scroll, int(first.page_number))
                 stagnant = stagnant + 1 if before > 0 and items <= before else 0
             enough = items >= int(first.min_items) and pages >= max(1, int(first.target_pages))
             done = (enough or met) and scroll >= int(first.scroll_rounds)
             last = (key[0], seq, items, pages, stagnant, scroll, met, done, STATE_VERSION)
-        self.totals.update((items, pages, stagnant, scroll, met))
-        names = [f.split(" ")[0] for f in PROGRESS_OUT.split(", ")]
-        yield pd.DataFrame([last] if last else [], columns=names)
+        for identity, text in texts.items():
+            if stored.get(identity) != text:
+                self.records.updateValue((identity,), (text,))
+        after = (items, pages, stagnant, scroll, met)
+        if after != before_batch:
+            self.totals.update(after)
+        if last:
+            yield Row(*columns_of(PROGRESS_OUT))(*last)
 
     def close(self) -> None:
         pass
@@ -82,7 +102,7 @@ def stream_progress(events: DataFrame) -> DataFrame:
     ``events``: thread_id, seq, pos, kind (collect, scroll, filter), page_number, identity,
     record (JSON), min_items, target_pages, scroll_rounds, until_text.
     """
-    return events.groupBy("thread_id").transformWithStateInPandas(
+    return events.groupBy("thread_id").transformWithState(
         statefulProcessor=ProgressProcessor(), outputStructType=PROGRESS_OUT, outputMode="Update", timeMode="None"
     )
 

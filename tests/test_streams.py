@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from reapline.operators import access
@@ -132,3 +133,59 @@ def test_batch_sinks_can_repeat(spark, tmp_path):
     ingest(docs, 0)
     ingest(docs, 0)
     assert spark.read.parquet(str(tmp_path / "kb")).count() == 1
+
+
+class _Counted:
+    """Stands in for value and map state, and counts what is asked and written."""
+
+    def __init__(self):
+        self.held, self.reads, self.writes = {}, 0, 0
+
+    def _read(self, key):
+        self.reads += 1
+        return self.held.get(key)
+
+    def _write(self, key, value):
+        self.writes += 1
+        self.held[key] = value
+
+    def get(self):
+        return self._read("value")
+
+    def update(self, value):
+        self._write("value", value)
+
+    getValue, updateValue = _read, _write
+
+    def containsKey(self, key):
+        return self._read(key) is not None
+
+    def clear(self):
+        self.held = {}
+
+
+class _Handle:
+    def getMapState(self, *_):
+        return _Counted()
+
+    getValueState = getMapState
+
+
+def test_progress_reads_and_writes_a_record_once_a_batch():
+    names = Row(*[f.split(" ")[0] for f in STEPS.split(", ")])
+    steps = [names("t", i, 0, "collect", i % 4, str(i % 3), json.dumps({"title": i % 3}), 3, 2, 0, "") for i in range(300)]
+    p = progress.ProgressProcessor()
+    p.init(_Handle())
+    (first,) = p.handleInputRows(("t",), iter(steps), None)
+    assert (first.seq, first.item_count, first.completed_pages, p.records.reads, p.records.writes) == (299, 3, 3, 3, 3)
+    (again,) = p.handleInputRows(("t",), iter(steps), None)
+    assert (again.item_count, p.records.reads, p.records.writes, p.totals.writes) == (3, 6, 3, 1)
+
+
+def test_unchanged_ledger_is_not_written():
+    names = Row("domain", "t", "seq", "kind", "interval_us", "cooldown_us")
+    p = ledger.LedgerProcessor(1, 10**9)
+    p.init(_Handle())
+    assert [r.reason for r in p.handleInputRows(("d",), iter([names("d", 5, 2, "request", 0, None), names("d", 1, 1, "request", 0, None)]), None)] == ["allowed", "domain_request_budget_exhausted"]
+    assert [r.seq for r in p.handleInputRows(("d",), iter([names("d", 7, 3, "request", 0, None)]), None)] == [3]
+    assert (p.state.reads, p.state.writes) == (2, 1)
