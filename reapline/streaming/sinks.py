@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from reapline.operators.documents import build_docs, doc_metadata, percent_consistency
 from reapline.session import CHECKPOINT_KEY
@@ -46,9 +46,44 @@ def ingest_sink(path: str, source: Column, crawled_at: Column) -> Callable[[Data
     return folder_sink(path, prepare)
 
 
+class FirstCopyProcessor(StatefulProcessor):
+    """Earliest row of one id; a timer ends the state when the watermark may let no copy of it pass."""
+
+    def __init__(self, event_time: str, keep_ms: int):
+        self.event_time, self.keep_ms = event_time, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "at bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        time = self.event_time
+        first = min(rows, key=lambda r: (r[time] is None, r[time]))
+        if self.until.get() is None:
+            if first[time] is not None:
+                until = int(first[time].timestamp() * 1000) + 1 + self.keep_ms
+                self.until.update((until,))
+                self.handle.registerTimer(until)
+            yield first
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.until.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def dedup_actions(actions: DataFrame, event_time: str, watermark: str) -> DataFrame:
-    """First copy of every request id inside the watermark: replays have no effect."""
-    return actions.withWatermark(event_time, watermark).dropDuplicatesWithinWatermark(["request_id"])
+    """First copy of every request id inside the watermark: replays have no effect.
+
+    Of the copies that arrive in one micro-batch the earliest counts, however they lie in it.
+    """
+    keep = actions.sparkSession.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + interval '{watermark}')")).first()[0]
+    timed = actions.withWatermark(event_time, watermark)
+    return timed.groupBy("request_id").transformWithState(
+        statefulProcessor=FirstCopyProcessor(event_time, keep), outputStructType=actions.schema, outputMode="Append", timeMode="EventTime"
+    )
 
 
 def stream_folder(spark: SparkSession) -> str:

@@ -189,3 +189,9 @@ def test_unchanged_ledger_is_not_written():
     assert [r.reason for r in p.handleInputRows(("d",), iter([names("d", 5, 2, "request", 0, None), names("d", 1, 1, "request", 0, None)]), None)] == ["allowed", "domain_request_budget_exhausted"]
     assert [r.seq for r in p.handleInputRows(("d",), iter([names("d", 7, 3, "request", 0, None)]), None)] == [3]
     assert (p.state.reads, p.state.writes) == (2, 1)
+
+
+def test_first_copy_of_a_batch_is_the_earliest(spark, tmp_path):
+    df = spark.sql("select concat('k', id % 5) as request_id, id as seq, timestamp_seconds(100000 - id) as ts from range(1000)")
+    first = {r.request_id: r.seq for r in sinks.drain(sinks.dedup_actions(stream_of(spark, df, str(tmp_path / "in"), 1), "ts", "1 hour")).collect()}
+    assert first == {f"k{i}": 995 + i for i in range(5)}
