@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from reapline.functions.text import compact_dom, dom_hash, normalize_locator, parse_ts, word_set
 from reapline.functions.url import domain_key, let, stripped, url_pattern
@@ -21,6 +22,7 @@ DOM_TASK_MIN, DOM_SCORE_MIN = 0.80, 0.90
 SITE_ENTRIES = 2000  # entries of a site that meet its requests in one task, about
 DOM_STAGE3 = (0.65, 0.35)
 DUPLICATE = 0.95
+KINDS = 16  # kinds of descriptors for which elements are cut to their fields
 MIN_CODE, MAX_NAVIGATION_CODE = 50, 200
 
 
@@ -250,12 +252,55 @@ def rebind_targets(stored: DataFrame, current: DataFrame) -> DataFrame:
     fitting element at the same place.  An element fits if it holds every filled entry of
     the descriptor; a descriptor without any fits nothing, a null one fits its own ref.
 
-    A containment join: each distinct descriptor looks up the elements that hold its
+    Descriptors that fill the same fields are of one kind.  For the common kinds an element
+    is cut down to those fields, and what is equal then fits: one exchange, requests and
+    elements side by side.  Descriptors of other kinds look up their rarest entry.
+    """
+    fields = F.array_sort(F.map_keys(_filled("descriptor")))
+    kinds = [r[0] for r in stored.where(F.size(fields) > 0).groupBy(fields.alias("k")).count().orderBy(F.desc("count"), "k").limit(KINDS + 1).select("k").collect()]
+    if not kinds:
+        return _by_rarest_entry(stored, current)
+    common = F.coalesce(fields.isin([F.array(*map(F.lit, k)) for k in kinds[:KINDS]]), F.lit(False))
+    found = _by_kind(stored.where(common), current, kinds[:KINDS])
+    return found if len(kinds) <= KINDS and not _any_unfilled(stored) else found.unionByName(_by_rarest_entry(stored.where(~common), current))
+
+
+def _filled(column: str) -> Column:
+    return F.map_filter(column, lambda _, v: F.coalesce(v != "", F.lit(False)))
+
+
+def _any_unfilled(stored: DataFrame) -> bool:
+    return bool(stored.where(F.coalesce(F.size(_filled("descriptor")) <= 0, F.lit(True))).take(1))
+
+
+def _by_kind(stored: DataFrame, current: DataFrame, kinds: list[list[str]]) -> DataFrame:
+    """Requests whose descriptors fill one of the given lists of fields."""
+    page, group = ["snapshot_id", "capability", "ordinal", "control_ordinal"], ["snapshot_id", "capability", "_d"]
+    values = lambda k: F.to_json(F.array(*[F.concat(F.lit(name), F.lit("="), F.col("descriptor")[name]) for name in k]))
+    whole = lambda k: F.when(F.array_contains(F.array(*[F.coalesce(F.col("descriptor")[n] != "", F.lit(False)) for n in k]), False), None).otherwise(values(k))
+    fields = F.array_sort(F.map_keys(_filled("descriptor")))
+    own = F.coalesce(*[F.when(fields == F.array(*map(F.lit, k)), values(k)) for k in kinds])
+    asked = stored.withColumns({"_d": own, "_element": F.lit(False)})
+    cuts = F.array_compact(F.array(*map(whole, kinds)))
+    held = current.where("snapshot_id is not null").select(*page, "ref", F.explode(cuts).alias("_d"), F.lit(True).alias("_element"))
+    both = asked.unionByName(held, allowMissingColumns=True).repartition(*group)
+    element = F.col("_element")
+    each, place, name = Window.partitionBy(*group), Window.partitionBy(*group, "ordinal", "control_ordinal"), Window.partitionBy(*group, "ref")
+    here = F.when(element, F.col("ref"))
+    df = both.withColumns({"_n": F.count_if(element).over(each), "_only": F.min(here).over(each)})
+    df = df.withColumns({"_pn": F.count_if(element).over(place), "_placed": F.min(here).over(place)})
+    df = df.withColumn("_same", F.max(element).over(name)).where(~element)
+    how = F.when(F.col("_same") & F.col("ref").isNotNull(), "same").when(F.col("_n") == 1, "descriptor").when(F.col("_pn") == 1, "position")
+    rebound = F.when(how == "same", F.col("ref")).when(how == "descriptor", F.col("_only")).when(how == "position", F.col("_placed"))
+    return df.select(*stored.columns, rebound.alias("rebound_ref"), how.alias("rebound_by"))
+
+
+def _by_rarest_entry(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """A containment join: each distinct descriptor looks up the elements that hold its
     rarest entry on that page, and only those are compared whole.
     """
     key = ["snapshot_id", "capability"]
-    filled = F.map_filter("descriptor", lambda _, v: F.coalesce(v != "", F.lit(False)))
-    asked = stored.withColumn("_d", F.array_sort(F.map_entries(filled)))
+    asked = stored.withColumn("_d", F.array_sort(F.map_entries(_filled("descriptor"))))
     now = current.select(
         F.col("snapshot_id").alias("_s"), F.col("capability").alias("_c"), F.col("ref").alias("_ref"), F.col("descriptor").alias("_now"),
         F.col("ordinal").alias("_o"), F.col("control_ordinal").alias("_co"),

@@ -117,6 +117,19 @@ def test_rebind_targets_against_every_pair(spark):
     assert caches.rebind_targets(stored, spark.createDataFrame([], kind)).where("rebound_ref is not null").count() == 0
 
 
+def test_rebind_targets_by_kind_takes_one_exchange(spark, monkeypatch):
+    kind = "snapshot_id string, ref string, capability string, descriptor map<string,string>, ordinal int, control_ordinal int"
+    now = [("s", f"e{i}", "x", {"name": "ab"[i % 2], "role": str(i // 2), "tag": "t"}, i % 3, None) for i in range(12)]
+    asked = [(i, "s", f"e{i % 5}", "x", {k: v for k, v in (("name", "ab"[i % 2]), ("role", str(i // 4)), ("tag", "t")) if i % 7 != len(k)}, 1, None) for i in range(40)]
+    stored, current = spark.createDataFrame(asked, "request_id int, " + kind), spark.createDataFrame(now, kind)
+    common = caches.rebind_targets(stored, current)
+    assert common._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    monkeypatch.setattr(caches, "KINDS", 1)  # the others by their rarest entry
+    few = caches.rebind_targets(stored, current)
+    rows = lambda df: sorted((r.request_id, r.rebound_ref or "", r.rebound_by or "") for r in df.collect())
+    assert rows(common) == rows(few) and len({r[2] for r in rows(few)}) > 2
+
+
 def test_near_duplicates_compare_with_earlier_entries(spark):
     new = spark.createDataFrame([(1, "d", [1.0, 0.0]), (2, "d", [1.0, 0.01]), (3, "d", [0.0, 1.0]), (4, "x", [1.0, 0.0])], "entry_id int, domain_key string, v array<double>")
     cache = spark.createDataFrame([("c", "d", [0.0, 2.0])], "cache_id string, domain_key string, v array<double>")
