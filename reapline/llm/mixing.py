@@ -189,7 +189,8 @@ def _mixed(
         .groupBy("_name").agg(F.max(F.struct("_order", "_id")).alias("_last"))
     )
     limits = F.broadcast(split.join(crossing, F.col("_b_name").eqNullSafe(F.col("_name"))).select(F.col("_b_name").alias("_s_name"), F.col("_b_block").alias("_s_block"), "_last"))
-    whole = blocks.where("_whole").select(F.col("_b_name").alias("_w_name"), F.col("_b_block").alias("_w_block"))
+    # blocks are few (a source has a row per BLOCK_TOKENS words, BLOCKS at most), texts are not: send the blocks
+    whole = F.broadcast(blocks.where("_whole").select(F.col("_b_name").alias("_w_name"), F.col("_b_block").alias("_w_block")))
     out = (
         dealt.join(whole, F.col("_name").eqNullSafe(F.col("_w_name")) & (F.col("_block") == F.col("_w_block")), "left")
         .join(limits, F.col("_name").eqNullSafe(F.col("_s_name")) & (F.col("_block") == F.col("_s_block")), "left")

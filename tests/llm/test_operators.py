@@ -407,6 +407,18 @@ def test_sequences_of_awkward_rows(spark):
     assert mixing.permuted(df.limit(0)).count() == 0
 
 
+def test_mixing_leaves_texts_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 8)
+    docs = docs_of(spark, [(i, "w " * (i % 5)) for i in range(60)], "a").unionByName(docs_of(spark, [(i, "v") for i in range(60, 70)], "b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = mixing.mix(docs, max_repeats=1.5)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 def test_mixing_with_columns_of_any_name(spark):
     """Columns named like the operator's own pass through; null, empty and repeated rows keep their copies."""
     rows = [(i, words(30, i), "big") for i in range(12)] + [(50, words(5, 3), "small"), (50, words(5, 3), "small"), (51, None, None), (52, "", None)]
