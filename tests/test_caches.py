@@ -124,9 +124,11 @@ def test_rebind_targets_by_kind_takes_one_exchange(spark, monkeypatch):
     stored, current = spark.createDataFrame(asked, "request_id int, " + kind), spark.createDataFrame(now, kind)
     common = caches.rebind_targets(stored, current)
     assert common._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    rows = lambda df: sorted((r.request_id, r.rebound_ref or "", r.rebound_by or "") for r in df.collect())
+    odd = spark.createDataFrame([(1, "s", "g", "x", {"a": "=b"}, 1, None), (2, "s", "g", "x", {"a=": "b"}, 1, None)], "request_id int, " + kind)
+    assert rows(caches.rebind_targets(odd, spark.createDataFrame([("s", "f", "x", {"a": "=b"}, 1, None)], kind))) == [(1, "f", "descriptor"), (2, "", "")]
     monkeypatch.setattr(caches, "KINDS", 1)  # the others by their rarest entry
     few = caches.rebind_targets(stored, current)
-    rows = lambda df: sorted((r.request_id, r.rebound_ref or "", r.rebound_by or "") for r in df.collect())
     assert rows(common) == rows(few) and len({r[2] for r in rows(few)}) > 2
 
 
