@@ -276,7 +276,7 @@ def _any_unfilled(stored: DataFrame) -> bool:
 def _by_kind(stored: DataFrame, current: DataFrame, kinds: list[list[str]]) -> DataFrame:
     """Requests whose descriptors fill one of the given lists of fields."""
     page, group = ["snapshot_id", "capability", "ordinal", "control_ordinal"], ["snapshot_id", "capability", "_d"]
-    values = lambda k: F.to_json(F.array(*[c for name in k for c in (F.lit(name), F.col("descriptor")[name])]))
+    values = lambda k: F.to_json(F.array(*[F.concat(F.lit(f"{len(name)}:{name}="), F.col("descriptor")[name]) for name in k]))
     whole = lambda k: F.when(F.array_contains(F.array(*[F.coalesce(F.col("descriptor")[n] != "", F.lit(False)) for n in k]), False), None).otherwise(values(k))
     fields = F.array_sort(F.map_keys(_filled("descriptor")))
     own = F.coalesce(*[F.when(fields == F.array(*map(F.lit, k)), values(k)) for k in kinds])
