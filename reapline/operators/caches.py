@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,14 @@ from reapline.functions.text import compact_dom, dom_hash, normalize_locator, pa
 from reapline.functions.url import domain_key, let, stripped, url_pattern
 from reapline.operators.documents import not_expired
 from reapline.operators.retrieval import dense_topk, similarity_of, weighted_vector
-from reapline.plans.blocks import overlapping_sets
+from reapline.plans.blocks import near_rows, overlapping_sets
 from reapline.plans.ranking import top_k
 from reapline.session import durable
 
 # Thresholds, weights and limits of the two staged lookups.
 CODE_TASK_MIN, CODE_GOAL_MIN = 0.80, 0.88
 DOM_TASK_MIN, DOM_SCORE_MIN = 0.80, 0.90
-SITE_ENTRIES = 2000  # entries of a site that meet its requests in one task, about
+SITE_ROWS = 8192  # entries and requests of a site that meet in one group, about
 DOM_STAGE3 = (0.65, 0.35)
 DUPLICATE = 0.95
 KINDS = 16  # kinds of descriptors for which elements are cut to their fields
@@ -77,18 +77,15 @@ def drop_quarantined(hits: DataFrame, blacklist: DataFrame, now: Column) -> Data
     return hits.join(active, ["cache_type", "domain_key", "cache_id"], "left_anti")
 
 
-def _of_site(requests: DataFrame, cache: DataFrame, names: Sequence[str], wanted: Column) -> DataFrame:
-    """Entries of a request's site for which ``wanted`` holds; columns ``_q_name`` and ``_c_name`` are the vectors.
-
-    The condition is part of the join, so entries below a threshold are never rows.  The
-    entries of a large site are dealt to several keys and its requests go to each of them.
-    """
-    salts = cache.groupBy("domain_key").agg(F.ceil(F.count(F.lit(1)) / SITE_ENTRIES).cast("int").alias("_salts"))
-    stored = cache.select("cache_id", "domain_key", *[F.col(n).alias(f"_c_{n}") for n in names]).join(salts, "domain_key")
-    stored = stored.withColumn("_salt", F.pmod(F.xxhash64("cache_id"), "_salts").cast("int")).drop("_salts").withColumnRenamed("domain_key", "_site")
-    asked = requests.select("request_id", "domain_key", *[F.col(n).alias(f"_q_{n}") for n in names]).join(salts, "domain_key")
-    asked = asked.withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
-    return asked.join(stored, (F.col("domain_key") == F.col("_site")) & (F.col("_to") == F.col("_salt")) & wanted)
+def _near_of_site(
+    requests: DataFrame, cache: DataFrame, names: Sequence[str], near_min: float, score_of: Callable, score_min: float, k: int, kind: str
+) -> DataFrame:
+    """The k best entries of a request's site; a vector that is missing is near nothing, and no score reaches its limit without it."""
+    asked = requests.select(F.col("request_id").alias("_id"), F.col("domain_key").alias("part"), *names)
+    stored = cache.select(F.col("cache_id").alias("_id"), F.col("domain_key").alias("part"), *names)
+    found = near_rows(asked, stored, names, near_min, score_of, score_min, k, SITE_ROWS)
+    df = found.select("request_id", "cache_id", F.col("part").alias("domain_key"), F.lit(kind).alias("cache_type"), F.col("near").alias("task_similarity"), "score")
+    return top_k(df, ["request_id"], [F.desc("score"), "cache_id"], k)
 
 
 def _usable(cache: DataFrame, kind: str, blacklist: DataFrame | None, now: Column | None) -> DataFrame:
@@ -105,11 +102,8 @@ def staged_code_lookup(
 
     Vector columns on both sides: task_vector, goal_vector; plus domain_key.
     """
-    sim = lambda n: F.round(similarity_of(f"_q_{n}", f"_c_{n}"), 6)
-    wanted = (sim("task_vector") >= CODE_TASK_MIN) & (sim("goal_vector") >= CODE_GOAL_MIN)
-    df = _of_site(requests, _usable(cache, "codecache", blacklist, now), ("task_vector", "goal_vector"), wanted)
-    df = df.select("request_id", "cache_id", "domain_key", F.lit("codecache").alias("cache_type"), sim("task_vector").alias("task_similarity"), sim("goal_vector").alias("score"))
-    return top_k(df, ["request_id"], [F.desc("score"), "cache_id"], k)
+    usable = _usable(cache, "codecache", blacklist, now)
+    return _near_of_site(requests, usable, ("task_vector", "goal_vector"), CODE_TASK_MIN, lambda _, goal: goal, CODE_GOAL_MIN, k, "codecache")
 
 
 def staged_dom_lookup(
@@ -119,13 +113,9 @@ def staged_dom_lookup(
 
     Vector columns on both sides: task_vector, dom_vector, step_vector; plus domain_key.
     """
-    part = lambda n: similarity_of(f"_q_{n}", f"_c_{n}")
-    near = F.round(part("task_vector"), 6)
-    score = F.round(part("dom_vector") * DOM_STAGE3[0] + part("step_vector") * DOM_STAGE3[1], 6)
     usable = _usable(not_expired(cache, now), "domcache", blacklist, now)
-    df = _of_site(requests, usable, ("task_vector", "dom_vector", "step_vector"), (near >= DOM_TASK_MIN) & (score >= DOM_SCORE_MIN))
-    df = df.select("request_id", "cache_id", "domain_key", F.lit("domcache").alias("cache_type"), near.alias("task_similarity"), score.alias("score"))
-    return top_k(df, ["request_id"], [F.desc("score"), "cache_id"], k)
+    score = lambda _, dom, step: dom * DOM_STAGE3[0] + step * DOM_STAGE3[1]
+    return _near_of_site(requests, usable, ("task_vector", "dom_vector", "step_vector"), DOM_TASK_MIN, score, DOM_SCORE_MIN, k, "domcache")
 
 
 def admit(

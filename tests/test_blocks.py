@@ -48,3 +48,40 @@ def test_word_overlaps_in_small_blocks(spark):
     got = caches.jaccard_lookup(asked, cache, 5, block_rows=8).collect()
     assert sorted((r.request_id, r.cache_id, r.score, r["rank"]) for r in got) == sorted(expected)
     assert caches.jaccard_lookup(asked, cache.where(F.lit(False))).count() == 0
+
+
+def test_staged_lookups_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(caches, "SITE_ROWS", 16, raising=False)
+    rng = np.random.default_rng(8)
+    names = ("task_vector", "goal_vector", "dom_vector", "step_vector")
+    vector = lambda: rng.integers(0, 4, 3).astype(float).tolist()
+    rows = [(i, f"s{i % 2}", *[vector() for _ in names]) for i in range(150)]
+    odd = [(900, "s0", None, *rows[0][3:]), (901, "s0", [0.0, 0.0, 0.0], *rows[0][3:]), (902, "s0", [1.0, None, 1.0], *rows[0][3:]), (903, "s1", [1.0, 1.0], *rows[0][3:]), (904, None, *rows[0][2:])]
+    df = spark.createDataFrame(rows + odd, "cache_id long, domain_key string, " + ", ".join(f"{n} array<double>" for n in names)).withColumn("expire_at", F.lit("2030-01-01"))
+    asked = df.where("cache_id % 5 = 0 or cache_id > 800").withColumnRenamed("cache_id", "request_id")
+
+    def cosine(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / size) if size > 0 else 0.0
+
+    def expected(score_of, least, best=3):
+        out = []
+        usual = rows + [odd[-2]]
+        for q in [r for r in usual if r[0] % 5 == 0 or r[0] > 800]:
+            scored = []
+            for c in usual:
+                if q[1] == c[1] and len(q[2]) == len(c[2]):
+                    task, goal, dom, step = (cosine(a, b) for a, b in zip(q[2:], c[2:]))
+                    score = round(score_of(goal, dom, step), 6)
+                    if round(task, 6) >= 0.8 and score >= least:
+                        scored.append((-score, c[0], round(task, 6)))
+            out += [(q[0], c, t, -s, r) for r, (s, c, t) in enumerate(sorted(scored)[:best], 1)]
+        return sorted(out)
+
+    found = lambda hits: sorted((r.request_id, r.cache_id, r.task_similarity, r.score, r["rank"]) for r in hits.collect())
+    code, dom = caches.staged_code_lookup(asked, df), caches.staged_dom_lookup(asked, df, F.lit("2024-01-01").cast("timestamp"))
+    assert found(code) == expected(lambda goal, dom, step: goal, 0.88)
+    assert found(dom) == expected(lambda goal, dom, step: dom * 0.65 + step * 0.35, 0.9)
+    for hits in (code, dom):
+        plan = hits._jdf.queryExecution().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
