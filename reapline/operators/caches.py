@@ -40,14 +40,14 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, block_rows: int = 32_768) -> DataFrame:
     """Reusable entries of the same site that share most words with a request.
 
     ``requests``: request_id, domain_key, words.  ``cache``: cache_id, domain_key, words,
     is_success, failure_count.  Without a site, a request meets the entries of all sites and an entry the
     requests of all.  Entries lie in blocks with inverted word lists; a request first
-    searches the block whose set sizes promise most, then those that can reach its k-th score, there
-    only by its rarest words (``plans.blocks``).  No pairs are shuffled, and a hot site is
+    searches the block whose set sizes promise most, then those that can reach its k-th score
+    (``plans.blocks``).  No pairs are shuffled, and a hot site is
     spread over its blocks.
     """
     usable = cache.where(F.coalesce("is_success", F.lit(True)) & (F.coalesce("failure_count", F.lit(0)) < 2))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reapline.operators import caches, retrieval
+from reapline.plans import blocks
 
 
 def test_vectors_in_small_blocks(spark):
@@ -85,3 +86,23 @@ def test_staged_lookups_in_small_cells(spark, monkeypatch):
     for hits in (code, dom):
         plan = hits._jdf.queryExecution().toString()
         assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_word_blocks_are_bounded_by_words(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_WORDS", (40, 40), raising=False)
+    monkeypatch.setattr(blocks, "SLICE", 7, raising=False)
+    rng = random.Random(9)
+    rows = [(i, rng.sample(range(90), rng.choice([3, 20, 60]))) for i in range(90)] + [(i, rows_of) for i in range(90, 97) for rows_of in [list(range(12))]]
+    df = spark.createDataFrame(rows, "id long, words array<int>").select("id", F.lit("a").alias("part"), F.transform("words", lambda w: w.cast("string")).alias("words"))
+    asked = df.where("id % 4 = 0").select(F.col("id").alias("_row"), "part", "words")
+    seen = []
+    whole = blocks.best_first
+    monkeypatch.setattr(blocks, "best_first", lambda stored, *rest: seen.append(stored) or whole(stored, *rest))
+    got = blocks.overlapping_sets(df, asked, 3, "id", 32).collect()
+    expected = []
+    for q, w in rows:
+        scored = [(-np.floor(len(set(w) & set(v)) / len(set(w) | set(v)) * 1e6 + 0.5) / 1e6, i) for i, v in rows if set(w) & set(v)]
+        expected += [(q, i, -s, r) for r, (s, i) in enumerate(sorted(scored)[:3], 1) if q % 4 == 0]
+    assert sorted((r._row, r.id, r.score, r["rank"]) for r in got) == sorted(expected)
+    for r in seen[0].select("ids", F.length("owners").alias("bytes")).collect():
+        assert len(r.ids) == 1 or r.bytes <= 40 * 4
