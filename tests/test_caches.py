@@ -218,3 +218,16 @@ def test_near_entries_with_another_goal_hide_nothing(spark):
     cache = spark.createDataFrame([(i, "a", same, other if i < 40 else same) for i in range(41)], "cache_id long, domain_key string, task_vector array<double>, goal_vector array<double>")
     asked = spark.createDataFrame([(1, "a", same, same)], "request_id long, domain_key string, task_vector array<double>, goal_vector array<double>")
     assert [r.cache_id for r in caches.staged_code_lookup(asked, cache).collect()] == [40]
+
+
+def test_keyword_search_tasks_are_bounded_by_documents(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_DOCS", 3, raising=False)
+    docs = spark.createDataFrame([(i, f"red fox {'blue ' * (i % 4)}hen{i % 5}") for i in range(60)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "blue hen3"), (2, "nothing")], "query_id long, text string")
+    hits = retrieval.bm25(docs, asked, 4)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_doc" in plan and ", 20), REPARTITION_BY_NUM" in plan
+    rows = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    found = rows(hits)
+    monkeypatch.setattr(retrieval, "TASK_DOCS", 10_000, raising=False)
+    assert len(found) == 4 and found == rows(retrieval.bm25(docs, asked, 4))
