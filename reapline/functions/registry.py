@@ -1,7 +1,7 @@
 """Functions for SQL text: temporary SQL functions and table functions.
 
-Spark joins no pure Arrow table function laterally, so these take a page a call and
-exchange their rows with the JVM in Arrow batches.
+Spark joins no pure Arrow table function laterally, so these take a page a call.  An Arrow
+exchange makes a batch of every page, which costs more than the pages of ``json_ld``; it sends pickled rows.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def ld_objects(html: str | None) -> Iterator[tuple[int, str, str]]:
                 yield number, place, json.dumps(v, ensure_ascii=False, sort_keys=True)
 
 
-@udtf(returnType="block_no int, place string, json string", useArrow=True)
+@udtf(returnType="block_no int, place string, json string", useArrow=False)
 class JsonLd:
     """Linked-data objects of a page for ``LATERAL json_ld(html)``; broken blocks and null pages have none."""
 

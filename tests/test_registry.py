@@ -32,3 +32,11 @@ def test_json_ld_in_sql(spark):
     spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string").createOrReplaceTempView("ld_pages")
     rows = spark.sql("select p.id, o.block_no, o.place, o.json from ld_pages p, lateral json_ld(p.html) o order by o.place").collect()
     assert [tuple(r) for r in rows] == [(1, 0, "/0", '{"name": "a"}'), (1, 0, "/1/0", '{"name": "b"}')]
+
+
+def test_json_ld_makes_no_arrow_batch_a_page(spark):
+    register_functions(spark)
+    spark.createDataFrame([(i, f'<script type="application/ld+json">{{"n": {i}}}</script>') for i in range(3)], "id int, html string").createOrReplaceTempView("few_pages")
+    df = spark.sql("select p.id, o.json from few_pages p, lateral json_ld(p.html) o")
+    assert "BatchEvalPythonUDTF" in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in df.collect()) == [(i, f'{{"n": {i}}}') for i in range(3)]
