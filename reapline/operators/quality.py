@@ -25,7 +25,7 @@ from reapline.functions.values import (
     sorted_json,
     valid_tags,
 )
-from reapline.plans.ranking import first_per_key, top_k
+from reapline.plans.ranking import broadcast_if_small, first_per_key, top_k
 
 ORDER = ("page_number", "pos")
 LINK_NAMES = ("final_url", "detail_url", "url", "href")
@@ -310,7 +310,7 @@ def is_relevant(title: Column, url: Column) -> Column:
 
 def relevant_items(items: DataFrame, cases: DataFrame, key: str = "case_key") -> DataFrame:
     keep = let(title_of(lower_keys("fields")), lambda title: let(link_of("fields"), lambda url: is_relevant(title, url)))
-    return items.join(cases, key).where(keep).select(*items.columns)
+    return items.join(broadcast_if_small(cases), key).where(keep).select(*items.columns)
 
 
 def valid_records(items: DataFrame, cases: DataFrame, key: str = "case_key") -> DataFrame:
@@ -334,7 +334,7 @@ def valid_records(items: DataFrame, cases: DataFrame, key: str = "case_key") ->
         )
         return title_ok & url_ok & F.coalesce(F.forall("required_field_groups", group_ok), F.lit(True))
 
-    return items.join(cases, key).where(let(lower_keys("fields"), keep)).select(*items.columns)
+    return items.join(broadcast_if_small(cases), key).where(let(lower_keys("fields"), keep)).select(*items.columns)
 
 
 def detail_candidates(items: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ORDER) -> DataFrame:

@@ -141,3 +141,16 @@ def test_delivery_fields(spark):
 @pytest.mark.parametrize(("goal", "required", "wanted"), [("逐条看简介", False, True), ("只提取详情链接", False, False), ("详情链接", False, False), ("list", True, True)])
 def test_wants_details(spark, goal, required, wanted):
     assert spark.range(1).select(quality.wants_details(F.lit(goal), F.lit(required)).alias("w")).first().w is wanted
+
+
+def test_few_cases_are_shipped_to_their_records(spark):
+    from reapline.catalog import quality as catalog
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (catalog.relevant_items, catalog.valid_records):
+            plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
