@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from reapline.catalog.registry import query, table
 from reapline.functions.text import ellipsize, is_valid_thread_id, lenient_json, sanitize_locator, slug, verdict_fields
-from reapline.functions.url import PRIVATE_IPV4, is_private_host, same_target, url_policy
+from reapline.functions.url import PRIVATE_IPV4, is_private_host, let, same_target, url_policy
 from reapline.operators import features, snapshots
+from reapline.session import spread
 from reapline.sources import writers
 from reapline.streaming.sinks import stream_folder
 
@@ -281,9 +282,9 @@ def text_rules(spark, folder):
         F.when(key % 5 == 0, body).when(key % 5 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(key % 5 == 2, F.concat(F.lit("Here it is: "), body, F.lit(" as asked")))
         .when(key % 5 == 3, F.concat(body, F.lit("\n"), body)).otherwise("no record {")
     )
-    parsed = F.coalesce(F.try_variant_get(lenient_json(almost), "$.size", "int"), F.try_variant_get(lenient_json(almost), "$[0].size", "int"))
+    parsed = let(lenient_json(almost), lambda j: F.coalesce(F.try_variant_get(j, "$.size", "int"), F.try_variant_get(j, "$[0].size", "int")))
     v = verdict_fields(verdict)
-    return table(spark, folder, "part").select(
+    return spread(table(spark, folder, "part")).select(
         "p_partkey", slug(F.concat("p_brand", F.lit(" /"), "p_type", F.lit("!"))).alias("slug"), ellipsize(F.concat("p_name", F.lit(" \n "), "p_type"), 12).alias("shown"),
         is_valid_thread_id(F.concat(size, F.lit(":t"))).alias("is_thread"), sanitize_locator(locator).alias("locator"), v["is_success"].alias("is_success"),
         v["summary"].alias("summary"), v["failure_scope"].alias("failure_scope"), parsed.alias("parsed"),

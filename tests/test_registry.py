@@ -40,3 +40,10 @@ def test_json_ld_makes_no_arrow_batch_a_page(spark):
     df = spark.sql("select p.id, o.json from few_pages p, lateral json_ld(p.html) o")
     assert "BatchEvalPythonUDTF" in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in df.collect()) == [(i, f'{{"n": {i}}}') for i in range(3)]
+
+
+def test_parts_in_one_split_are_spread(spark):
+    from reapline.catalog import lookups, pages
+
+    for made in (lookups.text_rules(spark, "/root/testdata/sf0.001"), pages.part_pages(spark, "/root/testdata/sf0.001")):
+        assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
