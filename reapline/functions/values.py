@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reapline.functions.url import _col, is_http_url, let, stripped
+from reapline.functions.url import BLANKS, _col, is_http_url, let, stripped
 
 # The names under which a canonical field may be delivered.
 FIELD_ALIASES = {
@@ -99,7 +99,13 @@ def lower_keys(fields) -> Column:
         clash = F.size(F.array_distinct(names)) < F.size(found)
         return F.map_from_entries(F.when(clash, last_only).otherwise(found))
 
-    return let(entries, build)
+    return F.when(has_plain_names(fields), _col(fields)).otherwise(let(entries, build))
+
+
+def has_plain_names(fields) -> Column:
+    """Whether all names of a field map are in lower case and without blanks, as they mostly are."""
+    names = F.array_join(F.map_keys(_col(fields)), "")
+    return (names == F.lower(names)) & ~names.rlike(f"[{BLANKS}]")
 
 
 def first_meaningful(fields, names: Sequence[str]) -> Column:
@@ -123,15 +129,29 @@ def canonical_by_name(lowered_fields, field: Column) -> Column:
     return chain.otherwise(F.when(meaningful(own), own))
 
 
+def names_of(field) -> Column:
+    """Lower-case names under which a field, its name given as a column, may be delivered."""
+    f = _col(field)
+    known = F.create_map(*[x for name, aliases in FIELD_ALIASES.items() for x in (F.lit(name), F.array(*[F.lit(a.lower()) for a in aliases]))])
+    return F.coalesce(known[f], F.array(F.lower(f)))
+
+
+def first_of_names(lowered_fields, names) -> Column:
+    """``first_meaningful`` with the names in a column."""
+    m = _col(lowered_fields)
+    return F.get(F.filter(F.transform(_col(names), lambda n: m[n]), lambda v: meaningful(v)), F.lit(0))
+
+
 def sorted_json(fields) -> Column:
     """JSON of a field map with its keys in order: equal maps give equal text."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(_col(fields)))))
+    return F.to_json(F.map_from_entries(F.sort_array(F.map_entries(_col(fields)))))
 
 
 def identity(fields) -> Column:
     """Key under which two records are the same record: URL first, else all fields."""
     m = _col(fields)
-    url = let(lower_keys(m), lambda low: F.regexp_replace(stripped(canonical(low, "url")), r"/+$", ""))
+    bare = lambda low: F.regexp_replace(stripped(canonical(low, "url")), r"/+$", "")
+    url = F.when(has_plain_names(m), bare(m)).otherwise(let(lower_keys(m), bare))
     return F.coalesce(F.nullif(url, F.lit("")), sorted_json(m))
 
 

@@ -16,12 +16,13 @@ from reapline.functions.text import has_cjk
 from reapline.functions.url import is_http_url, let, normalized_url, stripped
 from reapline.functions.values import (
     MARKUP,
-    canonical_by_name,
     first_meaningful,
     identity,
     is_valid_field,
     lower_keys,
     meaningful,
+    first_of_names,
+    names_of,
     sorted_json,
     valid_tags,
 )
@@ -31,10 +32,19 @@ ORDER = ("page_number", "pos")
 LINK_NAMES = ("final_url", "detail_url", "url", "href")
 URL_CELLS = ("url", "href", "link", "detail_url", "final_url")
 
+#: So many field names at most become columns when records are merged.
+COLUMN_NAMES = 32
+
 # Titles that name a widget instead of a record.
 GENERIC_TITLES = ("link", "image", "cover", "cover image", "details", "read more")
 
 
+def _field_names(items: DataFrame) -> list[str] | None:
+    """Names of the fields that occur, in order; none where there are more than ``COLUMN_NAMES``."""
+    found = items.select(F.explode(F.map_keys("fields")).alias("name")).distinct().limit(COLUMN_NAMES + 1).collect()
+    return sorted(r.name for r in found) if len(found) <= COLUMN_NAMES else None
+
+
 def merge_items(
     items: DataFrame,
     keys: Sequence[str] = ("run_id",),
@@ -44,21 +54,45 @@ def merge_items(
     """One row per record of a run; later present values replace earlier ones.
 
     Fields are aggregated one by one with map-side combine, so many copies of one
-    record never meet as rows in one task; only its few final fields do.
-    ``first_pos`` keeps the position of the first copy.
+    record never meet as rows in one task; only its few final fields do.  Up to
+    ``COLUMN_NAMES`` field names are columns of one aggregation; with more names every
+    field of a row is a row of its own.  ``first_pos`` keeps the position of the first copy.
     """
     keys = list(keys)
-    has_tags = "tags" in items.columns
-    position = F.struct(*order)
+    names = _field_names(items)
+    rows = (
+        items.where(F.col("fields").isNotNull())
+        .withColumns({"identity": identity_of(F.col("fields")), "_at": F.struct(*order)})
+    )
+    merged = _merge_by_row if names is None else lambda *a: _merge_by_column(*a, names)
+    return merged(rows, keys, "tags" in items.columns)
+
+
+def _latest_tags() -> Column:
+    return F.max_by("tags", F.when(F.size("tags") > 0, F.col("_at")))
+
+
+def _merge_by_column(rows: DataFrame, keys: list[str], has_tags: bool, names: list[str]) -> DataFrame:
+    value = lambda n: F.when(meaningful(F.col("fields")[n]), F.col("fields")[n])
+    columns = {f"_v{i}": n for i, n in enumerate(names)}
+    cells = rows.select(
+        *keys, "identity", "_at", *[value(n).alias(v) for v, n in columns.items()], *(["tags"] if has_tags else [])
+    )
+    latest = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col("_at"))).alias(v) for v in columns]
+    merged = cells.groupBy(*keys, "identity").agg(
+        *latest, F.min("_at").alias("first_pos"), *([_latest_tags().alias("tags")] if has_tags else [])
+    )
+    empty = F.array().cast("array<struct<key:string,value:string>>")
+    entries = F.array(*[F.struct(F.lit(n).alias("key"), F.col(v).alias("value")) for v, n in columns.items()]) if names else empty
+    fields = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    return merged.select(*keys, "identity", fields.alias("fields"), "first_pos", *(["tags"] if has_tags else []))
+
+
+def _merge_by_row(rows: DataFrame, keys: list[str], has_tags: bool) -> DataFrame:
     filled = F.filter(F.map_entries("fields"), lambda e: meaningful(e["value"]))
     anchor = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
-    cells = (
-        items.withColumn("identity", identity_of(F.col("fields")))
-        .where(F.col("fields").isNotNull())
-        .select(
-            *keys, "identity", position.alias("_at"), F.explode(F.concat(anchor, filled)).alias("_e"),
-            *(["tags"] if has_tags else []),
-        )
+    cells = rows.select(
+        *keys, "identity", "_at", F.explode(F.concat(anchor, filled)).alias("_e"), *(["tags"] if has_tags else [])
     )
     is_anchor = F.col("_e.key").isNull()
     aggregates = [F.max_by("_e.value", "_at").alias("value"), F.min("_at").alias("_first")]
@@ -96,14 +130,6 @@ def first_items(
     return ranked.where(F.col("item_no") <= cap)
 
 
-def value_of(field: Column, lowered: Column, tags: Column | None = None) -> Column:
-    """Canonical value of a record under a field name given as a column."""
-    value = canonical_by_name(lowered, field)
-    if tags is None:
-        return value
-    return F.coalesce(value, F.when((field == "tags") & valid_tags(tags), F.array_join(tags, " ")))
-
-
 def item_quality(fields: Column | str, schema: Column | str, tags: Column | str | None = None) -> Column:
     """struct(valid_fields, issues) of one record."""
     m = F.col(fields) if isinstance(fields, str) else fields
@@ -147,15 +173,19 @@ def annotate_provenance(items: DataFrame, captured_at: Column) -> DataFrame:
     )
 
 
-def field_ratios(merged: DataFrame, contracts: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
-    """Coverage and validity of every contract field over the merged records of a run."""
+def _cells(merged: DataFrame, contracts: DataFrame, keys: Sequence[str], schema: Column, outer: bool = False) -> DataFrame:
+    """Counts of every contract field over the merged records of a run; with ``outer`` also of runs without fields, under null."""
     tags = F.col("tags") if "tags" in merged.columns else None
+    wanted = contracts.select(*keys, F.transform(schema, lambda f: F.struct(f.alias("field"), names_of(f).alias("names"))).alias("_wanted"))
     cells = (
-        merged.withColumn("_low", lower_keys("fields"))
-        .join(contracts.select(*keys, "schema"), list(keys))
-        .withColumn("field", F.explode("schema"))
-        .withColumn("_value", value_of(F.col("field"), F.col("_low"), tags))
+        merged.select(*keys, lower_keys("fields").alias("_low"), *([] if tags is None else ["tags"]))
+        .join(broadcast_if_small(wanted), list(keys))
+        .select("*", (F.explode_outer if outer else F.explode)("_wanted").alias("_w")).drop("_wanted")
     )
+    value = first_of_names(F.col("_low"), F.col("_w.names"))
+    if tags is not None:
+        value = F.coalesce(value, F.when((F.col("_w.field") == "tags") & valid_tags(tags), F.array_join(tags, " ")))
+    cells = cells.select(*keys, F.col("_w.field").alias("field"), value.alias("_value"))
     return cells.groupBy(*keys, "field").agg(
         F.count(F.lit(1)).alias("items"),
         F.count_if(F.col("_value").isNotNull()).alias("populated"),
@@ -163,6 +193,11 @@ def field_ratios(merged: DataFrame, contracts: DataFrame, keys: Sequence[str] =
     )
 
 
+def field_ratios(merged: DataFrame, contracts: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Coverage and validity of every contract field over the merged records of a run."""
+    return _cells(merged, contracts, keys, F.col("schema"))
+
+
 def evaluate_contract(
     items: DataFrame, contracts: DataFrame, keys: Sequence[str] = ("run_id",), order: Sequence[str] = ORDER,
     expected: str = "min_items", threshold: float = 0.8,

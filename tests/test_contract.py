@@ -154,3 +154,33 @@ def test_few_cases_are_shipped_to_their_records(spark):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def planned(df):
+    """The optimised physical plan before it runs, as text."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_merged_fields_are_columns_of_one_aggregation(spark):
+    items = spark.createDataFrame([("r", 1, 1, {"title": "A", "url": "https://x/a"}, None)], ITEMS)
+    plan = planned(quality.merge_items(items))
+    assert "Generate" not in plan
+    assert plan.count("max_by") > 0 and plan.count("Aggregate(") == 2  # partial and final
+
+
+def test_many_field_names_merge_like_few(spark, monkeypatch):
+    rows = [
+        ("r", 1, 1, {"Title ": "A", "title": " ", "URL": "https://x/a//", "note": "first"}, ["t"]),
+        ("r", 1, 2, {"title": "B", "url": "https://x/a", "note": " ", "Note": "kept"}, []),
+        ("r", 2, 1, {"url": None, "b": "2", "a": "1"}, None),
+        ("r", 2, 2, {"a": "1", "b": "2", "url": None}, ["u"]),
+        ("s", 1, 1, {}, None),
+        ("s", 1, 2, None, None),
+    ]
+    items = spark.createDataFrame(rows, ITEMS)
+    by_column = sorted(map(str, quality.merge_items(items).collect()))
+    monkeypatch.setattr(quality, "COLUMN_NAMES", 2)
+    assert by_column == sorted(map(str, quality.merge_items(items).select("run_id", "identity", "fields", "first_pos", "tags").collect()))
+    merged = {r.identity: r for r in quality.merge_items(items).collect()}
+    assert merged["https://x/a"].fields == {"Title ": "A", "title": "B", "URL": "https://x/a//", "url": "https://x/a", "note": "first", "Note": "kept"}
+    assert merged["https://x/a"].tags == ["t"] and len(merged) == 3
