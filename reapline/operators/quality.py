@@ -207,20 +207,22 @@ def evaluate_contract(
     Runs without records are evaluated too.
     """
     keys = list(keys)
-    merged = merge_items(items, keys, order)
-    ratios = field_ratios(merged, contracts, keys)
-    share = lambda c: F.col(c) / F.col("items")
+    ratios = _cells(merge_items(items, keys, order), contracts, keys, F.array_distinct("schema"), outer=True)
+    share = lambda c: F.when(F.col("field").isNotNull(), F.col(c) / F.col("items"))
+    by_field = lambda c: F.when(
+        F.count("field") > 0,
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", share(c)))))),
+    )
     per_run = ratios.groupBy(*keys).agg(
-        F.max("items").alias("item_count"),
+        F.max("items").alias("_n"),
         F.bool_and(share("populated") >= threshold).alias("_covered"),
         F.bool_and(share("valid") >= threshold).alias("_valid"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", share("populated"))))).alias("field_coverage"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", share("valid"))))).alias("field_validity"),
+        by_field("populated").alias("field_coverage"),
+        by_field("valid").alias("field_validity"),
     )
-    counted = merged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     no = F.lit(False)
     has_schema = F.coalesce(F.size("schema") > 0, no)
-    df = contracts.join(per_run, keys, "left").join(counted, keys, "left")
+    df = contracts.join(per_run, keys, "left")
     n = F.coalesce("_n", F.lit(0)).cast("long")
     required = F.coalesce(F.nullif(F.col(expected), F.lit(0)), F.lit(1)).cast("long")
     df = df.withColumns(

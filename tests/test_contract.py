@@ -184,3 +184,19 @@ def test_many_field_names_merge_like_few(spark, monkeypatch):
     merged = {r.identity: r for r in quality.merge_items(items).collect()}
     assert merged["https://x/a"].fields == {"Title ": "A", "title": "B", "URL": "https://x/a//", "url": "https://x/a", "note": "first", "Note": "kept"}
     assert merged["https://x/a"].tags == ["t"] and len(merged) == 3
+
+
+def test_records_are_merged_once_for_counts_and_ratios(spark):
+    items = spark.createDataFrame([("r", 1, 1, {"title": "A", "url": "https://x/a"}, None)], ITEMS)
+    contracts = spark.createDataFrame([("r", ["title", "title"], 1)], CONTRACTS)
+    evaluated = quality.evaluate_contract(items, contracts)
+    assert planned(evaluated).count("partial_max_by") > 0
+    assert sum("partial_max_by" in line or "identity" in line and "partial" in line for line in planned(evaluated).splitlines()) == 1
+    row = evaluated.first()
+    assert (row.item_count, row.is_success, row.field_coverage) == (1, True, {"title": 1.0})
+
+
+@pytest.mark.parametrize("schema", [[], None])
+def test_records_count_without_a_schema(spark, schema):
+    row = evaluate(spark, [("r", 1, 1, {"a": "1"}, None), ("r", 1, 2, {"a": "2"}, None)], ("r", schema, 2))
+    assert (row.item_count, row.count_ok, row.fields_ok, row.field_coverage) == (2, True, False, None)
