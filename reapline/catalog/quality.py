@@ -289,9 +289,8 @@ def project_schema(spark, folder):
       qualify row_number() over (partition by run_id order by pos) <= 3""",
 )
 def fallback_records(spark, folder):
-    keep = lambda df: df.withColumn("fields", F.map_filter("fields", lambda k, _: k.isin("title", "price")))
-    df = keep(items(spark, folder))
     m = F.col("fields")
+    df = items(spark, folder).withColumn("fields", F.create_map(F.lit("title"), m["title"], F.lit("price"), m["price"]))
     primary = df.where("page_number < 4")
     fallback = df.where(
         (F.col("page_number") >= 4) & ~m["price"].isin("", "n/a") & m["title"].rlike(r"\S") & ~m["title"].rlike("(?i)^https?://")

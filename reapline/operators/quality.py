@@ -27,6 +27,7 @@ from reapline.functions.values import (
     valid_tags,
 )
 from reapline.plans.ranking import broadcast_if_small, first_per_key, top_k
+from reapline.session import durable
 
 ORDER = ("page_number", "pos")
 LINK_NAMES = ("final_url", "detail_url", "url", "href")
@@ -464,14 +465,13 @@ def fallback_if_failing(
     """
     first = evaluate_contract(primary, contracts, [key], order).where(~F.col("is_success")).select(key)
     second = evaluate_contract(fallback, contracts, [key], order).where("is_success").select(key)
-    replaced = first.join(second, key, "left_semi")
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    taken = F.greatest(F.col("min_items"), F.lit(1)).alias("_taken")
+    replaced = durable(first.join(second, key, "left_semi").join(contracts.select(key, taken), key))
+    most = replaced.agg(F.max("_taken")).first()[0] or 1
+    replaced = broadcast_if_small(replaced)
     chosen = (
-        fallback.join(replaced, key, "left_semi").join(contracts.select(key, "min_items"), key)
-        .withColumn("_n", place).where(F.col("_n") <= F.greatest(F.col("min_items"), F.lit(1)))
-        .drop("_n", "min_items").withColumn("record_source", F.lit("fallback"))
+        top_k(fallback.join(replaced, key), [key], order, most, "_n").where(F.col("_n") <= F.col("_taken"))
+        .drop("_n", "_taken").withColumn("record_source", F.lit("fallback"))
     )
     kept = primary.join(replaced, key, "left_anti").withColumn("record_source", F.lit("primary"))
     return kept.unionByName(chosen, allowMissingColumns=True)

@@ -200,3 +200,18 @@ def test_records_are_merged_once_for_counts_and_ratios(spark):
 def test_records_count_without_a_schema(spark, schema):
     row = evaluate(spark, [("r", 1, 1, {"a": "1"}, None), ("r", 1, 2, {"a": "2"}, None)], ("r", schema, 2))
     assert (row.item_count, row.count_ok, row.fields_ok, row.field_coverage) == (2, True, False, None)
+
+
+def test_fallback_takes_few_rows_of_a_page_to_the_exchange(spark):
+    rows = lambda page, *titles: [(page, i, {"title": t}) for i, t in enumerate(titles)]
+    records = "page_id int, pos int, fields map<string,string>"
+    primary = spark.createDataFrame(rows(1, "https://x", "b") + rows(2, "c") + rows(3, "https://x") + rows(4, "https://y"), records)
+    fallback = spark.createDataFrame(rows(1, "d", "e", "f", "g") + rows(2, "h") + rows(3, "i", "j") + rows(4, "https://z"), records)
+    contracts = spark.createDataFrame([(1, ["title"], 3), (2, ["title"], 1), (3, ["title"], None), (4, ["title"], 1)], "page_id int, schema array<string>, min_items int")
+    out = quality.fallback_if_failing(primary, fallback, contracts)
+    got = sorted((r.page_id, r.pos, r.fields["title"], r.record_source) for r in out.collect())
+    assert got == [
+        (1, 0, "d", "fallback"), (1, 1, "e", "fallback"), (1, 2, "f", "fallback"), (2, 0, "c", "primary"), (3, 0, "i", "fallback"),
+        (4, 0, "https://y", "primary"),
+    ]
+    assert "WindowGroupLimit" in planned(out) and "max_by" not in planned(out)  # both evaluations ran before, once
