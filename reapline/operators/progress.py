@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reapline.operators.quality import evaluate_contract, merge_items
+from reapline.plans.ranking import broadcast_if_small
 
 
 def progress_summary(events: DataFrame, items: DataFrame, contracts: DataFrame) -> DataFrame:
@@ -17,8 +18,10 @@ def progress_summary(events: DataFrame, items: DataFrame, contracts: DataFrame)
     open_target.
     """
     kind, number = F.col("kind"), F.col("number")
-    filtered = events.where(kind == "filter").groupBy("run_id").agg(F.max("ord").alias("_last_filter"))
-    timed = events.join(filtered, "run_id", "left")
+    # the last place of every page, filter or round decides; few rows of a run are left
+    last = events.groupBy("run_id", "kind", "number").agg(F.max("ord").alias("ord"))
+    filtered = last.where(kind == "filter").groupBy("run_id").agg(F.max("ord").alias("_last_filter"))
+    timed = last.join(filtered, "run_id", "left")
     fresh = (kind == "collect") & (F.col("_last_filter").isNull() | (F.col("ord") > F.col("_last_filter")))
     done = timed.groupBy("run_id").agg(
         F.bool_or(kind == "open").alias("_opened"),
@@ -29,7 +32,7 @@ def progress_summary(events: DataFrame, items: DataFrame, contracts: DataFrame)
     )
     wanted = contracts.select("run_id", F.lower(F.trim("until_text")).alias("_until")).where("_until <> ''")
     met = (
-        items.join(wanted, "run_id").groupBy("run_id")
+        items.join(broadcast_if_small(wanted), "run_id").groupBy("run_id")
         .agg(F.bool_or(F.contains(F.lower(F.to_json("fields")), F.col("_until"))).alias("_met"))
     )
     judged = evaluate_contract(items, contracts).select("run_id", "item_count", F.col("is_success").alias("_ok"))

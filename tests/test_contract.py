@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reapline.functions.contract import compile_contracts
-from reapline.operators import quality
+from reapline.operators import progress, quality
 
 
 def compiled(spark, task):
@@ -215,3 +215,21 @@ def test_fallback_takes_few_rows_of_a_page_to_the_exchange(spark):
         (4, 0, "https://y", "primary"),
     ]
     assert "WindowGroupLimit" in planned(out) and "max_by" not in planned(out)  # both evaluations ran before, once
+
+
+def test_progress_joins_the_last_event_of_a_page(spark):
+    events = spark.createDataFrame(
+        [("r", 1, "open", None), ("r", 2, "collect", 1), ("r", 3, "collect", 2), ("r", 4, "filter", 1), ("r", 5, "collect", 2), ("r", 6, "collect", 3),
+         ("r", 7, "scroll", 2), ("r", 8, "scroll", 1), ("s", 1, "collect", 1), ("s", 2, "collect", 1)],
+        "run_id string, ord int, kind string, number int",
+    )
+    items = spark.createDataFrame([("r", 1, 1, {"title": "The End"}), ("s", 1, 1, {"title": "A"})], "run_id string, page_number int, pos int, fields map<string,string>")
+    contracts = spark.createDataFrame(
+        [("r", ["title"], 5, 2, " END ", 1, 2, False, True), ("s", ["title"], 1, 1, "", 0, 0, True, True)],
+        CONTRACTS + ", target_pages int, until_text string, filters int, scroll_rounds int, details boolean, open_target boolean",
+    )
+    out = progress.progress_summary(events, items, contracts)
+    r, s = sorted(out.collect(), key=lambda x: x.run_id)
+    assert (r.completed_pages, r.stop_condition_met, r.unmet, r.is_done, r.item_count) == (2, True, [], True, 1)
+    assert (s.completed_pages, s.list_complete, s.unmet, s.stop_reason) == (1, True, ["open_target", "details"], "contract_satisfied")
+    assert planned(out).count("partial_max(ord") >= 2  # events by page and their last filter
