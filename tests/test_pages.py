@@ -163,6 +163,19 @@ def test_table_rows(spark):
     assert got[1].losses == "30"
 
 
+def test_table_rows_read_one_order(spark):
+    rows = [
+        ("r1", "td", "", "before any row"), ("r2", "tr", "row", "a"), ("r3", "td", "", "short"), ("r4", "td", "", "1990"), ("r5", "td", "", "1"),
+        ("r6", "tr", "row", "b"), ("r7", "td", "", "Team"), ("r8", "p", "", "between"), ("r9", "td", "", " "), ("r10", "td", "", "1991"), ("r11", "td", "", "2"),
+        ("r12", "td", "", "3"), ("r13", "td", "", "fifth"), ("r14", "tr", "row", "c"), ("r15", "tr", "", "no row"), ("r16", "td", "", "Other"),
+        ("r17", "td", "", "199"), ("r18", "td", "", "4"), ("r19", "td", "", "5"), ("r20", "tr", "row", "d"), ("r21", "td", "", "Last"), ("r22", "td", "", "2001"),
+        ("r23", "td", "", "6"), ("r24", "td", "", "7"),
+    ]
+    out = snapshots.table_rows(snap(spark, rows))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+    assert sorted((r.item_no, r.team, r.year, r.wins, r.losses) for r in out.collect()) == [(1, "Team", "1991", "2", "3"), (2, "Last", "2001", "6", "7")]
+
+
 def test_long_snapshots_lose_no_record(spark, tmp_path):
     from reapline.catalog import pages
 
