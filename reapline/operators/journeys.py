@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reapline.functions.labels import any_of, irreversible_target
-from reapline.functions.url import is_http_url, netloc, stripped
+from reapline.functions.url import is_http_url, let, netloc, stripped
 from reapline.plans.blocked import Blocked, number_block
 from reapline.plans.ranking import top_k
 
@@ -79,19 +79,46 @@ def stagnation(progress: DataFrame, max_rounds: int = 2, block: int = 100_000) -
     )
 
 
+def _budget(a: Column, b: Column, at_least: float) -> Column:
+    """Edits after which two texts may still be as similar as ``at_least``; rounding rules none out."""
+    return F.ceil(F.greatest(F.length(a), F.length(b)) * (1 - at_least)).cast("int")
+
+
+def lengths_allow(a: Column, b: Column, at_least: float) -> Column:
+    """Whether the lengths of two texts leave room for a similarity of ``at_least``."""
+    return F.abs(F.length(a) - F.length(b)) <= _budget(a, b, at_least)
+
+
 def similarity(a: Column, b: Column, at_least: float) -> Column:
-    """Share of equal text by edit distance where it reaches ``at_least``, else 0.
+    """Share of equal text by edit distance where it may reach ``at_least``, else 0.
 
-    Distances are only computed up to the one that still reaches it, over whole texts.
+    Distances are only computed up to the one that still reaches it, over whole texts, and once.
     """
     longest = F.greatest(F.length(a), F.length(b))
-    budget = F.floor(longest * (1 - at_least)).cast("int")
-    near = F.abs(F.length(a) - F.length(b)) <= budget
-    distance = F.when(near, F.call_function("levenshtein", a, b, budget))
-    share = F.when(longest == 0, F.lit(1.0)).when(distance >= 0, 1 - distance / longest)
+    distance = F.when(lengths_allow(a, b, at_least), F.call_function("levenshtein", a, b, _budget(a, b, at_least)))
+    share = let(distance, lambda d: F.when(longest == 0, F.lit(1.0)).when(d >= 0, 1 - d / longest))
     return F.coalesce(share, F.lit(0.0))
 
 
+def is_similar(a: Column, b: Column, at_least: float, part: int = 128) -> Column:
+    """Whether two texts are as similar as ``at_least``, by edit distance over whole texts.
+
+    Both are cut into as many parts; the distances of the parts together are never below
+    that of the texts, so where they already suffice the texts need no distance.
+    """
+    longest = F.greatest(F.length(a), F.length(b))
+
+    def apart(parts: Column) -> Column:
+        def cut(text: Column, i: Column) -> Column:
+            start = lambda x: F.floor(F.length(text) * x / parts).cast("int")
+            return F.substring(text, start(i) + 1, start(i + 1) - start(i))
+
+        return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda sum_, i: sum_ + F.levenshtein(cut(a, i - 1), cut(b, i - 1)))
+
+    near = 1 - let(F.greatest(F.ceil(longest / part), F.lit(1)).cast("int"), apart) / longest >= at_least
+    return ((longest > part) & near) | (similarity(a, b, at_least) >= at_least)
+
+
 def _alike(threshold: float):
     """Whether two texts share so much of their matching blocks (longest first, then both sides)."""
 
@@ -140,10 +167,12 @@ def repeated_actions(steps_df: DataFrame, n: int = 2, threshold: float = 0.92, c
     for name in names:
         df = steps.lag(df, {name: previous})
         previous = name
-    alike = F.lit(True)
+    current, alike = F.col(column), F.col(column) != ""
+    for name in names:  # what lengths rule out needs no distance to any of the steps
+        alike = alike & F.col(name).isNotNull() & lengths_allow(current, F.col(name), threshold)
     for name in names:
-        alike = alike & F.col(name).isNotNull() & (similarity(F.col(column), F.col(name), threshold) >= threshold)
-    return steps.done(df.withColumn("is_loop", F.coalesce(alike, F.lit(False)) & (F.col(column) != "")).drop(*names))
+        alike = alike & is_similar(current, F.col(name), threshold)
+    return steps.done(df.withColumn("is_loop", F.coalesce(alike, F.lit(False))).drop(*names))
 
 
 def recent_context(steps_df: DataFrame, n: int = 3, chars: int = 2000, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from reapline.operators import journeys, runs, traces, verdicts
@@ -118,3 +119,28 @@ def test_invalid_action_reasons(spark):
     chosen = spark.createDataFrame([(1, 3, "selected", "e1"), (1, 4, "selected", "e1")], "run_id int, step int, status string, target_ref string")
     got = {r.step: r.reason for r in verdicts.invalid_actions(actions, chosen).collect()}
     assert got == {1: "missing_skill", 2: "virtual_group_ref", 3: "target_ref_mismatch", 4: None, 5: None}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.2, 0.45, 0.92])
+def test_repeated_actions_equal_whole_distances(spark, threshold):
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdé 人") for _ in range(n))
+    base = word(600)
+    texts = [base, base[:300] + "x" + base[300:], base[40:], word(500), word(700), base[::-1], "", "a", base[:130], word(129), None, base, base, base]
+    texts += ["a" * 25, "a" * 23 + "bb", "a" * 25, "a" * 24, "a" * 21]
+    rows = [("r", i, t) for i, t in enumerate(texts)]
+    like = lambda a, b: a is not None and b is not None and 1 - edits(a, b) / max(len(a), len(b), 1) >= threshold
+    want = [i >= 2 and bool(t) and like(t, texts[i - 1]) and like(t, texts[i - 2]) for i, t in enumerate(texts)]
+    df = journeys.repeated_actions(spark.createDataFrame(rows, "run_id string, ord int, action string"), threshold=threshold)
+    assert [r.is_loop for r in df.orderBy("ord").collect()] == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("levenshtein(action") == 2  # the whole distance to each of two steps, once
