@@ -12,7 +12,7 @@ from reapline.functions.text import compact_dom, dom_hash, normalize_locator, pa
 from reapline.functions.url import domain_key, let, stripped, url_pattern
 from reapline.operators.documents import not_expired
 from reapline.operators.retrieval import dense_topk, similarity_of, weighted_vector
-from reapline.plans.blocks import near_rows, overlapping_sets
+from reapline.plans.blocks import hashed_words, near_rows, overlapping_sets
 from reapline.plans.ranking import top_k
 from reapline.session import durable
 
@@ -47,13 +47,13 @@ def jaccard_lookup(requests: DataFrame, cache: DataFrame, k: int = 5, block_rows
     is_success, failure_count.  Without a site, a request meets the entries of all sites and an entry the
     requests of all.  Entries lie in blocks with inverted word lists; a request first
     searches the block whose set sizes promise most, then those that can reach its k-th score
-    (``plans.blocks``).  No pairs are shuffled, and a hot site is
+    (``plans.blocks``).  Neither pairs nor visits are shuffled, and a hot site is
     spread over its blocks.
     """
     usable = cache.where(F.coalesce("is_success", F.lit(True)) & (F.coalesce("failure_count", F.lit(0)) < 2))
-    stored = usable.select(F.col("cache_id").alias("id"), F.col("domain_key").cast("string").alias("part"), F.array_distinct("words").alias("words"))
-    asked = durable(requests.select(
-        F.monotonically_increasing_id().alias("_row"), "request_id", F.col("domain_key").cast("string").alias("part"), F.array_distinct("words").alias("words")))
+    part, words = F.col("domain_key").cast("string").alias("part"), hashed_words(F.array_distinct("words")).alias("words")
+    stored = usable.select(F.col("cache_id").alias("id"), part, words)
+    asked = durable(requests.select(F.monotonically_increasing_id().alias("_row"), "request_id", part, words))
     found = overlapping_sets(stored, asked, k, "cache_id", block_rows)
     named = found.drop("rank").join(asked.select("_row", "request_id"), "_row").select("request_id", "cache_id", "score")
     return top_k(named, ["request_id"], [F.desc("score"), "cache_id"], k)

@@ -106,3 +106,23 @@ def test_word_blocks_are_bounded_by_words(spark, monkeypatch):
     assert sorted((r._row, r.id, r.score, r["rank"]) for r in got) == sorted(expected)
     for r in seen[0].select("ids", F.length("owners").alias("bytes")).collect():
         assert len(r.ids) == 1 or r.bytes <= 40 * 4
+
+
+def test_shuffled_words_do_not_grow_with_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "a", [f"w{w}" for w in rng.sample(range(4000), 60)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, part string, words array<string>")
+    asked = df.where("id % 4 = 0").select(F.col("id").alias("_row"), "part", "words")
+
+    def shuffled():
+        return sum(e.totalShuffleWrite() for e in map(store.executorList(False).apply, range(store.executorList(False).size())))
+
+    store, written, results = spark.sparkContext._jsc.sc().statusStore(), [], []
+    for words in (10**6, 600):
+        monkeypatch.setattr(blocks, "BLOCK_WORDS", (words, words))
+        before = shuffled()
+        results.append(sorted(map(tuple, blocks.overlapping_sets(df, asked, 3, "id", 1000).collect())))
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        written.append(shuffled() - before)
+    assert results[0] == results[1]
+    assert written[1] < 2 * written[0]
